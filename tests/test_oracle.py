@@ -1,0 +1,61 @@
+"""Every registered query against its SQL in DuckDB, values and types of values, in any row order."""
+
+import datetime
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_point
+
+ROOT = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+TABLES = "region nation customer supplier part orders lineitem".split()
+CHECKS = entry_point.oracle_sql()
+ROWS_ONLY = {"logistic_scores", "forest_scores", "feature_importances", "model_comparison"}
+
+
+@pytest.fixture(scope="module")
+def db():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(
+            f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{ROOT}/{name}.parquet')"
+        )
+    return connection
+
+
+def _normal(value):
+    return value.date() if type(value) is datetime.datetime and not any(value.timetuple()[3:6]) else value
+
+
+def _sorted_rows(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    plain = [tuple(_normal(row[i]) for i in order) for row in rows]
+    return sorted(plain, key=lambda row: [(v is not None, str(type(v)), v) for v in row])
+
+
+def test_registry_is_complete():
+    assert set(entry_point.queries()) == set(CHECKS) | ROWS_ONLY
+
+
+@pytest.mark.parametrize("name", sorted(CHECKS))
+def test_query_matches_sql(spark, db, name):
+    frame = entry_point.queries()[name](spark, ROOT)
+    result = db.execute(CHECKS[name])
+    names = [column[0] for column in result.description]
+    assert sorted(frame.columns) == sorted(names)
+    got = _sorted_rows(frame.columns, [tuple(row) for row in frame.collect()])
+    wanted = _sorted_rows(names, result.fetchall())
+    assert len(got) == len(wanted) > 0
+    differing = [(g, w) for g, w in zip(got, wanted) if g != w]
+    assert not differing, differing[:3]
+
+
+@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
+def test_model_query_has_rows(spark, name):
+    frame = entry_point.queries()[name](spark, ROOT)
+    assert frame.count() > 0
+
+
+def test_entry(spark):
+    assert entry_point.entry(spark).count() == 529
