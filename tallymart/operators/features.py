@@ -56,27 +56,32 @@ def store_features(
     store: str = "store_name",
     order: Sequence[str] = TIME_ORDER,
     revenue: str = "monthly_revenue",
-    transactions: str = "num_transactions",
-    skus: str = "unique_skus",
+    transactions: str | None = "num_transactions",
+    skus: str | None = "unique_skus",
     month: str = "month",
 ) -> DataFrame:
     """Lags, trailing and expanding means and growth per store; rows without three lags are dropped.
 
-    A lag is a number of rows, not of calendar months. All features share one window, so the plan
-    has one shuffle and one sort. Its groups are panel rows, one per month and place of a store:
+    A lag is a number of rows, not of calendar months. A lag whose column is None is left out.
+
+    All features share one window, so the plan has one shuffle and one sort. Its groups are panel rows, one per month and place of a store:
     their number follows from the calendar and the map, not from how much the store sells.
     """
     window = Window.partitionBy(store).orderBy(*order)
     amount = F.col(revenue)
     lags = {f"revenue_lag{n}": F.lag(amount, n).over(window) for n in (1, 2, 3)}
+    counts = {
+        name: F.lag(column, 1).over(window)
+        for name, column in (("txn_lag1", transactions), ("skus_lag1", skus))
+        if column is not None
+    }
     featured = panel.withColumns(
         {
             **lags,
             "revenue_rolling3": trailing_mean(amount, window, 3),
             "mom_growth_rate": smoothed_change(lags["revenue_lag1"], lags["revenue_lag2"]),
             "store_avg_revenue": expanding_mean(amount, window),
-            "txn_lag1": F.lag(transactions, 1).over(window),
-            "skus_lag1": F.lag(skus, 1).over(window),
+            **counts,
             "month_of_year": F.col(month),
         }
     )

@@ -72,17 +72,19 @@ def group_quantile_nearest(
         .orderBy(F.col("_cell").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    reached = F.struct(F.col("_running"), F.col("_cell"))
+    reached = F.col("_running") >= F.col("_rank")
     found = (
         counted.withColumn("_running", running)
         .groupBy(*aliases)
         .agg(
             F.max("_n").alias("_n"),
-            F.min(F.when(F.col("_running") >= F.col("_rank"), reached)).alias("_hit"),
+            F.min(F.when(reached, F.col("_cell"))).alias("_value"),
+            F.max(reached & F.col("_cell").isNull()).alias("_under"),
         )
     )
-    missing = F.raise_error(F.lit("quantile outside its marks; raise accuracy"))
-    picked = F.when(F.col("_n") > 0, F.coalesce(F.col("_hit._cell"), missing))
+    missed = F.raise_error(F.lit("quantile outside its marks; raise accuracy"))
+    value_or_error = F.when(F.col("_under"), missed).otherwise(F.coalesce("_value", missed))
+    picked = F.when(F.col("_n") > 0, value_or_error)
     return found.select(*[F.col(a).alias(k) for a, k in zip(aliases, keys)], picked.alias(out))
 
 

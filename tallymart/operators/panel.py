@@ -16,28 +16,34 @@ def store_month_panel(
     df: DataFrame,
     keys: Sequence[str] = PANEL_KEYS,
     revenue: str = "sale_dollars",
-    invoice: str = "invoice_item",
-    item: str = "item_description",
-    bottles: str = "bottles_sold",
-    liters: str = "volume_liters",
+    invoice: str | None = "invoice_item",
+    item: str | None = "item_description",
+    bottles: str | None = "bottles_sold",
+    liters: str | None = "volume_liters",
     invoice_is_unique: bool = False,
 ) -> DataFrame:
     """Revenue, mean sale, distinct invoice lines and items, bottles and liters per key.
 
+    A measure whose column is None is left out.
+
     The distinct counts shuffle on (keys, value), so a store with a large share of the rows is
     spread over all tasks. Two of them make Spark expand each row by branch, and the invoice branch
     has about as many groups as there are rows; set ``invoice_is_unique`` where no two rows share an
     invoice line, and the row count takes its place with no such shuffle.
     """
-    lines = n_rows() if invoice_is_unique else n_unique(F.col(invoice))
-    return df.groupBy(*keys).agg(
-        sum_or_zero(F.col(revenue)).alias("monthly_revenue"),
-        F.avg(revenue).alias("avg_transaction_value"),
-        lines.alias("num_transactions"),
-        n_unique(F.col(item)).alias("unique_skus"),
-        sum_or_zero(F.col(bottles)).alias("total_bottles"),
-        sum_or_zero(F.col(liters)).alias("total_liters"),
-    )
+    measures = {
+        "monthly_revenue": sum_or_zero(F.col(revenue)),
+        "avg_transaction_value": F.avg(revenue),
+    }
+    if invoice is not None:
+        measures["num_transactions"] = n_rows() if invoice_is_unique else n_unique(F.col(invoice))
+    if item is not None:
+        measures["unique_skus"] = n_unique(F.col(item))
+    if bottles is not None:
+        measures["total_bottles"] = sum_or_zero(F.col(bottles))
+    if liters is not None:
+        measures["total_liters"] = sum_or_zero(F.col(liters))
+    return df.groupBy(*keys).agg(*[value.alias(name) for name, value in measures.items()])
 
 
 def panel_stats(

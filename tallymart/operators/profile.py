@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
     ByteType,
-    DataType,
     DateType,
     DecimalType,
     DoubleType,
@@ -47,80 +46,102 @@ def table_dimensions(df: DataFrame) -> DataFrame:
     return df.agg(n_rows().alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, type, rows and NULLs."""
-    counts = df.agg(
-        n_rows().alias("n_rows"),
-        *[F.count(_column(name)).alias(f"c{i}") for i, name in enumerate(df.columns)],
-    )
-    per_column = [
-        F.struct(
+def _text_bytes(name: str) -> Column:
+    return F.coalesce(F.sum(F.octet_length(_column(name).cast("string"))), F.lit(0))
+
+
+def column_profile(df: DataFrame, with_bytes: bool = False) -> DataFrame:
+    """One row per column: position, name, type, rows and NULLs, on request bytes, in one pass.
+
+    Bytes are those of the values in memory: numbers and dates take their fixed width, text its
+    UTF-8 length.
+    """
+    widths = [_FIXED_WIDTH.get(type(field.dataType)) for field in df.schema.fields]
+    measures = [F.count(_column(name)).alias(f"c{i}") for i, name in enumerate(df.columns)]
+    if with_bytes:
+        measures += [
+            _text_bytes(name).alias(f"b{i}")
+            for i, name in enumerate(df.columns)
+            if widths[i] is None
+        ]
+    counts = df.agg(n_rows().alias("n_rows"), *measures)
+
+    def line(i: int) -> Column:
+        field = df.schema.fields[i]
+        values = [
             F.lit(i + 1).alias("position"),
             F.lit(field.name).alias("column_name"),
             F.lit(field.dataType.simpleString()).alias("data_type"),
             F.col("n_rows"),
             (F.col("n_rows") - F.col(f"c{i}")).alias("n_nulls"),
-        )
-        for i, field in enumerate(df.schema.fields)
-    ]
-    return counts.select(F.inline(F.array(*per_column)))
+        ]
+        if with_bytes:
+            size = F.col(f"b{i}") if widths[i] is None else F.col("n_rows") * widths[i]
+            values.append(size.cast("bigint").alias("n_bytes"))
+        return F.struct(*values)
 
+    return counts.select(F.inline(F.array(*[line(i) for i in range(len(df.columns))])))
 
-def null_proportions(df: DataFrame) -> DataFrame:
-    """One row per column with its share of NULLs, highest first."""
+
+def null_report(profiled: DataFrame) -> DataFrame:
+    """Share of NULLs per column of a :func:`column_profile`, highest first."""
     share = F.try_divide(F.col("n_nulls"), F.col("n_rows")).alias("missing_proportion")
-    return column_profile(df).select("column_name", share).orderBy(
+    return profiled.select("column_name", share).orderBy(
         F.col("missing_proportion").desc(), F.col("column_name")
     )
 
 
-def columns_over_null_threshold(df: DataFrame, threshold: float = 0.10) -> DataFrame:
-    """Columns whose share of NULLs is at least ``threshold``."""
-    return null_proportions(df).filter(F.col("missing_proportion") >= F.lit(threshold))
+def over_threshold(report: DataFrame, threshold: float = 0.10) -> DataFrame:
+    """Columns of a :func:`null_report` whose share is at least ``threshold``."""
+    return report.filter(F.col("missing_proportion") >= F.lit(threshold))
 
 
-def null_heavy_columns(df: DataFrame, threshold: float = 0.10) -> list[str]:
-    """Names for :func:`columns_over_null_threshold`; runs one aggregate, returns at most one name per column."""
-    return [row.column_name for row in columns_over_null_threshold(df, threshold).collect()]
+def size_report(profiled: DataFrame) -> DataFrame:
+    """Size of the table whose :func:`column_profile` with bytes is given."""
+    total = profiled.agg(
+        F.max("n_rows").alias("n_rows"), F.sum("n_bytes").cast("double").alias("total_bytes")
+    )
+    return _size_row(total.withColumn("avg_row_bytes", F.try_divide("total_bytes", "n_rows")))
 
 
-def preview(df: DataFrame, order_by: list[str], n: int = 25) -> DataFrame:
-    """The first ``n`` rows in a stated order; each task keeps only its own best ``n``."""
-    return df.orderBy(*order_by).limit(n)
+def _size_row(measured: DataFrame) -> DataFrame:
+    total = F.col("n_rows") * F.col("avg_row_bytes")
+    return measured.select(
+        "n_rows",
+        "avg_row_bytes",
+        total.alias("total_bytes"),
+        (total / F.lit(1024.0 * 1024.0)).alias("total_mib"),
+    )
 
 
-def _value_bytes(name: str, data_type: DataType) -> Column:
-    width = _FIXED_WIDTH.get(type(data_type))
-    if width is not None:
-        return F.lit(width).cast("bigint")
-    return F.coalesce(F.octet_length(_column(name).cast("string")), F.lit(0)).cast("bigint")
+def null_proportions(df: DataFrame) -> DataFrame:
+    """One row per column with its share of NULLs, highest first."""
+    return null_report(column_profile(df))
+
+
+def columns_over_null_threshold(df: DataFrame, threshold: float = 0.10) -> DataFrame:
+    """Columns whose share of NULLs is at least ``threshold``."""
+    return over_threshold(null_proportions(df), threshold)
+
+
+def null_heavy_columns(df: DataFrame, threshold: float = 0.10) -> list[str]:
+    """Names for :func:`columns_over_null_threshold`: one aggregate, at most one name per column."""
+    return [row.column_name for row in columns_over_null_threshold(df, threshold).collect()]
 
 
 def size_estimate(df: DataFrame, sample_fraction: float | None = None, seed: int = 42) -> DataFrame:
     """One row: rows, mean bytes per row, total bytes and MiB of the values in memory.
 
-    Numbers take their fixed width, text its UTF-8 length. With ``sample_fraction`` the mean comes
-    from a random sample and only the row count from the whole table, which Parquet answers from its
-    footers.
+    With ``sample_fraction`` the mean comes from a random sample, and only the row count from the
+    whole table, which Parquet answers from its footers.
     """
-    widths = [_value_bytes(field.name, field.dataType) for field in df.schema.fields]
-    row_bytes = sum(widths[1:], widths[0])
     if sample_fraction is None:
-        measured = df.agg(
-            n_rows().alias("n_rows"),
-            F.try_divide(F.sum(row_bytes), n_rows()).alias("avg_row_bytes"),
-        )
-    else:
-        sample = df.sample(fraction=sample_fraction, seed=seed)
-        mean = F.try_divide(F.sum(row_bytes), n_rows())
-        total_rows = df.agg(n_rows()).scalar()
-        measured = sample.agg(mean.alias("avg_row_bytes")).select(
-            total_rows.alias("n_rows"), "avg_row_bytes"
-        )
-    total = F.col("n_rows") * F.col("avg_row_bytes")
-    return measured.select(
-        "n_rows",
-        "avg_row_bytes",
-        total.alias("total_bytes"),
-        (total / F.lit(1024.0 * 1024.0)).alias("total_mib"),
-    )
+        return size_report(column_profile(df, with_bytes=True))
+    sample = df.sample(fraction=sample_fraction, seed=seed)
+    mean = size_report(column_profile(sample, with_bytes=True)).select("avg_row_bytes")
+    return _size_row(mean.withColumn("n_rows", df.agg(n_rows()).scalar()))
+
+
+def preview(df: DataFrame, order_by: list[str], n: int = 25) -> DataFrame:
+    """The first ``n`` rows in a stated order; each task keeps only its own best ``n``."""
+    return df.orderBy(*order_by).limit(n)

@@ -19,13 +19,12 @@ class Models(NamedTuple):
     forest_scores: DataFrame
 
 
-def profile_reports(raw: DataFrame) -> dict[str, DataFrame]:
-    """What the raw table looks like, before any cleaning."""
+def profile_reports(profiled: DataFrame) -> dict[str, DataFrame]:
+    """What the raw table looks like, from its column profile with bytes."""
     return {
-        "table_dimensions": profile.table_dimensions(raw),
-        "size_estimate": profile.size_estimate(raw),
-        "column_profile": profile.column_profile(raw),
-        "null_proportions": profile.null_proportions(raw),
+        "column_profile": profiled,
+        "size_estimate": profile.size_report(profiled),
+        "null_proportions": profile.null_report(profiled),
     }
 
 
@@ -83,17 +82,23 @@ def analyse(
     rules: clean.CleaningRules | None = None,
     invoice_is_unique: bool = False,
     trees: int = 300,
+    null_threshold: float = 0.10,
 ) -> dict[str, DataFrame]:
     """Every report of the analysis by name, from a raw table of ``sources.schema`` columns.
 
-    The cleaned table is written once and all reports read it from there.
+    The raw table is read twice: once for its profile, which decides on the columns to drop, and
+    once to write the cleaned table all other reports start from.
     """
-    sales = materialize(clean.clean_profiled(raw, rules), "sales")
+    rules = rules or clean.CleaningRules()
+    profiled = materialize(profile.column_profile(raw, with_bytes=True), "profile")
+    over = profile.over_threshold(profile.null_report(profiled), null_threshold).collect()
+    sparse = [row.column_name for row in over if row.column_name != rules.date]
+    sales = materialize(clean.clean(raw, rules, also_drop=sparse), "sales")
     cohort = materialize(breakout_cohort(sales, invoice_is_unique), "cohort")
     train, test, cutoff = split.train_test_split(cohort)
     models = fit_models(train, test, trees)
     return {
-        **profile_reports(raw),
+        **profile_reports(profiled),
         **sales_reports(sales),
         "split_summary": split.split_summary(split.with_split(cohort, cutoff)),
         "logistic_report": evaluate.classification_report(models.logistic_scores),

@@ -260,16 +260,40 @@ _PANEL_INPUT = (
 )
 
 
+# What the labels need: no item, so no join with the parts, and no distinct count.
+_REVENUE_INPUT = ("sale_date", "store_name", "city", "county", "sale_dollars")
+
+
 def _panel(spark: SparkSession, root: str, store: str = "supplier") -> DataFrame:
     lines = cleaning.add_calendar(sales(spark, root, _PANEL_INPUT, store))
     return panel.store_month_panel(lines)
 
 
+def _revenue_panel(spark: SparkSession, root: str) -> DataFrame:
+    lines = cleaning.add_calendar(sales(spark, root, _REVENUE_INPUT))
+    return panel.store_month_panel(lines, invoice=None, item=None, bottles=None, liters=None)
+
+
 def _features(spark: SparkSession, root: str) -> DataFrame:
     """Written once per query, because thresholds and labels read it several times."""
     return materialize(features.store_features(_panel(spark, root)), "features")
 
 
+def _revenue_features(spark: SparkSession, root: str) -> DataFrame:
+    """The features that come from revenue alone, for queries that use no others."""
+    rows = features.store_features(_revenue_panel(spark, root), transactions=None, skus=None)
+    rows = rows.select(*panel.PANEL_KEYS, "monthly_revenue", "revenue_rolling3")
+    return materialize(rows, "revenue-features")
+
+
+def _revenue_cohort(spark: SparkSession, root: str) -> DataFrame:
+    return labels.breakout_labels(_revenue_features(spark, root))
+
+
+def _stored_revenue_cohort(spark: SparkSession, root: str) -> DataFrame:
+    return materialize(_revenue_cohort(spark, root), "revenue-cohort")
+
+
 def _cohort(spark: SparkSession, root: str) -> DataFrame:
     return labels.breakout_labels(_features(spark, root))
 
@@ -296,7 +320,7 @@ def store_month_panel(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def panel_stats(spark: SparkSession, root: str) -> DataFrame:
-    return panel.panel_stats(_panel(spark, root))
+    return panel.panel_stats(_revenue_panel(spark, root))
 
 
 @_query
@@ -326,7 +350,7 @@ def value_relabel(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def monthly_thresholds(spark: SparkSession, root: str) -> DataFrame:
-    return _cents(labels.monthly_thresholds(_features(spark, root)), "q75")
+    return _cents(labels.monthly_thresholds(_revenue_features(spark, root)), "q75")
 
 
 @_query
@@ -338,7 +362,7 @@ def group_quantile_nearest(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def quartile_labels(spark: SparkSession, root: str) -> DataFrame:
-    labelled = labels.quartile_labels(_features(spark, root))
+    labelled = labels.quartile_labels(_revenue_features(spark, root))
     return _cents(labelled, "monthly_revenue", "q75").select(
         "store_name", "city", "county", "year", "month", "monthly_revenue", "q75", "is_top_quartile"
     )
@@ -351,11 +375,11 @@ def breakout_labels(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def temporal_cutoff(spark: SparkSession, root: str) -> DataFrame:
-    return split.temporal_cutoff(_cohort(spark, root))
+    return split.temporal_cutoff(_revenue_cohort(spark, root))
 
 
 def _split_cohort(spark: SparkSession, root: str) -> DataFrame:
-    cohort = _stored_cohort(spark, root)
+    cohort = _stored_revenue_cohort(spark, root)
     return split.with_split(cohort, split.find_cutoff(cohort))
 
 
@@ -376,7 +400,7 @@ def split_summary(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def class_weights(spark: SparkSession, root: str) -> DataFrame:
-    train, _, _ = split.train_test_split(_stored_cohort(spark, root))
+    train, _, _ = split.train_test_split(_stored_revenue_cohort(spark, root))
     return _single(model.class_weights(train), "class_weight")
 
 
@@ -390,11 +414,10 @@ def standardized_features(spark: SparkSession, root: str) -> DataFrame:
 
 def _rule_scores(spark: SparkSession, root: str) -> DataFrame:
     """A score without a model: recent mean revenue, flagged where it is in the month's top quarter."""
-    cohort = _stored_cohort(spark, root)
-    flagged = labels.quartile_labels(
-        cohort.drop("q75"), "revenue_rolling3", threshold="rolling_q75", label="prediction"
+    cohort = _stored_revenue_cohort(spark, root)
+    return labels.quartile_labels(
+        cohort, "revenue_rolling3", threshold="rolling_q75", label="prediction"
     )
-    return flagged
 
 
 @_query
@@ -417,7 +440,7 @@ def confusion_matrix(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def auc_roc(spark: SparkSession, root: str) -> DataFrame:
     """Area for recent mean revenue as the score."""
-    cohort = _stored_cohort(spark, root)
+    cohort = _stored_revenue_cohort(spark, root)
     return _single(evaluate.auc_roc(cohort, "revenue_rolling3"), "auc")
 
 

@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -33,11 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/tallymart/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
+    """A new path in the shared folder to write to, removed when the application ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/tallymart/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    file_system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    file_system.mkdirs(hadoop_path)
+    file_system.deleteOnExit(hadoop_path)
+    return f"{folder}/data"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallymart.sources.readers import read_parquet
 from tallymart.sources.schema import COLUMN_NAMES
@@ -79,24 +80,24 @@ _STORE_KEYS = {
 }
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{root}/{name}.parquet")
+    """A table by name. Its schema is read from the footers once per process, not once per query."""
+    path = f"{root}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = read_parquet(spark, path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def _stores(spark: SparkSession, root: str, kind: str, needed: set[str]) -> DataFrame:
+def _stores(spark: SparkSession, root: str, kind: str) -> DataFrame:
     key, name, nation, _ = _STORE_KEYS[kind]
-    stores = table(spark, root, kind).select(
+    return table(spark, root, kind).select(
         F.col(key).alias("store_number"),
         F.col(name).alias("store_name"),
         F.col(nation).alias("store_nationkey"),
     )
-    if needed & {"city", "county"}:
-        nations = table(spark, root, "nation")
-        stores = stores.join(nations, F.col("store_nationkey") == F.col("n_nationkey"))
-    if "county" in needed:
-        regions = table(spark, root, "region")
-        stores = stores.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-    return stores
 
 
 def _parts(spark: SparkSession, root: str) -> DataFrame:
@@ -115,20 +116,31 @@ def sales(
     """
     columns = list(columns)
     needed = {_COLUMNS[name][0] for name in columns}
-    places = needed & {"store", "city", "county"}
     store_key = _STORE_KEYS[store][3]
+    if "county" in needed:
+        needed.add("city")
+    if "city" in needed:
+        needed.add("store")
+    if "store" in needed and store_key.startswith("o_"):
+        needed.add("orders")
+
+    # Joined one by one to the lines: Spark knows the size of a plain table from its files, while it
+    # overestimates that of a join and would not broadcast the result.
     lines = table(spark, root, "lineitem")
-    if places:
-        stores = _stores(spark, root, store, needed)
-    if places and store_key.startswith("l_"):
-        lines = lines.join(stores, F.col(store_key) == F.col("store_number"))
-    if "part" in needed:
-        lines = lines.join(_parts(spark, root), F.col("l_partkey") == F.col("p_partkey"))
-    if "orders" in needed or (places and store_key.startswith("o_")):
+    if "orders" in needed:
         orders = table(spark, root, "orders")
-        if places and store_key.startswith("o_"):
-            orders = orders.join(stores, F.col(store_key) == F.col("store_number"))
         lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if "part" in needed:
+        lines = lines.join(_parts(spark, root), F.col("l_partkey") == F.col("p_partkey"))
+    if "store" in needed:
+        stores = _stores(spark, root, store)
+        lines = lines.join(stores, F.col(store_key) == F.col("store_number"))
+    if "city" in needed:
+        nations = table(spark, root, "nation")
+        lines = lines.join(nations, F.col("store_nationkey") == F.col("n_nationkey"))
+    if "county" in needed:
+        regions = table(spark, root, "region")
+        lines = lines.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     return lines.select(*[F.expr(_COLUMNS[name][1]).alias(name) for name in columns])
 
 
