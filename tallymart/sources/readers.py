@@ -22,7 +22,8 @@ def read_csv(
     Without ``schema`` every column is text named by the header; types come from the cleaning step,
     so no pass over the data is spent on inference. With ``schema`` its names are checked against
     the header and a malformed row fails the query. ``multiline`` allows line breaks inside quotes,
-    at the price that a file can no longer be split between tasks.
+    at the price that a file can no longer be split between tasks. An empty field is NULL, with or
+    without quotes.
     """
     reader = spark.read.options(**_CSV_FORMAT).option("multiLine", multiline)
     if schema is not None:

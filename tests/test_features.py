@@ -1,0 +1,65 @@
+"""Window features: short series, gaps, two places, and no look into the future."""
+
+import pytest
+
+from tallymart.operators.features import FEATURES, store_features
+
+SCHEMA = """store_name string, city string, county string, year int, month int,
+    monthly_revenue double, num_transactions bigint, unique_skus bigint"""
+
+
+def _panel(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def _series(name, revenues, year=2020, months=None, city="C"):
+    months = months or range(1, len(revenues) + 1)
+    return [(name, city, "X", year, m, float(r), 10 + m, m) for m, r in zip(months, revenues)]
+
+
+@pytest.mark.parametrize("length, kept", [(1, 0), (2, 0), (3, 0), (4, 1), (5, 2)])
+def test_rows_without_three_lags_are_dropped(spark, length, kept):
+    assert store_features(_panel(spark, _series("S", range(1, length + 1)))).count() == kept
+
+
+def test_values(spark):
+    rows = store_features(_panel(spark, _series("S", [10, 20, 60, 30, 50]))).orderBy("month").collect()
+    first, second = rows
+    assert (first.revenue_lag1, first.revenue_lag2, first.revenue_lag3) == (60.0, 20.0, 10.0)
+    assert first.revenue_rolling3 == first.store_avg_revenue == 30.0
+    assert first.mom_growth_rate == pytest.approx(2.0)
+    assert (first.txn_lag1, first.skus_lag1, first.month_of_year) == (13, 3, 4)
+    assert second.revenue_rolling3 == pytest.approx(110 / 3)
+    assert second.store_avg_revenue == 30.0
+    assert second.mom_growth_rate == pytest.approx(-0.5)
+
+
+def test_a_lag_is_a_row_not_a_month(spark):
+    rows = store_features(_panel(spark, _series("S", [1, 2, 3, 4], months=[1, 3, 7, 12]))).collect()
+    assert [(r.month, r.revenue_lag1, r.revenue_lag3) for r in rows] == [(12, 3.0, 1.0)]
+
+
+def test_two_places_in_a_month_are_ordered_by_place(spark):
+    panel = _series("S", [1, 3, 5], city="A") + _series("S", [2, 4, 6], city="B")
+    rows = store_features(_panel(spark, panel)).orderBy("month", "city").collect()
+    got = [(r.month, r.city, r.revenue_lag1, r.revenue_lag2, r.revenue_lag3) for r in rows]
+    assert got == [(2, "B", 3.0, 2.0, 1.0), (3, "A", 4.0, 3.0, 2.0), (3, "B", 5.0, 4.0, 3.0)]
+
+
+def test_null_store_is_a_store_and_stores_do_not_mix(spark):
+    panel = _series(None, [1, 2, 3, 4]) + _series("S", [10, 20, 30, 40])
+    rows = {r.store_name: r.revenue_lag3 for r in store_features(_panel(spark, panel)).collect()}
+    assert rows == {None: 1.0, "S": 10.0}
+
+
+def test_later_rows_change_no_feature(spark):
+    values = [5, 9, 2, 7, 4, 8, 6, 3]
+    before = store_features(_panel(spark, _series("S", values))).filter("month <= 6")
+    changed = store_features(_panel(spark, _series("S", [*values[:6], 9999, -1]))).filter("month <= 6")
+    own = store_features(_panel(spark, _series("S", [*values[:5], 777]))).filter("month <= 6")
+    columns = ["month", *FEATURES]
+    expected = sorted(map(tuple, before.select(columns).collect()))
+    assert len(expected) == 3
+    assert sorted(map(tuple, changed.select(columns).collect())) == expected
+    # Not even the row's own revenue is a feature.
+    assert sorted(map(tuple, own.select(columns).collect())) == expected
