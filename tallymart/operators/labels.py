@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.operators.features import TIME_ORDER
+from tallymart.session import materialize
 
 PERIOD = ("year", "month")
 
@@ -34,11 +35,16 @@ def group_quantile_nearest(
        most ``n / accuracy`` and the marks lie three times that to either side, so the wanted value
        is between them;
     2. values between the marks are counted one by one, those under them only as a total, both
-       combined in the map tasks. A running count over the few values left finds the wanted one.
+       combined in the map tasks. A running count over the at most ``6 * n / accuracy`` values left
+       finds the wanted one.
 
     Groups of at most ``accuracy`` values skip the marks. If a value were not found between the
-    marks the query would fail, not return another one. ``bounded_groups`` states that the number
-    of groups does not grow with the data (calendar months do not), so the marks are broadcast.
+    marks the query would fail, not return another one. A higher ``accuracy`` makes the sketches
+    larger and the last step smaller.
+
+    ``bounded_groups`` states that the number of groups does not grow with the data (calendar months
+    do not), so the marks are broadcast. Otherwise they are written to the shared folder when this
+    is called; Spark then knows their size and broadcasts them only if they are small.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError(f"q must be between 0 and 1, not {q}")
@@ -59,7 +65,8 @@ def group_quantile_nearest(
         )
     )
     same_group = [F.col(a).eqNullSafe(F.col(f"{a}_g")) for a in aliases]
-    marked = rows.join(F.broadcast(groups) if bounded_groups else groups, same_group)
+    groups = F.broadcast(groups) if bounded_groups else materialize(groups, "quantile-marks")
+    marked = rows.join(groups, same_group)
     x = F.col("_x")
     counted = (
         marked.filter(F.coalesce(x <= F.col("_high"), F.lit(True)))
