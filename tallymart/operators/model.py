@@ -185,8 +185,8 @@ def fit_forest(
             minInstancesPerNode=min_leaf,
             featureSubsetStrategy="sqrt",
             maxBins=max_bins,
-            # Room for the split statistics of a whole level, so a level takes one pass.
-            maxMemoryInMB=1024,
+            # Keep each row's place in each tree instead of walking the trees at every level.
+            cacheNodeIds=True,
             seed=seed,
         )
         return ForestFit(estimator.fit(rows), tuple(features))

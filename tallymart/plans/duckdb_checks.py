@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from tallymart.operators.categorize import LIQUOR_RULES, UNCATEGORIZED
 from tallymart.operators.features import FEATURE_LABELS, FEATURES
+from tallymart.plans.queries import CUT_SCALE
 from tallymart.sources.star import CATEGORY_OF_BRAND
 
 
@@ -16,7 +17,8 @@ def _quoted(text: str) -> str:
 
 
 def _single(expression: str) -> str:
-    return f"CAST(CAST({expression} AS FLOAT) AS DOUBLE)"
+    scale = f"CAST('{CUT_SCALE}' AS DOUBLE)"
+    return f"CAST(CAST(({expression}) * {scale} AS FLOAT) AS DOUBLE) / {scale}"
 
 
 def _cents(expression: str) -> str:
