@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -40,12 +41,18 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     )
 
 
-def with_class_weight(df: DataFrame, label: str = LABEL, out: str = "class_weight") -> DataFrame:
-    """Add each row's balanced weight; brings one row per class to the driver."""
+def with_class_weight(
+    df: DataFrame, label: str = LABEL, out: str = "class_weight"
+) -> tuple[DataFrame, int]:
+    """``df`` with each row's balanced weight, and its number of rows.
+
+    Brings one row per class to the driver.
+    """
+    classes = class_weights(df, label).collect()
     weight = F.lit(None).cast("double")
-    for row in class_weights(df, label).collect():
+    for row in classes:
         weight = F.when(F.col(label) == row[label], F.lit(row.class_weight)).otherwise(weight)
-    return df.withColumn(out, weight)
+    return df.withColumn(out, weight), sum(row.n_rows for row in classes)
 
 
 @dataclass(frozen=True)
@@ -77,13 +84,18 @@ class Scaler:
         )
 
 
-def _training_set(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows spread evenly over the cores and kept for the passes of an iterative fit.
+# A fit keeps every core busy, and a task within memory however many rows there are.
+ROWS_PER_TASK = 1_000_000
+
+
+def _training_set(df: DataFrame, keys: Sequence[str], n_rows: int) -> DataFrame:
+    """Rows spread evenly and kept for the passes of an iterative fit.
 
     Hashing on the row's own key gives the same partitions when a lost one is computed again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    partitions = max(cores, math.ceil(n_rows / ROWS_PER_TASK))
+    return df.repartition(partitions, *keys).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _scores(predicted: DataFrame, kept: Sequence[str]) -> DataFrame:
@@ -126,14 +138,15 @@ def fit_logistic(
     its penalty is 1 / (c * sum of weights), and balanced weights sum to the number of rows.
     """
     scaler = Scaler.fit(train, features)
-    weighted = with_class_weight(train, label).select(*keys, *features, label, "class_weight")
-    rows = _training_set(_scaled_vector(weighted, scaler, features), keys)
+    weighted, n = with_class_weight(train, label)
+    weighted = weighted.select(*keys, *features, label, "class_weight")
+    rows = _training_set(_scaled_vector(weighted, scaler, features), keys, n)
     try:
         estimator = LogisticRegression(
             featuresCol="_features",
             labelCol=label,
             weightCol="class_weight",
-            regParam=1.0 / (c * rows.count()),
+            regParam=1.0 / (c * n),
             elasticNetParam=0.0,
             standardization=False,
             maxIter=max_iter,
@@ -173,8 +186,9 @@ def fit_forest(
     seed: int = 42,
 ) -> ForestFit:
     """Random forest with balanced class weights."""
-    weighted = with_class_weight(train, label).select(*keys, *features, label, "class_weight")
-    rows = _training_set(_plain_vector(weighted, features), keys)
+    weighted, n = with_class_weight(train, label)
+    weighted = weighted.select(*keys, *features, label, "class_weight")
+    rows = _training_set(_plain_vector(weighted, features), keys, n)
     try:
         estimator = RandomForestClassifier(
             featuresCol="_features",

@@ -28,7 +28,7 @@ def profile_reports(profiled: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def sales_reports(sales: DataFrame) -> dict[str, DataFrame]:
+def sales_reports(sales: DataFrame, invoice_is_unique: bool = False) -> dict[str, DataFrame]:
     """Audits and marts over the cleaned table. Each report is lazy and scans only its columns."""
     return {
         "distinct_categories": categorize.distinct_values(sales, "category"),
@@ -44,25 +44,28 @@ def sales_reports(sales: DataFrame) -> dict[str, DataFrame]:
         "top_counties": marts.top_counties(sales),
         "top_cities": marts.top_cities(sales),
         "weekday_weekend": marts.weekday_weekend(sales),
-        "city_efficiency": marts.city_efficiency(sales),
+        "city_efficiency": marts.city_efficiency(sales, invoice_is_unique=invoice_is_unique),
     }
 
 
-def breakout_cohort(sales: DataFrame, invoice_is_unique: bool = False) -> DataFrame:
+def breakout_cohort(months: DataFrame) -> DataFrame:
     """Labelled store-months of stores that were below the threshold in their month before.
 
-    The features are written once, because thresholds, labels and the later split all read them and
-    the transactions should be scanned a single time.
+    The features are written once, because thresholds and labels read them several times.
     """
-    months = panel.store_month_panel(sales, invoice_is_unique=invoice_is_unique)
     return labels.breakout_labels(materialize(features.store_features(months), "features"))
 
 
 def fit_models(train: DataFrame, test: DataFrame, trees: int = 300) -> Models:
-    """Both classifiers fitted on ``train``, with their scores of ``test``."""
+    """Both classifiers fitted on ``train``, with their scores of ``test``.
+
+    The scores are written once; several reports read them.
+    """
     logistic = model.fit_logistic(train)
     forest = model.fit_forest(train, trees=trees)
-    return Models(logistic, forest, logistic.predict(test), forest.predict(test))
+    logistic_scores = materialize(logistic.predict(test), "logistic-scores")
+    forest_scores = materialize(forest.predict(test), "forest-scores")
+    return Models(logistic, forest, logistic_scores, forest_scores)
 
 
 def model_comparison(models: Models) -> DataFrame:
@@ -94,12 +97,16 @@ def analyse(
     over = profile.over_threshold(profile.null_report(profiled), null_threshold).collect()
     sparse = [row.column_name for row in over if row.column_name != rules.date]
     sales = materialize(clean.clean(raw, rules, also_drop=sparse), "sales")
-    cohort = materialize(breakout_cohort(sales, invoice_is_unique), "cohort")
+    months = panel.store_month_panel(sales, invoice_is_unique=invoice_is_unique)
+    months = materialize(months, "panel")
+    cohort = materialize(breakout_cohort(months), "cohort")
     train, test, cutoff = split.train_test_split(cohort)
     models = fit_models(train, test, trees)
     return {
         **profile_reports(profiled),
-        **sales_reports(sales),
+        **sales_reports(sales, invoice_is_unique),
+        "panel_stats": panel.panel_stats(months),
+        "temporal_cutoff": split.temporal_cutoff(cohort),
         "split_summary": split.split_summary(split.with_split(cohort, cutoff)),
         "logistic_report": evaluate.classification_report(models.logistic_scores),
         "forest_report": evaluate.classification_report(models.forest_scores),

@@ -56,8 +56,9 @@ def test_balanced_weights_sum_to_the_rows(data):
     _, y, df = data
     weights = {r.y: r.class_weight for r in model.class_weights(df, "y").collect()}
     assert weights[1] == pytest.approx(400 / (2 * y.sum()))
-    total = model.with_class_weight(df, "y").agg({"class_weight": "sum"}).first()[0]
-    assert total == pytest.approx(400)
+    weighted, n = model.with_class_weight(df, "y")
+    assert n == 400
+    assert weighted.agg({"class_weight": "sum"}).first()[0] == pytest.approx(400)
 
 
 def test_forest_finds_the_signal(data):
