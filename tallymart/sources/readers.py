@@ -20,14 +20,14 @@ def read_csv(
     """Lazy CSV scan with a header.
 
     Without ``schema`` every column is text named by the header; types come from the cleaning step,
-    so no pass over the data is spent on inference. With ``schema`` its names are checked against
-    the header and a malformed row fails the query. ``multiline`` allows line breaks inside quotes,
+    so no pass over the data is spent on inference. Every file's header must name the columns in the
+    same order, or the query fails. With ``schema`` a malformed row fails it too. ``multiline`` allows line breaks inside quotes,
     at the price that a file can no longer be split between tasks. An empty field is NULL, with or
     without quotes.
     """
-    reader = spark.read.options(**_CSV_FORMAT).option("multiLine", multiline)
+    reader = spark.read.options(**_CSV_FORMAT, multiLine=multiline, enforceSchema=False)
     if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", False).option("mode", "FAILFAST")
+        reader = reader.schema(schema).option("mode", "FAILFAST")
     return reader.csv(path)
 
 

@@ -103,6 +103,16 @@ def test_csv_with_schema_checks_the_header(spark, tmp_path):
     assert tuple(read_csv(spark, path, right).first()) == (1, 2)
 
 
+def test_csv_files_must_agree_on_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("x,y\n3,4\n")
+    rows = read_csv(spark, str(tmp_path))
+    assert sorted(r.y for r in rows.select("y").collect()) == ["2", "4"]
+    (tmp_path / "c.csv").write_text("y,x\n5,6\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path)).collect()
+
+
 def test_partitioned_parquet_prunes(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(1000).withColumn("year", F.when(F.col("id") < 900, 2020).otherwise(2021))
