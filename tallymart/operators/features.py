@@ -64,8 +64,9 @@ def store_features(
 
     A lag is a number of rows, not of calendar months. A lag whose column is None is left out.
 
-    All features share one window, so the plan has one shuffle and one sort. Its groups are panel rows, one per month and place of a store:
-    their number follows from the calendar and the map, not from how much the store sells.
+    All features share one window, so the plan has one shuffle and one sort. Its groups are panel
+    rows, one per month and place of a store: their number follows from the calendar and the map,
+    not from how much the store sells.
     """
     window = Window.partitionBy(store).orderBy(*order)
     amount = F.col(revenue)

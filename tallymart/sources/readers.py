@@ -21,9 +21,10 @@ def read_csv(
 
     Without ``schema`` every column is text named by the header; types come from the cleaning step,
     so no pass over the data is spent on inference. Every file's header must name the columns in the
-    same order, or the query fails. With ``schema`` a malformed row fails it too. ``multiline`` allows line breaks inside quotes,
-    at the price that a file can no longer be split between tasks. An empty field is NULL, with or
-    without quotes.
+    same order, or the query fails. With ``schema`` a malformed row fails it too.
+
+    An empty field is NULL, with or without quotes. ``multiline`` allows line breaks inside quotes,
+    at the price that a file can no longer be split between tasks.
     """
     reader = spark.read.options(**_CSV_FORMAT, multiLine=multiline, enforceSchema=False)
     if schema is not None:
