@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,12 +24,18 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the configured checkpoint directory."""
+    """Folder all executors can reach: the configured checkpoint directory.
+
+    Where none is configured, a session in one process (``local[...]``) gets a temporary folder. Any
+    other master raises: a temporary folder there is a different disk on every machine.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallymart-"))
     return sc.getCheckpointDir()
 
