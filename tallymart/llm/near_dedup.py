@@ -2,8 +2,8 @@
 
 Texts with the same shingle set are one class from the start, so copies never meet each other. Classes
 that share a band key are candidates. A bucket with few classes offers all its pairs. A larger one
-offers only the pairs with a few centres, and after each grouping round only buckets that still hold
-several components offer pairs of new centres, until none is left: every pair of a bucket is either
+offers only the pairs with its first class, and after each grouping round only buckets that still hold
+several components offer the pairs of up to ``CENTRES`` new centres, until none is left: every pair of a bucket is either
 compared or already in one component. Work per round is a small multiple of the bucket's rows.
 
 With 40 bands of 5 slots, a pair at similarity 0.8 misses all buckets with probability below 2e-7.
@@ -27,7 +27,7 @@ from tallymart.session import materialize
 
 SLOTS, BANDS = 200, 40
 SMALL_BUCKET = 8
-CENTRES = 4
+CENTRES = 64
 
 
 def shingle_sets(texts: tb.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
