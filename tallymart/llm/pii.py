@@ -99,17 +99,19 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _spans_of_kind(text: Column, rank: int, kind: str) -> Column:
+    found = F.transform(
+        F.filter(_matches(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"])),
+        lambda s: F.struct(
+            s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")
+        ),
+    )
+    return F.when(text.rlike(POSSIBLE[kind]), found).otherwise(F.array().cast(_NO_SPANS))
+
+
 def base_spans(text: Column) -> Column:
     """Array of structs (start, rank, end, kind, value) of all kinds, sorted by start, then kind."""
-    each = []
-    for rank, kind in enumerate(KINDS):
-        found = F.transform(
-            F.filter(_matches(text, PATTERNS[kind]), lambda s, kind=kind: _valid(kind, s["value"])),
-            lambda s, rank=rank, kind=kind: F.struct(
-                s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")
-            ),
-        )
-        each.append(F.when(text.rlike(POSSIBLE[kind]), found).otherwise(F.array().cast(_NO_SPANS)))
+    each = [_spans_of_kind(text, rank, kind) for rank, kind in enumerate(KINDS)]
     return F.when(text.rlike("[0-9@]"), F.array_sort(F.concat(*each))).otherwise(F.array().cast(_NO_SPANS))
 
 
@@ -199,7 +201,7 @@ def personal_data(
     added = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("added"))
     added = added.withColumnsRenamed({"doc_id": "added_id", "text_key": "added_key"})
     same = F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("text_key") == F.col("added_key"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), lambda x: x == k)).cast("long").alias(f"n_{k}") for k in KINDS]
     out = rows.drop("text").join(added, same, "left")
     every = F.array_sort(F.concat("spans", F.coalesce("added", F.array().cast(_NO_SPANS))))
     return out.select(
