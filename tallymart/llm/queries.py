@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import byte_bpe, decontaminate, language, near_dedup, pii, quality_model, quality_rules, secrets, wavelet
+from tallymart.llm import byte_bpe, decontaminate, language, near_dedup, pii, quality_model, quality_rules, repeats, secrets, wavelet
 from tallymart.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op4_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@_query
+def op5_repeated_bytes(spark: SparkSession, root: str) -> DataFrame:
+    return repeats.repeated_bytes(table(spark, root, "documents"))
+
+
 @_query
 def op6_wavelet_tokens(spark: SparkSession, root: str) -> DataFrame:
     shards = wavelet.write_shards(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
