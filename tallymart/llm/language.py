@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallymart.llm import textbatch as tb
 from tallymart.llm.common import id_and_text, map_texts, ship
 
-SAMPLE_TEXTS = 12
+SAMPLE_TEXTS = 16
 SAMPLE_CHARS = 2500
 BLOCK = 256
 SLICE_BYTES = 4 << 20
@@ -155,10 +155,26 @@ def training_samples(docs: DataFrame, usable: Column) -> dict[str, bytes]:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id")
     picked = sizes.withColumn("rank", F.row_number().over(order)).where(f"rank <= {SAMPLE_TEXTS}").select("doc_id", "lang")
     found = docs.where(f"length(text) between 1 and {SAMPLE_CHARS}").join(F.broadcast(picked), ["doc_id", "lang"])
-    samples: dict[str, list[tuple[int, str]]] = {}
-    for row in found.select("doc_id", "lang", "text").collect():
-        samples.setdefault(row.lang, []).append((row.doc_id, row.text))
-    return {k: "\n".join(text for _, text in sorted(set(v))[:SAMPLE_TEXTS]).encode() for k, v in samples.items()}
+    samples: dict[str, list[str]] = {}
+    for row in sorted(found.select("doc_id", "lang", "text").distinct().collect()):
+        samples.setdefault(row.lang, []).append(row.text)
+    return {k: "\n".join(v[:SAMPLE_TEXTS]).encode() for k, v in _agreed(samples).items()}
+
+
+def _agreed(samples: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The sample texts whose label is confirmed by automata of the other half of the sample.
+
+    A mislabelled text would teach its label another language. A language of which no text is confirmed
+    keeps all.
+    """
+    kept: dict[str, list[str]] = {k: [] for k in samples}
+    for half in (0, 1):
+        teacher = Parser({k: "\n".join(v[half::2]).encode() for k, v in samples.items() if v[half::2]})
+        for k, v in samples.items():
+            if taught := v[1 - half :: 2]:
+                names, _ = teacher.label(tb.from_arrow(pa.array(taught, pa.string())))
+                kept[k] += [text for text, name in zip(taught, names) if name == k]
+    return {k: kept[k] or v for k, v in samples.items()}
 
 
 def identify(docs: DataFrame, usable: Column, lang_col: str = "lang") -> DataFrame:

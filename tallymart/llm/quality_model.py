@@ -1,8 +1,10 @@
 """Text classifier: logistic regression on hashed word n-grams, trained with FTRL-proximal updates.
 
 Features of a text are its words, word pairs, and the same for word shapes (runs of one character
-class written once: ``THE!!`` is ``A!``), hashed into a fixed table of weights. A feature's value is its
-share of the text's features, so a score does not depend on the length. Scoring is one sparse dot
+class written once: ``THE!!`` is ``A!``), and which of the last words each word echoes, hashed into a
+fixed table of weights. A feature's value is its share of the text's features (a little less in very
+short texts, which so lean to the bias), so a score does not depend on the length. The bias is fixed to
+the log odds of the labels, the score of an empty text. Scoring is one sparse dot
 product per text: weights are gathered by hash and averaged.
 
 Training uses at most ``train_rows`` labelled texts. They are dealt to ``shards`` tasks; each runs the
@@ -26,7 +28,9 @@ BITS = 18
 TRAIN_ROWS = 8192
 SHARDS = 4
 EPOCHS = 2
-SCALE = 8.0
+SCALE = 16.0
+DAMPING = 4
+ECHO = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -46,6 +50,16 @@ def _shape_hashes(texts: tb.Texts, words: tb.Spans) -> np.ndarray:
     return tb.span_hashes(shapes[keep], place[words.starts], place[words.ends])
 
 
+def _echoes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each word, a bit for each of the ECHO words before it in the text that is the same word."""
+    bits = np.zeros(len(hashes), np.uint64)
+    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    for k in range(1, min(ECHO, len(hashes) - 1) + 1):
+        same = (hashes[k:] == hashes[:-k]) & (place[k:] >= k)
+        bits[k:] |= same.astype(np.uint64) << np.uint64(k - 1)
+    return bits
+
+
 def features(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Slots in the weight table of every feature occurrence, text by text, and their number per text."""
     words = tb.words(texts)
@@ -57,17 +71,20 @@ def features(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
             salted = tb.mix(grams + np.uint64(2 * kind + n))
             slots.append((salted >> np.uint64(64 - BITS)).astype(np.int64))
             owners.append(np.searchsorted(words.bounds, at, "right") - 1)
+    echo = _echoes(kinds[0], words.bounds)
+    slots.append((tb.mix(echo + np.uint64(99)) >> np.uint64(64 - BITS)).astype(np.int64))
+    owners.append(words.owner)
     owner, slot = np.concatenate(owners), np.concatenate(slots)
     order = np.argsort(owner, kind="stable")
     return slot[order], np.bincount(owner, minlength=len(texts))
 
 
 class Ftrl:
-    """Per-coordinate FTRL-proximal state of a logistic regression; the last coordinate is the bias."""
+    """Per-coordinate FTRL-proximal state of a logistic regression with a fixed bias."""
 
-    def __init__(self) -> None:
-        size = (1 << BITS) + 1
-        self.z, self.n = np.zeros(size), np.zeros(size)
+    def __init__(self, bias: float) -> None:
+        self.bias = bias
+        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -75,7 +92,7 @@ class Ftrl:
 
     def update(self, at: np.ndarray, x: np.ndarray, label: int, importance: float) -> None:
         w = self.weights(at)
-        p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30)))
+        p = 1.0 / (1.0 + np.exp(-np.clip(w @ x + self.bias, -30, 30)))
         g = importance * (p - label) * x
         root = np.sqrt(self.n[at])
         self.n[at] += g * g
@@ -83,22 +100,24 @@ class Ftrl:
 
 
 def _train(rows: list[tuple[bytes, int]]) -> np.ndarray:
+    """Weights, and as the last value the bias: the log odds of label 1 among the rows, within (0.05, 0.95)."""
     offsets = np.concatenate([[0], np.cumsum([len(text) for text, _ in rows])]).astype(np.int64)
     texts = tb.Texts(np.frombuffer(b"".join(text for text, _ in rows), np.uint8), offsets)
     labels = np.array([label for _, label in rows])
     share = np.array([max((labels == k).sum(), 1) for k in (0, 1)])
     importance = len(labels) / (2.0 * share)
+    prior = min(max(labels.mean(), 0.05), 0.95)
     examples = []
     for _, part in tb.slices(texts):
         slot, counts = features(part)
         for some in np.split(slot, np.cumsum(counts)[:-1]):
             at, times = np.unique(some, return_counts=True)
-            examples.append((np.append(at, 1 << BITS), np.append(SCALE * times / max(len(some), 1), 1.0)))
-    model = Ftrl()
+            examples.append((at, SCALE * times / (len(some) + DAMPING)))
+    model = Ftrl(np.log(prior / (1 - prior)))
     for epoch in range(EPOCHS):
         for i in np.random.default_rng(epoch).permutation(len(examples)):
             model.update(*examples[i], int(labels[i]), importance[labels[i]])
-    return model.weights().astype(np.float32)
+    return np.append(model.weights(), model.bias).astype(np.float32)
 
 
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TR
     """Weights from at most ``train_rows`` labelled texts, picked by a hash of the id.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and label (0 or 1; others are left out); only ids
-    where ``usable`` holds are read. Without any labelled text all weights are 0. The picked ids are
+    where ``usable`` holds are read. Without any labelled text all weights are 0 and every score is 0.5. The picked ids are
     broadcast: their number is ``train_rows`` at most.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
@@ -142,7 +161,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         slot, counts = features(texts)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         running = np.concatenate([[0.0], np.cumsum(table[slot].astype(np.float64))])
-        dot = SCALE * (running[bounds[1:]] - running[bounds[:-1]]) / np.maximum(counts, 1) + table[1 << BITS]
+        dot = SCALE * (running[bounds[1:]] - running[bounds[:-1]]) / (counts + DAMPING) + table[1 << BITS]
         return {"score": pa.array(1.0 / (1.0 + np.exp(-np.clip(dot, -30, 30))), pa.float64())}
 
     return map_texts(docs, run, "score double")
