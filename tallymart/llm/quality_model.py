@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.llm import textbatch as tb
-from tallymart.llm.common import id_and_text, map_texts
+from tallymart.llm.common import id_and_text, map_texts, ship
 
 BITS = 18
 TRAIN_ROWS = 8192
@@ -152,19 +152,32 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TR
     return np.mean(found, axis=0) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
+def _scores(texts: tb.Texts, table: np.ndarray) -> np.ndarray:
+    slot, counts = features(texts)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    running = np.concatenate([[0.0], np.cumsum(table[slot].astype(np.float64))])
+    dot = SCALE * (running[bounds[1:]] - running[bounds[:-1]]) / (counts + DAMPING) + table[1 << BITS]
+    return 1.0 / (1.0 + np.exp(-np.clip(dot, -30, 30)))
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs`` (with a column text) without the text, with ``score``: the probability of label 1."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
+    return map_texts(docs, lambda texts: {"score": pa.array(_scores(texts, sent.value), pa.float64())}, "score double")
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text scores ``threshold`` or more."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    place = docs.columns.index(text_col)
 
-    def run(texts: tb.Texts) -> dict[str, pa.Array]:
-        table = sent.value
-        slot, counts = features(texts)
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        running = np.concatenate([[0.0], np.cumsum(table[slot].astype(np.float64))])
-        dot = SCALE * (running[bounds[1:]] - running[bounds[:-1]]) / (counts + DAMPING) + table[1 << BITS]
-        return {"score": pa.array(1.0 / (1.0 + np.exp(-np.clip(dot, -30, 30))), pa.float64())}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in tb.slices(tb.from_arrow(batch.column(place))):
+                yield batch.slice(first, len(part)).filter(pa.array(_scores(part, sent.value) >= threshold))
 
-    return map_texts(docs, run, "score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = 0.7) -> DataFrame:
