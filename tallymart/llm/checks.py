@@ -2,6 +2,31 @@
 
 from __future__ import annotations
 
+_OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+      FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+marked AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS t(k) GROUP BY r),
+c AS (SELECT d.doc_id, d.text, len(words) AS n_words,
+        length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(n, 0) AS n_repeat_words,
+        len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) AS lettered,
+        length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper_letters,
+        length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS ascii_letters
+      FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN marked USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words
+    OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * n_lines OR 2 * upper_letters > ascii_letters
+    OR 10 * lettered < 8 * n_words) AS kept
+FROM c
+"""
+
 
 def checks() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": _OP2}
