@@ -39,8 +39,3 @@ def calendar_columns(date: Column, weekend_start: int = WEEKEND_START) -> dict[s
 def quarter_label(year: Column, quarter: Column) -> Column:
     """``2022 Q1``."""
     return F.concat(year.cast("string"), F.lit(" Q"), quarter.cast("string"))
-
-
-def month_index(year: Column, month: Column) -> Column:
-    """Months as consecutive integers, for comparing (year, month) pairs."""
-    return year * F.lit(12) + month

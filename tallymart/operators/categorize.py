@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions.aggregates import n_rows
+from tallymart.session import materialize
 
 
 class Rule(NamedTuple):
@@ -26,17 +27,10 @@ LIQUOR_RULES = (
     Rule("BRANDY & COGNAC", "BRANDY|BRANDIES|COGNAC"),
     Rule("SCHNAPPS", "SCHNAPPS"),
     Rule("LIQUEURS & CORDIALS", "AMARETTO|CORDIAL|LIQUEUR|ANISETTE|CREME|ROCK & RYE|TRIPLE SEC"),
-    Rule(
-        "SPECIALTY & OTHER SPIRITS",
-        "AMERICAN ALCOHOL|AMERICAN DISTILLED SPIRITS|DISTILLED SPIRITS SPECIALTY"
-        "|IMPORTED DISTILLED SPIRITS|NEUTRAL GRAIN SPIRITS",
-    ),
+    Rule("SPECIALTY & OTHER SPIRITS", "AMERICAN ALCOHOL|AMERICAN DISTILLED SPIRITS|DISTILLED SPIRITS SPECIALTY|IMPORTED DISTILLED SPIRITS|NEUTRAL GRAIN SPIRITS"),
     Rule("READY-TO-DRINK", "COCKTAIL|RTD"),
     Rule("CRAFT/LOCAL", "IOWA DISTILLER"),
-    Rule(
-        "ADMINISTRATIVE/NON-PRODUCT",
-        "DECANTERS|DELISTED|SPECIAL ORDER|HIGH PROOF BEER|HOLIDAY VAP|TEMPORARY",
-    ),
+    Rule("ADMINISTRATIVE/NON-PRODUCT", "DECANTERS|DELISTED|SPECIAL ORDER|HIGH PROOF BEER|HOLIDAY VAP|TEMPORARY"),
 )
 UNCATEGORIZED = "UNCATEGORIZED"
 
@@ -72,11 +66,12 @@ def categorize_by_lookup(
     """Same result as :func:`categorize`, running the rules once per distinct text.
 
     Costs a second scan of one column and a join, so it pays off for long rule lists over few
-    distinct texts. The join is null-safe and carries no broadcast hint: Spark measures the
-    distinct texts at run time.
+    distinct texts. These are written to the shared folder when this is called, so Spark knows their
+    size before it plans the join: few texts are broadcast and the rows of ``df`` stay where they
+    are. The join is null-safe.
     """
     names = df.select(F.col(text).alias("_text")).distinct()
-    lookup = categorize(names, "_text", label, rules, default)
+    lookup = materialize(categorize(names, "_text", label, rules, default), "category-texts")
     return df.join(lookup, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
@@ -101,15 +96,24 @@ def by_category(
     )
 
 
-def category_distribution(df: DataFrame, text: str = "category_name") -> DataFrame:
+def _rows(weight: str | None) -> Column:
+    """Row count, or the sum of the column that holds it where rows are already counted."""
+    return n_rows() if weight is None else F.sum(weight)
+
+
+def category_distribution(
+    df: DataFrame, text: str = "category_name", weight: str | None = None
+) -> DataFrame:
     """Rows per major category, most frequent first."""
-    counts = by_category(df, {"n_sales": n_rows()}, text)
+    counts = by_category(df, {"n_sales": _rows(weight)}, text)
     return counts.orderBy(F.col("n_sales").desc(), F.col("major_category"))
 
 
-def uncategorized_audit(df: DataFrame, text: str = "category_name") -> DataFrame:
+def uncategorized_audit(
+    df: DataFrame, text: str = "category_name", weight: str | None = None
+) -> DataFrame:
     """Category texts no rule matches, with their row counts, most frequent first."""
-    counts = df.groupBy(text).agg(n_rows().alias("n_sales"))
+    counts = df.groupBy(text).agg(_rows(weight).alias("n_sales"))
     left_over = categorize(counts, text).filter(F.col("major_category") == F.lit(UNCATEGORIZED))
     return left_over.select(text, "n_sales").orderBy(
         F.col("n_sales").desc(), F.col(text).asc_nulls_first()

@@ -6,9 +6,9 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallymart.functions.calendar import WEEKEND_START, calendar_columns, parse_date
+from tallymart.functions.columns import exact
 from tallymart.operators.profile import null_heavy_columns
 from tallymart.sources.schema import COLUMN_NAMES, NUMERIC_TYPES, TEXT_COLUMNS, UNUSED_COLUMNS
 
@@ -33,14 +33,14 @@ def cast_columns(df: DataFrame, types: Mapping[str, str], mode: str = "strict")
         raise ValueError(f"mode must be 'strict' or 'lenient', not {mode!r}")
     present = {name: kind for name, kind in types.items() if name in df.columns}
     if mode == "strict":
-        return df.withColumns({name: F.col(name).cast(kind) for name, kind in present.items()})
-    return df.withColumns({name: F.col(name).try_cast(kind) for name, kind in present.items()})
+        return df.withColumns({name: exact(name).cast(kind) for name, kind in present.items()})
+    return df.withColumns({name: exact(name).try_cast(kind) for name, kind in present.items()})
 
 
 def add_calendar(
     df: DataFrame, date: str = "sale_date", weekend_start: int = WEEKEND_START
 ) -> DataFrame:
-    return df.withColumns(calendar_columns(F.col(date), weekend_start))
+    return df.withColumns(calendar_columns(exact(date), weekend_start))
 
 
 def clean(
@@ -51,18 +51,24 @@ def clean(
     kept = raw.drop(*rules.drop, *also_drop)
     kept = cast_columns(kept, rules.numeric, rules.mode)
     kept = cast_columns(kept, dict.fromkeys(rules.text, "string"), rules.mode)
-    parsed = parse_date(F.col(rules.date), rules.date_format, rules.mode)
+    parsed = parse_date(exact(rules.date), rules.date_format, rules.mode)
     kept = kept.withColumn(rules.date, parsed).withColumnsRenamed(dict(rules.names))
     return add_calendar(kept, rules.names.get(rules.date, rules.date), rules.weekend_start)
 
 
 def clean_profiled(
-    raw: DataFrame, rules: CleaningRules | None = None, null_threshold: float = 0.10
+    raw: DataFrame,
+    rules: CleaningRules | None = None,
+    null_threshold: float = 0.10,
+    required: Iterable[str] = (),
 ) -> DataFrame:
     """:func:`clean` without the columns whose share of NULLs reaches ``null_threshold``.
 
-    The date column is kept whatever its share, because the calendar needs it.
+    The date column is kept whatever its share, because the calendar needs it. ``required`` names
+    source columns a later step cannot do without; if one of them would go, this fails with its name.
     """
     rules = rules or CleaningRules()
     sparse = [name for name in null_heavy_columns(raw, null_threshold) if name != rules.date]
+    if needed := [name for name in required if name in sparse]:
+        raise ValueError(f"columns with too many NULLs that are needed later: {', '.join(needed)}")
     return clean(raw, rules, also_drop=sparse)

@@ -8,20 +8,31 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions.aggregates import n_rows
-
 # Display names of class 0 and class 1.
 CLASS_NAMES = ("Bottom 75%", "Top Quartile")
 
 
+def _binary(column: str) -> Column:
+    return F.coalesce(F.col(column).isin(0, 1), F.lit(False))
+
+
+def _all_binary(count: Column, bad: Column, columns: tuple[str, ...]) -> Column:
+    """``count``, or an error if any row of the aggregate was neither 0 nor 1."""
+    message = F.lit(f"{' or '.join(columns)} is NULL, NaN or not 0 or 1 in some rows")
+    return F.when(bad > 0, F.raise_error(message)).otherwise(count)
+
+
 def _cells(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """One row with the four cells: tn, fp, fn, tp."""
+    """One row with the four cells: tn, fp, fn, tp. A row that fits none of them fails the query."""
 
     def cell(actual: int, predicted: int) -> Column:
         return F.count_if((F.col(label) == actual) & (F.col(prediction) == predicted))
 
-    return df.agg(
-        cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp")
+    bad = F.count_if(~(_binary(label) & _binary(prediction)))
+    cells = {"tn": cell(0, 0), "fp": cell(0, 1), "fn": cell(1, 0), "tp": cell(1, 1)}
+    counts = df.agg(*[value.alias(name) for name, value in cells.items()], bad.alias("bad"))
+    return counts.select(
+        *[_all_binary(F.col(name), F.col("bad"), (label, prediction)).alias(name) for name in cells]
     )
 
 
@@ -33,12 +44,20 @@ def _rate(part: Column, whole: Column) -> Column:
 def confusion_matrix(
     df: DataFrame, label: str = "is_top_quartile", prediction: str = "prediction"
 ) -> DataFrame:
-    """One row per actual class, one column per predicted class."""
-    counts = df.groupBy(F.col(label).alias("actual")).pivot(prediction, [0, 1]).agg(n_rows())
+    """One row per actual class, one column per predicted class.
+
+    A row whose label or prediction is NULL, NaN or another class fails the query.
+    """
+    counts = df.groupBy(F.col(label).alias("actual")).agg(
+        *[F.count_if(F.col(prediction) == k).alias(f"predicted_{k}") for k in (0, 1)],
+        F.count_if(~(_binary(label) & _binary(prediction))).alias("bad"),
+    )
     return counts.select(
         "actual",
-        F.coalesce(F.col("0"), F.lit(0)).alias("predicted_0"),
-        F.coalesce(F.col("1"), F.lit(0)).alias("predicted_1"),
+        *[
+            _all_binary(F.col(f"predicted_{k}"), F.col("bad"), (label, prediction)).alias(f"predicted_{k}")
+            for k in (0, 1)
+        ],
     ).orderBy("actual")
 
 
@@ -126,13 +145,18 @@ def area_under_roc(
     """The exact area under the ROC curve, ties counting half, with the size of both classes.
 
     Rows are combined per score in the map tasks and ranked by a distributed sort. There is no area
-    unless both classes occur.
+    unless both classes occur. A NULL or NaN score, or a label other than 0 and 1, is an error.
     """
     y = F.col(label).cast("double")
-    rows = df.select(F.col(score).cast("double").alias("score"), y.alias("y")).dropna()
+    rows = df.select(F.col(score).cast("double").alias("score"), y.alias("y"))
+    usable = F.col("score").isNotNull() & ~F.isnan("score") & _binary("y")
     sizes = rows.agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
+        F.count_if(F.col("y") == 1).alias("pos"),
+        F.count_if(F.col("y") == 0).alias("neg"),
+        F.count_if(~usable).alias("bad"),
     ).first()
+    if sizes.bad:
+        raise ValueError(f"{sizes.bad} rows have a NULL or NaN {score} or a {label} other than 0 and 1")
     if not (sizes.pos and sizes.neg):
         return RocArea(sizes.pos, sizes.neg, None)
     # numBins=0 keeps every distinct score; the default merges them into 1,000 points.

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +62,7 @@ def store_features(
     skus: str | None = "unique_skus",
     month: str = "month",
 ) -> DataFrame:
-    """Lags, trailing and expanding means and growth per store; rows without three lags are dropped.
+    """Lags, trailing and expanding means and growth per store; rows where one of three lags is NULL are left out.
 
     A lag is a number of rows, not of calendar months. A lag whose column is None is left out.
 
@@ -86,4 +88,4 @@ def store_features(
             "month_of_year": F.col(month),
         }
     )
-    return featured.dropna(subset=list(lags))
+    return featured.where(reduce(and_, [F.col(name).isNotNull() for name in lags]))

@@ -102,8 +102,8 @@ def monthly_thresholds(
     period: Sequence[str] = PERIOD,
     out: str = "q75",
 ) -> DataFrame:
-    """Nearest-rank quantile of ``value`` per month."""
-    return group_quantile_nearest(df, period, value, q, out, bounded_groups=True)
+    """Nearest-rank quantile of ``value`` per month, or per another ``period``."""
+    return group_quantile_nearest(df, period, value, q, out, bounded_groups=tuple(period) == PERIOD)
 
 
 def quartile_labels(
@@ -116,12 +116,14 @@ def quartile_labels(
 ) -> DataFrame:
     """Add the month's threshold and whether the row reaches it (1 or 0).
 
-    The thresholds are broadcast: one row per calendar month, about 120,000 for all years a date can
-    hold.
+    Monthly thresholds are broadcast: one row per calendar month, about 120,000 for all years a date
+    can hold. With another ``period`` Spark decides.
     """
     thresholds = monthly_thresholds(df, value, q, period, threshold)
+    if tuple(period) == PERIOD:
+        thresholds = F.broadcast(thresholds)
     reaches = (F.col(value) >= F.col(threshold)).cast("int")
-    return df.join(F.broadcast(thresholds), list(period), "left").withColumn(label, reaches)
+    return df.join(thresholds, list(period), "left").withColumn(label, reaches)
 
 
 def breakout_labels(

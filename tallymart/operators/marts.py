@@ -7,6 +7,8 @@ the key, which makes the report deterministic.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +28,17 @@ def sales_summary(
     revenue: str = "sale_dollars",
     volume: str = "volume_gallons",
     bottles: str = "bottles_sold",
+    rows: str | None = None,
 ) -> DataFrame:
-    """One row: revenue, volume, bottles and transactions."""
+    """One row: revenue, volume, bottles and transactions.
+
+    ``rows`` names the column with the number of transactions where ``df`` holds partial sums.
+    """
     return df.agg(
         sum_or_zero(F.col(revenue)).alias("total_revenue"),
         sum_or_zero(F.col(volume)).alias("total_volume_gallons"),
         sum_or_zero(F.col(bottles)).alias("total_bottles"),
-        n_rows().alias("total_transactions"),
+        (n_rows() if rows is None else sum_or_zero(F.col(rows))).alias("total_transactions"),
     )
 
 
@@ -134,15 +140,18 @@ def city_efficiency(
     k: int = 20,
     key: str = "city",
     revenue: str = "sale_dollars",
-    invoice: str = "invoice_item",
+    invoice: str | Sequence[str] = "invoice_item",
     invoice_is_unique: bool = False,
 ) -> DataFrame:
     """The ``k`` cities with the highest revenue per distinct invoice line.
 
+    ``invoice`` is one column or several that together name the line. Native keys are cheaper to
+    shuffle than a text made of them.
+
     ``invoice_is_unique`` states that no two rows share an invoice line; then a row count is the
     same number and no shuffle of the invoice column is needed.
     """
-    lines = n_rows() if invoice_is_unique else n_unique(F.col(invoice))
+    lines = n_rows() if invoice_is_unique else n_unique(F.col(invoice) if isinstance(invoice, str) else F.struct(*invoice))
     totals = df.groupBy(key).agg(
         sum_or_zero(F.col(revenue)).alias("total_sales"), lines.alias("n_transactions")
     )

@@ -29,8 +29,11 @@ LABEL = "is_top_quartile"
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     """One row per class: rows and balanced weight, all rows / (classes * rows of the class).
 
-    The window has no partition key; its input is one row per class.
+    A NULL label is no class and fails the query. The window has no partition key; its input is one
+    row per class.
     """
+    known = F.when(F.col(label).isNull(), F.raise_error(F.lit(f"{label} is NULL in some rows")))
+    df = df.select(known.otherwise(F.col(label)).alias(label))
     everything = Window.partitionBy()
     total = F.sum("n_rows").over(everything)
     classes = F.count(F.lit(1)).over(everything)
@@ -84,18 +87,23 @@ class Scaler:
         )
 
 
-# A fit keeps every core busy, and a task within memory however many rows there are.
+# Fixed by the data, so that a fit does not depend on the machine: enough tasks for small clusters,
+# and tasks within memory however many rows there are.
+LEAST_TASKS = 16
 ROWS_PER_TASK = 1_000_000
 
 
 def _training_set(df: DataFrame, keys: Sequence[str], n_rows: int) -> DataFrame:
     """Rows spread evenly and kept for the passes of an iterative fit.
 
-    Hashing on the row's own key gives the same partitions when a lost one is computed again.
+    The forest draws its bootstrap by partition and place of a row. Hashing on ``keys``, which must be
+    unique per row, and sorting by them gives the same rows in the same places on every machine, from
+    every input partitioning, and when a lost partition is computed again. (Split candidates come from
+    a sample of the rows that MLlib bounds and draws by the seed.)
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    partitions = max(cores, math.ceil(n_rows / ROWS_PER_TASK))
-    return df.repartition(partitions, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    partitions = max(LEAST_TASKS, math.ceil(n_rows / ROWS_PER_TASK))
+    dealt = df.repartition(partitions, *keys).sortWithinPartitions(*keys)
+    return dealt.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _scores(predicted: DataFrame, kept: Sequence[str]) -> DataFrame:

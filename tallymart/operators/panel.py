@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ def store_month_panel(
     df: DataFrame,
     keys: Sequence[str] = PANEL_KEYS,
     revenue: str = "sale_dollars",
-    invoice: str | None = "invoice_item",
+    invoice: str | Sequence[str] | None = "invoice_item",
     item: str | None = "item_description",
     bottles: str | None = "bottles_sold",
     liters: str | None = "volume_liters",
@@ -24,26 +26,40 @@ def store_month_panel(
 ) -> DataFrame:
     """Revenue, mean sale, distinct invoice lines and items, bottles and liters per key.
 
-    A measure whose column is None is left out.
+    A measure whose column is None is left out. ``invoice`` is one column or several that together
+    name the line. NULL counts as one item and one invoice.
 
-    The distinct counts shuffle on (keys, value), so a store with a large share of the rows is
-    spread over all tasks. Two of them make Spark expand each row by branch, and the invoice branch
-    has about as many groups as there are rows; set ``invoice_is_unique`` where no two rows share an
-    invoice line, and the row count takes its place with no such shuffle.
+    Sums are taken per (keys, item) first, so the number of items is the number of partial rows.
+    Distinct invoices are counted in a branch of their own and joined on the keys. Both shuffle on
+    the keys and a value, which spreads a store with a large share of the rows over all tasks, and
+    no row is expanded. With ``invoice_is_unique`` (no two rows share an invoice line) the row count
+    takes the place of that branch.
     """
-    measures = {
-        "monthly_revenue": sum_or_zero(F.col(revenue)),
-        "avg_transaction_value": F.avg(revenue),
-    }
-    if invoice is not None:
-        measures["num_transactions"] = n_rows() if invoice_is_unique else n_unique(F.col(invoice))
-    if item is not None:
-        measures["unique_skus"] = n_unique(F.col(item))
+    sums = {"monthly_revenue": F.col(revenue)}
     if bottles is not None:
-        measures["total_bottles"] = sum_or_zero(F.col(bottles))
+        sums["total_bottles"] = F.col(bottles)
     if liters is not None:
-        measures["total_liters"] = sum_or_zero(F.col(liters))
-    return df.groupBy(*keys).agg(*[value.alias(name) for name, value in measures.items()])
+        sums["total_liters"] = F.col(liters)
+    partial = {name: F.sum(value) for name, value in sums.items()}
+    partial["_n_revenue"] = F.count(revenue)
+    partial["_n_rows"] = n_rows()
+    per_item = df.groupBy(*keys, *([item] if item is not None else []))
+    per_item = per_item.agg(*[value.alias(name) for name, value in partial.items()])
+    rows = per_item.groupBy(*keys).agg(
+        *[sum_or_zero(F.col(name)).alias(name) for name in sums],
+        F.try_divide(F.sum("monthly_revenue"), F.sum("_n_revenue")).alias("avg_transaction_value"),
+        F.sum("_n_rows").alias("num_transactions"),
+        n_rows().alias("unique_skus"),
+    )
+    if invoice is not None and not invoice_is_unique:
+        columns = [invoice] if isinstance(invoice, str) else list(invoice)
+        counted = df.select(*keys, *columns).distinct().groupBy(*keys).agg(n_rows().alias("_n_invoices"))
+        counted = counted.withColumnsRenamed({key: f"_{key}" for key in keys})
+        same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys])
+        rows = rows.join(counted, same).withColumn("num_transactions", F.col("_n_invoices"))
+    measures = ["monthly_revenue", "avg_transaction_value"]
+    measures += ["num_transactions"] * (invoice is not None) + ["unique_skus"] * (item is not None)
+    return rows.select(*keys, *measures, *[name for name in sums if name != "monthly_revenue"])
 
 
 def panel_stats(

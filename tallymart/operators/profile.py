@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -19,6 +22,7 @@ from pyspark.sql.types import (
 )
 
 from tallymart.functions.aggregates import n_rows
+from tallymart.functions.columns import exact
 
 # Bytes per value in memory.
 _FIXED_WIDTH = {
@@ -36,18 +40,13 @@ _FIXED_WIDTH = {
 }
 
 
-def _column(name: str) -> Column:
-    """A top-level column by its exact name, whatever characters it has."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def table_dimensions(df: DataFrame) -> DataFrame:
     """One row: number of rows and of columns."""
     return df.agg(n_rows().alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
 def _text_bytes(name: str) -> Column:
-    return F.coalesce(F.sum(F.octet_length(_column(name).cast("string"))), F.lit(0))
+    return F.coalesce(F.sum(F.octet_length(exact(name).cast("string"))), F.lit(0))
 
 
 def column_profile(df: DataFrame, with_bytes: bool = False) -> DataFrame:
@@ -57,7 +56,7 @@ def column_profile(df: DataFrame, with_bytes: bool = False) -> DataFrame:
     UTF-8 length.
     """
     widths = [_FIXED_WIDTH.get(type(field.dataType)) for field in df.schema.fields]
-    measures = [F.count(_column(name)).alias(f"c{i}") for i, name in enumerate(df.columns)]
+    measures = [F.count(exact(name)).alias(f"c{i}") for i, name in enumerate(df.columns)]
     if with_bytes:
         measures += [
             _text_bytes(name).alias(f"b{i}")
@@ -145,3 +144,19 @@ def size_estimate(df: DataFrame, sample_fraction: float | None = None, seed: int
 def preview(df: DataFrame, order_by: list[str], n: int = 25) -> DataFrame:
     """The first ``n`` rows in a stated order; each task keeps only its own best ``n``."""
     return df.orderBy(*order_by).limit(n)
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Exact number of distinct values per column, NULL counting as one.
+
+    One aggregation per column, so that no row is expanded into one copy per column; ask for the
+    columns that matter on a wide table.
+    """
+    each = [
+        df.select(F.lit(name).alias("column_name"), exact(name).alias("v"))
+        .distinct()
+        .groupBy("column_name")
+        .agg(n_rows().alias("n_distinct"))
+        for name in columns or df.columns
+    ]
+    return reduce(DataFrame.unionAll, each)

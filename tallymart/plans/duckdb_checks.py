@@ -1,4 +1,7 @@
-"""The same results in SQL for DuckDB, written independently of the Spark plans, as a check.
+"""The same results in SQL for DuckDB, as a check of the plans.
+
+The rule patterns, labels, category texts and the scale of the cut are imported from the code, so a wrong
+value there is wrong in both; ``tests/test_categorize.py`` holds the rules against written-out labels.
 
 Floating-point sums depend on the order of addition, so a table that is compared with itself (the
 monthly threshold) is materialised first.
@@ -44,10 +47,10 @@ _MAJOR_CATEGORY = (
 
 def _sales_cte(store: str = "supplier") -> str:
     if store == "supplier":
-        store_join = "JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
+        store_join = "LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey"
         name, number, nation = "s_name", "s_suppkey", "s_nationkey"
     else:
-        store_join = "JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+        store_join = "LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey"
         name, number, nation = "c_name", "c_custkey", "c_nationkey"
     return f"""sales AS (
   SELECT l_orderkey || '-' || l_linenumber AS invoice_item,
@@ -71,10 +74,10 @@ def _sales_cte(store: str = "supplier") -> str:
          CAST(isodow(o_orderdate) AS INTEGER) AS weekday,
          isodow(o_orderdate) >= 5 AS is_weekend
   FROM lineitem
-  JOIN orders ON l_orderkey = o_orderkey
-  JOIN part ON l_partkey = p_partkey
+  LEFT JOIN orders ON l_orderkey = o_orderkey
+  LEFT JOIN part ON l_partkey = p_partkey
   {store_join}
-  JOIN region ON n_regionkey = r_regionkey)"""
+  LEFT JOIN region ON n_regionkey = r_regionkey)"""
 
 
 _PANEL = """panel AS MATERIALIZED (
@@ -267,6 +270,12 @@ def checks() -> dict[str, str]:
         "column_profile": f"""{_ON_NULLS} SELECT CAST(position AS INTEGER) AS position, column_name,
             data_type, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_nulls AS BIGINT) AS n_nulls
             FROM null_report""",
+        "distinct_counts": f"{_ON_SALES} "
+        + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, CAST(count(DISTINCT {c}) + max(CAST({c} IS NULL AS INTEGER)) AS BIGINT)"
+            f" AS n_distinct FROM sales"
+            for c in ("store_name", "city", "county", "store_location", "category_name", "item_description")
+        ),
         "preview_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 25",
         "table_dimensions": f"""{_ON_SALES} SELECT CAST(count(*) AS BIGINT) AS n_rows,
             CAST({len(_PROFILED)} AS INTEGER) AS n_columns FROM sales""",

@@ -20,12 +20,15 @@ from tallymart.operators import evaluate, features, labels, marts, model, panel,
 from tallymart.plans import analysis
 from tallymart.session import materialize, scratch_path
 from tallymart.sources.readers import read_csv, write_csv
-from tallymart.sources.star import raw_sales, sales, table
+from tallymart.sources.star import raw_sales, sales, sales_by, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 CUT_SCALE = 1.000031
 
+# The native key of an invoice line.
+INVOICE = ("order_key", "order_line")
+
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -120,6 +123,12 @@ def columns_over_null_threshold(spark: SparkSession, root: str) -> DataFrame:
     return _single(over, "missing_proportion")
 
 
+@_query
+def distinct_counts(spark: SparkSession, root: str) -> DataFrame:
+    columns = ("store_name", "city", "county", "store_location", "category_name", "item_description")
+    return profile.distinct_counts(sales(spark, root, columns), columns)
+
+
 # --- cleaning ------------------------------------------------------------------------------------
 
 
@@ -165,17 +174,17 @@ def distinct_categories(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def category_distribution(spark: SparkSession, root: str) -> DataFrame:
-    return cat.category_distribution(sales(spark, root, ["category_name"]))
+    return cat.category_distribution(sales_by(spark, root, ["category_name"]), weight="n_rows")
 
 
 @_query
 def uncategorized_audit(spark: SparkSession, root: str) -> DataFrame:
-    return cat.uncategorized_audit(sales(spark, root, ["category_name"]))
+    return cat.uncategorized_audit(sales_by(spark, root, ["category_name"]), weight="n_rows")
 
 
 @_query
 def category_mapping_pairs(spark: SparkSession, root: str) -> DataFrame:
-    return cat.category_mapping_pairs(sales(spark, root, ["category_name"]))
+    return cat.category_mapping_pairs(sales_by(spark, root, ["category_name"]))
 
 
 # --- marts ---------------------------------------------------------------------------------------
@@ -183,8 +192,8 @@ def category_mapping_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def sales_summary(spark: SparkSession, root: str) -> DataFrame:
-    lines = sales(spark, root, ["sale_dollars", "volume_gallons", "bottles_sold"])
-    return _cents(marts.sales_summary(lines), "total_revenue", "total_volume_gallons")
+    sums = sales_by(spark, root, [], ["sale_dollars", "volume_gallons", "bottles_sold"])
+    return _cents(marts.sales_summary(sums, rows="n_rows"), "total_revenue", "total_volume_gallons")
 
 
 @_query
@@ -203,7 +212,7 @@ def quarterly_sales(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def top_categories(spark: SparkSession, root: str) -> DataFrame:
-    lines = sales(spark, root, ["category_name", "sale_dollars"])
+    lines = sales_by(spark, root, ["category_name"], ["sale_dollars"])
     return _cents(marts.top_categories(lines, 10), "total_revenue")
 
 
@@ -214,26 +223,26 @@ def top_categories_display(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def top_products_revenue(spark: SparkSession, root: str) -> DataFrame:
-    lines = sales(spark, root, ["item_description", "sale_dollars"])
+    lines = sales_by(spark, root, ["item_description"], ["sale_dollars"])
     return _cents(marts.top_products_revenue(lines, 20), "total_revenue")
 
 
 @_query
 def top_products_volume(spark: SparkSession, root: str) -> DataFrame:
-    lines = sales(spark, root, ["item_description", "volume_liters"])
+    lines = sales_by(spark, root, ["item_description"], ["volume_liters"])
     return _cents(marts.top_products_volume(lines, 20), "total_volume")
 
 
 @_query
 def top_counties(spark: SparkSession, root: str) -> DataFrame:
     # The test data has five counties, so three make a real cut.
-    lines = sales(spark, root, ["county", "sale_dollars"])
+    lines = sales_by(spark, root, ["county"], ["sale_dollars"])
     return _cents(marts.top_counties(lines, 3), "total_revenue")
 
 
 @_query
 def top_cities(spark: SparkSession, root: str) -> DataFrame:
-    lines = sales(spark, root, ["city", "sale_dollars"])
+    lines = sales_by(spark, root, ["city"], ["sale_dollars"])
     return _cents(marts.top_cities(lines, 20), "total_sales")
 
 
@@ -245,14 +254,15 @@ def weekday_weekend(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def city_efficiency(spark: SparkSession, root: str) -> DataFrame:
-    lines = sales(spark, root, ["city", "invoice_item", "sale_dollars"])
-    return _single(_cents(marts.city_efficiency(lines, 20), "total_sales"), "avg_sale_per_txn")
+    lines = sales(spark, root, ["city", *INVOICE, "sale_dollars"])
+    efficiency = marts.city_efficiency(lines, 20, invoice=INVOICE)
+    return _single(_cents(efficiency, "total_sales"), "avg_sale_per_txn")
 
 
 # --- panel and features --------------------------------------------------------------------------
 
 _PANEL_INPUT = (
-    "invoice_item",
+    *INVOICE,
     "sale_date",
     "store_name",
     "city",
@@ -270,7 +280,7 @@ _REVENUE_INPUT = ("sale_date", "store_name", "city", "county", "sale_dollars")
 
 def _panel(spark: SparkSession, root: str, store: str = "supplier") -> DataFrame:
     lines = cleaning.add_calendar(sales(spark, root, _PANEL_INPUT, store))
-    return panel.store_month_panel(lines)
+    return panel.store_month_panel(lines, invoice=INVOICE)
 
 
 def _revenue_panel(spark: SparkSession, root: str) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine. On a cluster, use the session it gives."""
     return (
@@ -19,6 +24,7 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallymart-"))
         .getOrCreate()
     )
 
@@ -47,6 +53,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     file_system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     file_system.mkdirs(hadoop_path)
     file_system.deleteOnExit(hadoop_path)
+    _written.append(folder)
     return f"{folder}/data"
 
 
@@ -62,3 +69,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def released_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that were materialized inside the block when it ends, not only at the end of
+    the application. Results that read them must be written before that."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for folder in _written[before:]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _written[before:]

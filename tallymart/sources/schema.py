@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+
 # Source column name -> name after cleaning.
 COLUMN_NAMES = {
     "Invoice/Item Number": "invoice_item",
@@ -60,3 +62,13 @@ TEXT_COLUMNS = (
     "Vendor Name",
     "Item Description",
 )
+
+_RAW_NUMBERS = {
+    "Bottles Sold": IntegerType(),
+    "Sale (Dollars)": DoubleType(),
+    "Volume Sold (Liters)": DoubleType(),
+    "Volume Sold (Gallons)": DoubleType(),
+}
+
+# The transactions file as written: what ``read_csv(schema=...)`` takes to parse numbers while scanning.
+TRANSACTIONS = StructType([StructField(name, _RAW_NUMBERS.get(name, StringType())) for name in COLUMN_NAMES])

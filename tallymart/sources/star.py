@@ -1,7 +1,8 @@
 """The sales table as a view over a star schema of order lines.
 
 Each dimension is joined only when one of its columns is asked for, so a mart over three columns
-does not pay for every join. This relies on foreign keys being valid, as they are in a star schema.
+does not pay for every join. All joins are left joins: a line whose key has no dimension row stays, with
+NULL there, and every mart is over the same lines whatever columns it reads.
 No join is hinted: ``part``, ``supplier``, ``customer`` and ``orders`` grow with the data, so Spark
 decides on a broadcast from file and run-time sizes, and splits the skewed partitions of a shuffled
 join.
@@ -13,7 +14,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tallymart.sources.readers import read_parquet
 from tallymart.sources.schema import COLUMN_NAMES
@@ -49,6 +49,8 @@ CATEGORY_OF_BRAND = {
 # Sales column -> (dimension it needs, SQL expression over the joined row).
 _COLUMNS = {
     "invoice_item": ("lineitem", "concat(l_orderkey, '-', l_linenumber)"),
+    "order_key": ("lineitem", "l_orderkey"),
+    "order_line": ("lineitem", "l_linenumber"),
     "sale_date": ("orders", "cast(o_orderdate as date)"),
     "store_number": ("store", "store_number"),
     "store_name": ("store", "store_name"),
@@ -80,15 +82,8 @@ _STORE_KEYS = {
 }
 
 
-_schemas: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table by name. Its schema is read from the footers once per process, not once per query."""
-    path = f"{root}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = read_parquet(spark, path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    return read_parquet(spark, f"{root}/{name}.parquet")
 
 
 def _stores(spark: SparkSession, root: str, kind: str) -> DataFrame:
@@ -129,21 +124,65 @@ def sales(
     lines = table(spark, root, "lineitem")
     if "orders" in needed:
         orders = table(spark, root, "orders")
-        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if "part" in needed:
-        lines = lines.join(_parts(spark, root), F.col("l_partkey") == F.col("p_partkey"))
+        lines = lines.join(_parts(spark, root), F.col("l_partkey") == F.col("p_partkey"), "left")
     if "store" in needed:
         stores = _stores(spark, root, store)
-        lines = lines.join(stores, F.col(store_key) == F.col("store_number"))
+        lines = lines.join(stores, F.col(store_key) == F.col("store_number"), "left")
     if "city" in needed:
         nations = table(spark, root, "nation")
-        lines = lines.join(nations, F.col("store_nationkey") == F.col("n_nationkey"))
+        lines = lines.join(nations, F.col("store_nationkey") == F.col("n_nationkey"), "left")
     if "county" in needed:
         regions = table(spark, root, "region")
-        lines = lines.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+        lines = lines.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return lines.select(*[F.expr(_COLUMNS[name][1]).alias(name) for name in columns])
 
 
+# Measure -> what is summed per foreign key; liters and gallons follow from the quantity per part.
+_SUMS = {
+    "sale_dollars": ("l_extendedprice", "sum(l_extendedprice)"),
+    "bottles_sold": ("_bottles", "sum(cast(l_quantity as smallint))"),
+    "volume_liters": ("l_quantity", "sum(l_quantity)"),
+    "volume_gallons": ("l_quantity", "sum(l_quantity)"),
+}
+
+
+def sales_by(spark: SparkSession, root: str, keys: Iterable[str], measures: Iterable[str] = ()) -> DataFrame:
+    """Partial sums of ``measures`` and ``n_rows`` with the dimension columns ``keys``.
+
+    Lines are summed per foreign key before any dimension is joined: that combines in the map tasks,
+    so no line is shuffled by its part or supplier and a hot key is one row per task. Sums add up, so
+    a mart sums what this returns. For columns of parts and supplier stores; those of orders need
+    the lines themselves (:func:`sales`).
+    """
+    keys, measures = list(keys), list(measures)
+    needed = {_COLUMNS[name][0] for name in (*keys, *measures)} - {"lineitem"}
+    if "orders" in needed:
+        raise ValueError("columns of orders cannot be joined to sums per part and supplier")
+    by_store = bool(needed & {"store", "city", "county"})
+    foreign = ["l_partkey"] * ("part" in needed) + ["l_suppkey"] * by_store
+    sums = dict(_SUMS[name] for name in measures)
+    lines = table(spark, root, "lineitem").groupBy(*foreign)
+    rows = lines.agg(*[F.expr(sql).alias(name) for name, sql in sums.items()], F.count(F.lit(1)).alias("n_rows"))
+    if "part" in needed:
+        rows = rows.join(_parts(spark, root), F.col("l_partkey") == F.col("p_partkey"), "left")
+    if by_store:
+        rows = rows.join(_stores(spark, root, "supplier"), F.col("l_suppkey") == F.col("store_number"), "left")
+    if needed & {"city", "county"}:
+        nations = table(spark, root, "nation")
+        rows = rows.join(nations, F.col("store_nationkey") == F.col("n_nationkey"), "left")
+    if "county" in needed:
+        regions = table(spark, root, "region")
+        rows = rows.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    values = {name: "_bottles" if name == "bottles_sold" else _COLUMNS[name][1] for name in measures}
+    return rows.select(
+        *[F.expr(_COLUMNS[name][1]).alias(name) for name in keys],
+        *[F.expr(sql).alias(name) for name, sql in values.items()],
+        "n_rows",
+    )
+
+
 def raw_sales(spark: SparkSession, root: str) -> DataFrame:
     """All columns under their source names and as text, the way the CSV holds them."""
     rows = sales(spark, root, COLUMN_NAMES.values())

@@ -97,12 +97,47 @@ def test_features_take_one_shuffle_over_the_panel(spark):
 
 def test_unique_invoices_need_no_shuffle_of_invoices(spark):
     lines = clean.add_calendar(sales(spark, ROOT, queries._PANEL_INPUT))
-    exact = plan(panel.store_month_panel(lines))
-    assert "Expand" in exact
-    unique = plan(panel.store_month_panel(lines, invoice_is_unique=True))
+    exact = plan(panel.store_month_panel(lines, invoice=queries.INVOICE))
+    assert "Expand" not in exact and "concat" not in exact
+    unique = plan(panel.store_month_panel(lines, invoice=queries.INVOICE, invoice_is_unique=True))
     assert "Expand" not in unique and "l_linenumber" not in unique
 
 
+def test_city_efficiency_expands_no_rows(spark):
+    text = plan(queries.city_efficiency(spark, ROOT))
+    assert "Expand" not in text and "concat" not in text
+
+
+SUMMED_FIRST = (
+    "sales_summary",
+    "top_categories",
+    "top_products_revenue",
+    "top_products_volume",
+    "top_counties",
+    "top_cities",
+    "category_distribution",
+    "uncategorized_audit",
+    "category_mapping_pairs",
+)
+
+
+@pytest.mark.parametrize("name", SUMMED_FIRST)
+def test_no_line_is_shuffled_by_part_or_supplier(spark, no_broadcast, name):
+    """Below every exchange on a foreign key stands a partial aggregate of the lines."""
+    text = plan(queries.registry()[name](spark, ROOT)).split("Initial Plan")[-1]
+    exchanges = [i for i, line in enumerate(text.splitlines()) if "hashpartitioning(l_partkey" in line or "hashpartitioning(l_suppkey" in line]
+    lines = text.splitlines()
+    assert exchanges
+    for i in exchanges:
+        assert any("HashAggregate(keys=[l_" in line for line in lines[i + 1 : i + 3]), lines[i : i + 4]
+
+
+def test_lookup_leaves_the_lines_in_place(spark):
+    lines = sales(spark, ROOT, ["invoice_item", "category_name", "sale_dollars"])
+    text = plan(categorize.categorize_by_lookup(lines))
+    assert "hashpartitioning(category_name" not in text and "hashpartitioning(coalesce(category_name" not in text
+
+
 def test_no_task_sorts_a_whole_period(spark):
     """Only counted candidates reach the window of the quantile, not rows."""
     schema = "year int, month int, monthly_revenue double"

@@ -76,6 +76,6 @@ def test_hot_keys(spark, hot, name):
 
 def test_hot_join_partitions_are_split(spark, hot):
     root, _ = hot
-    frame = entry_point.queries()["top_cities"](spark, root)
+    frame = entry_point.queries()["city_efficiency"](spark, root)
     frame.collect()
     assert "SortMergeJoin(skew=true)" in frame._jdf.queryExecution().executedPlan().toString()
