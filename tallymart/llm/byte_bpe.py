@@ -21,11 +21,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
 from tallymart.llm import textbatch as tb
 from tallymart.llm.chunks import ChunkCache
-from tallymart.llm.common import id_and_text, map_texts, ship
+from tallymart.llm.common import id_and_text, map_rows, map_texts
 
 PAIRS = 1_000_000
 
@@ -214,13 +213,12 @@ def token_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
 
 def encode_column(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` and, from decoding them, ``decodes`` (the text comes back) appended."""
-    ship(docs.sparkSession)
-    names = docs.columns
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.shared(ranks, pattern)
         for batch in batches:
-            texts = tb.from_arrow(batch.column(names.index(text_col)))
+            texts = tb.from_arrow(batch.column(place))
             for first, part in tb.slices(texts):
                 encoded = bpe.encode(part)
                 sizes = np.array([len(e) // 4 for e in encoded], np.int64)
@@ -229,7 +227,6 @@ def encode_column(docs: DataFrame, ranks: str, pattern: str, text_col: str = "te
                 ok = np.full(len(part), True) if same else np.array([bytes(bpe.decode(np.frombuffer(e, "<u4"))) == part.text(i) for i, e in enumerate(encoded)])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns, lists, pa.array(ok)], [*names, "token_ids", "decodes"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns, lists, pa.array(ok)], [*batch.schema.names, "token_ids", "decodes"])
 
-    out = StructType(docs.schema.fields + StructType.fromDDL("token_ids array<int>, decodes boolean").fields)
-    return docs.mapInArrow(run, out)
+    return map_rows(docs, run, "token_ids array<int>, decodes boolean")

@@ -71,6 +71,20 @@ def map_texts(
     return df.mapInArrow(run, out)
 
 
+def map_rows(
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str = ""
+) -> DataFrame:
+    """``df.mapInArrow`` for rows that keep all columns, whatever their names, and get those of ``added``.
+
+    ``function`` sees the columns as c0, c1, ... and appends the added ones under their names.
+    """
+    ship(df.sparkSession)
+    more = StructType.fromDDL(added).fields if added else []
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    mapped = plain.mapInArrow(function, StructType([*plain.schema.fields, *more]))
+    return mapped.toDF(*df.columns, *[f.name for f in more])
+
+
 def binary_column(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.llm import textbatch as tb
-from tallymart.llm.common import id_and_text, ship
+from tallymart.llm.common import id_and_text, map_rows
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -288,7 +288,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose text contains no benchmark item."""
-    ship(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def cleaner(sent):
@@ -302,7 +301,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
         return run
 
-    schema = docs.schema
     for index in _indexes(benchmark):
-        docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast(index)), schema)
+        docs = map_rows(docs, cleaner(docs.sparkSession.sparkContext.broadcast(index)))
     return docs

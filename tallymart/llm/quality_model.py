@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.llm import textbatch as tb
-from tallymart.llm.common import id_and_text, map_texts, ship
+from tallymart.llm.common import id_and_text, map_rows, map_texts
 
 BITS = 18
 TRAIN_ROWS = 8192
@@ -168,7 +168,6 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose text scores ``threshold`` or more."""
-    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     place = docs.columns.index(text_col)
 
@@ -177,7 +176,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text_
             for first, part in tb.slices(tb.from_arrow(batch.column(place))):
                 yield batch.slice(first, len(part)).filter(pa.array(_scores(part, sent.value) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = 0.7) -> DataFrame:

@@ -18,10 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
 from tallymart.llm import textbatch as tb
-from tallymart.llm.common import id_and_text, map_texts, ship
+from tallymart.llm.common import id_and_text, map_rows, map_texts
 
 # The patterns of the contract. Kinds in the order in which ties are written.
 KINDS = ("assign", "access", "hex")
@@ -50,10 +49,10 @@ _CLASSES = (
 )
 _ALLOWED = (
     re.compile(rb"[0-9]+"),
-    re.compile(rb"[A-Za-z]+"),
+    re.compile(rb"(?:[A-Z]?[a-z]{2,}+)++|[a-z]+|[A-Z]+"),
     re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(rb"(.{1,8})\1+.{0,7}"),
-    re.compile(rb"[A-Za-z+/_=-]*+[0-9]{0,8}"),
+    re.compile(rb"[+/_=-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++)[+/_=-]++)*+(?:[A-Z]?[a-z]++|[A-Z]++)?+[0-9]{0,8}"),
 )
 _TERM = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
 
@@ -181,9 +180,7 @@ def redact(text: bytes, spans: list[tuple[int, str, int]], mark: bytes = b"[SECR
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with the secrets in the text replaced; NULL stays NULL."""
-    ship(docs.sparkSession)
-    names = docs.columns
-    place = names.index(text_col)
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,6 +195,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         (redact(part.text(i), s).decode("utf-8", "replace") if s else old[i].as_py()) for i, s in enumerate(spans)
                     ]
                     columns[place] = pa.array(new, old.type)
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, rows.schema.names)
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields))
+    return map_rows(docs, run)

@@ -1,0 +1,95 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallymart.llm import pii
+
+# The contract's patterns.
+PATTERNS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def luhn(digits):
+    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+
+def base(text):
+    found = []
+    for rank, (kind, pattern) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": lambda: True,
+                "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda: 14 <= len(digits) <= 19 and luhn(digits),
+                "phone": lambda: 10 <= len(digits) <= 15,
+            }[kind]()
+            if ok:
+                found.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(found)]
+
+
+def check(rows, texts):
+    assert len(rows) == len(texts)
+    by_id = dict(texts)
+    for r in rows:
+        want = base(by_id[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == want
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in want) for k, _ in PATTERNS]
+
+
+TRICKY = [
+    "a@b.c_x@y.z", "x" * 300 + "@a.b", "a@b", "a@b.", "@a.b", "a.b@c-d.e.f,g@h.i", "001.2.3.256", "0255.0.0.1 1.2.3.4.5",
+    "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111 4111111111111111", "+1 (555) 010-9999", "+1 2", "++15550109999.",
+    "é 10.0.0.1 ß me@é.de 😀+49.30.1234567", "1" * 5000, "12345678901234567890", "+" * 50 + "1234567890", "%@-.-", "00000000000000",
+]
+
+
+def test_base_spans(spark, small):
+    texts = list(enumerate(TRICKY)) + [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    check(pii.personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect(), texts)
+
+
+def test_terms_near_an_entity_that_occur_nowhere_else(spark):
+    """The code name goes with one address in several texts; common words and rare support do not count."""
+    rows = [(i, f"note {i} w{i} zorblax writes to ann@x.org about item {i}") for i in range(5)]
+    rows += [(10 + i, f"note {i} about an item, bob{i}@y.org writes to w{i}") for i in range(60)]
+    found = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for i, r in found.items():
+        terms = [s.split(":") for s in r.spans.split(",") if s.startswith("term")]
+        assert [texts[i][int(a) : int(b)] for _, a, b in terms] == (["zorblax"] if i < 5 else [])
+
+
+def test_sanitised_text(spark):
+    rows = [(i, f"zorblax {i} mails ann@x.org from 10.0.0.1") for i in range(4)] + [(9 + i, f"{i} mails from here") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = pii.personal_data(docs).select("doc_id", "span_list")
+    texts = {r.doc_id: r.t for r in docs.join(spans, "doc_id").select("doc_id", pii.sanitised(F.col("text"), F.col("span_list")).alias("t")).collect()}
+    assert texts[1] == " 1 mails [EMAIL] from [IP]"
+    assert texts[12] == "3 mails from here"
+
+
+@pytest.mark.parametrize("limit", [50_000, -1])
+def test_odd_rows(spark, odd, nothing, monkeypatch, limit):
+    """Also where candidate terms are too many for a broadcast."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+    rows = pii.personal_data(odd).collect()
+    assert len(rows) == odd.count()
+    by_id = {r.doc_id: r for r in rows}
+    assert [by_id[10].n_email, by_id[10].n_ip, by_id[10].n_phone] == [1, 1, 1]
+    assert all(by_id[i].spans == "" for i in (3, 4, 5, 11, 12))
+    assert pii.personal_data(nothing).count() == 0
+
+
+def test_runs_no_python(spark, odd):
+    plan = pii.personal_data(odd)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)

@@ -1,0 +1,85 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallymart.llm import secrets
+from tallymart.llm import textbatch as tb
+
+# The contract's patterns on characters, with ASCII letters in either case.
+ASSIGN = re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(text):
+    text = text or ""
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]
+
+
+def check(rows, texts):
+    for r, text in zip(rows, texts):
+        want = base(text)
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        spans = [s for s in r["spans"].split(",") if s]
+        assert [s for s in spans if not s.startswith("entropy")] == want
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s.startswith(k) for s in want) for k in secrets.KINDS]
+
+
+parts = st.sampled_from(["Token", "paſſword", "api_key", "APIKEY", "=", ": ", " ", '"', "'", "abc123", "AKIA", "A1" * 9, "0af" * 9, "é", "secret", "\n", "."])
+
+
+@settings(deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(parts, max_size=12).map("".join)), min_size=1, max_size=5))
+def test_base_spans(texts):
+    found = secrets._described(tb.from_arrow(pa.array(texts, pa.string())))
+    check([{k: v[i].as_py() for k, v in found.items()} for i in range(len(texts))], texts)
+
+
+def test_documents(spark, small):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    found = secrets.secret_spans(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    check([r.asDict() for r in found], [rows[r.doc_id] for r in found])
+
+
+@settings(deadline=None)
+@given(st.binary(max_size=80), st.integers(1, 20))
+def test_incremental_entropy(run, width):
+    w = min(width, len(run))
+    best = 0.0
+    for i in range(len(run) - w + 1) if w else ():
+        counts = Counter(run[i : i + w]).values()
+        best = max(best, math.log2(w) - sum(c * math.log2(c) for c in counts) / w)
+    assert abs(secrets.window_entropy(run, width) - best) < 1e-9
+
+
+def test_random_strings_are_found_and_names_are_not():
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = [secrets.is_secret_run("".join(rng.choice(alphabet) for _ in range(32)).encode()) for _ in range(200)]
+    assert sum(found) >= 195  # a random string can repeat itself enough to stay under the threshold
+    for name in ("internationalisierungsbehoerde", "123e4567-e89b-12d3-a456-426614174000", "9" * 30, "abc1" * 10, "InternationaleBehoerdeFuerWoerter", "=" * 64, "some_long_snake_case_name_2024", "path/to/some/other/place", "x" * 40_000 + "1"):
+        assert not secrets.is_secret_run(name.encode())
+
+
+def test_odd_rows_and_redaction(spark, odd, nothing):
+    rows = secrets.secret_spans(odd).collect()
+    assert len(rows) == odd.count()
+    assert next(r for r in rows if r.doc_id == 10).n_assign == 1
+    redacted = {(r.doc_id, r.text) for r in secrets.redact_secrets(odd).select("doc_id", "text").collect()}
+    text = next(t for i, t in redacted if i == 10)
+    assert "04dbebab" not in text and "[SECRET]" in text and "me@example.com" in text
+    before = {(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()}
+    assert {x for x in redacted if x[0] not in (10, 11)} == {x for x in before if x[0] not in (10, 11)}
+    assert secrets.redact_secrets(odd).columns == odd.columns
+    assert secrets.secret_spans(nothing).count() == 0
+
+
+def test_overlapping_spans_leave_one_mark():
+    assert secrets.redact(b"a token=xyz b", [(2, "assign", 11), (4, "hex", 9), (8, "entropy", 11)]) == b"a [SECRET] b"

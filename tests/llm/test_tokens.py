@@ -1,0 +1,116 @@
+import base64
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tallymart.llm import byte_bpe, wavelet
+from tallymart.llm import textbatch as tb
+from tallymart.llm.chunks import TokenizersEncoder
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+FILE = public_tokenizers.path("byte_bpe_50k.json")
+odd_text = st.text(st.sampled_from(list(" \n\t 　\x1cab'sté日1!.,<|>")), max_size=60)
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    return byte_bpe.ByteBpe.shared(RANKS, public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def reference():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.one_of(st.none(), odd_text, st.text(max_size=40)), min_size=1, max_size=6))
+def test_ids_equal_both_libraries_and_decode(bpe, reference, values):
+    texts = tb.from_arrow(pa.array(values, pa.string()))
+    tokenizer = TokenizersEncoder.shared(FILE)
+    for value, ours, theirs in zip(values, bpe.encode(texts), tokenizer.encode(texts)):
+        ids = np.frombuffer(ours, "<u4")
+        assert ids.tolist() == reference.encode_ordinary(value or "")
+        assert bpe.decode(ids).tobytes() == (value or "").encode()
+        assert np.frombuffer(theirs, "<u4").tolist() == tokenizer.tokenizer.encode(value or "", add_special_tokens=False).ids
+
+
+def test_long_pieces(bpe, reference):
+    rng = random.Random(0)
+    for piece in ["a" * 3000, "".join(rng.choice("abcde") for _ in range(3000)), "é日" * 700]:
+        ids = np.frombuffer(bpe.encode(tb.from_arrow(pa.array([piece])))[0], "<u4")
+        assert ids.tolist() == reference.encode_ordinary(piece)
+
+
+def test_token_digests_of_odd_rows(spark, odd, nothing, reference):
+    import hashlib
+
+    rows = byte_bpe.token_digests(odd, RANKS, public_tokenizers.PATTERN).collect()
+    texts = {(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()}
+    want = set()
+    for i, t in texts:
+        ids = reference.encode_ordinary(t or "")
+        want.add((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert {tuple(r) for r in rows} == want and len(rows) == odd.count()
+    assert byte_bpe.token_digests(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
+    whole = byte_bpe.encode_column(odd, RANKS, public_tokenizers.PATTERN)
+    assert whole.columns == [*odd.columns, "token_ids", "decodes"] and whole.where("decodes").count() == odd.count()
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 70), max_size=700), st.integers(0, 70))
+def test_wavelet_matrix(values, token):
+    ids = np.array(values, np.uint32)
+    matrix = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
+    assert matrix.decode().tolist() == values
+    assert matrix.count(token) == values.count(token)
+    places = [i for i, v in enumerate(values) if v == token]
+    assert matrix.occurrences(token)[:5] == places[:5] and matrix.count(token) == len(places)
+    for i in range(0, len(values), 97):
+        assert matrix.access(i) == values[i]
+        assert matrix.rank(values[i], i) == values[:i].count(values[i])
+
+
+def test_wide_ids_and_wrong_files():
+    ids = np.array([0, 70_000, 5, 1 << 20, 70_000], np.uint32)
+    matrix = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
+    assert matrix.decode().tolist() == ids.tolist() and matrix.occurrences(70_000) == [1, 4]
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix.from_bytes(b"nothing like it")
+
+
+def _check_shards(spark, docs):
+    tokenizer = Tokenizer.from_file(FILE)
+    tokenizer.encode_special_tokens = True
+    rows = docs.select("doc_id", "text").collect()
+    rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    start, want = 0, []
+    for r in rows:
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    shards = wavelet.write_shards(docs, FILE)
+    found = [tuple(r) for r in wavelet.read_shards(shards).collect()]
+    assert sorted(found, key=lambda r: r[1]) == want
+    return shards
+
+
+def test_shards_match_the_library(spark, small, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD_TOKENS", 5_000)  # workers are forked later: only their default counts
+    shards = _check_shards(spark, spark.read.parquet(f"{small}/documents.parquet"))
+    row = shards.orderBy("part", "shard").first()
+    matrix = wavelet.WaveletMatrix.from_bytes(bytes(row.matrix))
+    assert matrix.count(0) >= len(row.doc_ids) and matrix.select(0, 0) == row.n_tokens[0] - 1
+
+
+def test_shards_of_odd_rows(spark, odd, nothing):
+    _check_shards(spark, odd)
+    assert wavelet.read_shards(wavelet.write_shards(nothing, FILE)).count() == 0
