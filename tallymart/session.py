@@ -57,7 +57,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/data"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder once and return a scan of the written table.
 
     Used where a result feeds several branches of a later plan. The source is then read once, every
@@ -67,7 +67,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
