@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.operators.features import TIME_ORDER
@@ -18,6 +18,49 @@ from tallymart.session import materialize
 PERIOD = ("year", "month")
 
 
+MOST_CELLS = 100_000
+SPLIT = 64
+
+
+def _same(keys: Sequence[str], suffix: str) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"{k}{suffix}")) for k in keys]
+
+
+def _narrowed(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counted values (keys, _cell, _count, _rank, _n) cut down to at most MOST_CELLS for each group.
+
+    A row without ``_cell`` stands for all values below the others.
+    """
+    counted = materialize(counted, "quantile-cells")
+    while counted.groupBy(*keys).count().where(F.col("count") > MOST_CELLS).limit(1).count():
+        shares = [i / SPLIT for i in range(1, SPLIT)]
+        marks = counted.groupBy(*keys).agg(F.percentile_approx("_cell", shares, 100 * SPLIT).alias("_marks"))
+        marks = materialize(marks.withColumnsRenamed({k: f"{k}_m" for k in keys}), "quantile-marks")
+        above = F.size(F.filter("_marks", lambda m: m < F.col("_cell")))
+        ranged = counted.join(marks, _same(keys, "_m")).withColumn(
+            "_range", F.when(F.col("_cell").isNull(), -1).otherwise(above)
+        )
+        totals = ranged.groupBy(*keys, "_range").agg(
+            F.sum("_count").alias("_total"), F.max("_rank").alias("_rank"), F.max("_n").alias("_n")
+        )
+        upto = F.sum("_total").over(Window.partitionBy(*keys).orderBy("_range"))  # at most SPLIT + 1 rows
+        wanted = totals.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_total"))
+        has_rank = (F.col("_upto") >= F.col("_rank")) & (F.col("_before") < F.col("_rank"))
+        wanted = wanted.where(has_rank | (F.col("_n") == 0))
+        wanted = materialize(wanted.withColumnsRenamed({c: f"{c}_w" for c in (*keys, "_range")}), "quantile-ranges")
+        inside = ranged.join(
+            wanted.select(*[f"{c}_w" for c in (*keys, "_range")]), _same((*keys, "_range"), "_w")
+        )
+        rows = inside.select(*keys, "_cell", "_count", "_rank", "_n")
+        below = wanted.where(F.col("_before") > 0).select(
+            *[F.col(f"{k}_w").alias(k) for k in keys],
+            F.lit(None).cast(counted.schema["_cell"].dataType).alias("_cell"),
+            F.col("_before").alias("_count"), "_rank", "_n",
+        )
+        counted = materialize(rows.union(below), "quantile-cells")
+    return counted
+
+
 def group_quantile_nearest(
     df: DataFrame,
     keys: Sequence[str],
@@ -38,6 +81,11 @@ def group_quantile_nearest(
        combined in the map tasks. A running count over the at most ``6 * n / accuracy`` values left
        finds the wanted one.
 
+    3. unless groups are bounded, the counted values are written, and while a group has more than
+       ``MOST_CELLS`` of them they are cut into SPLIT ranges, of which the one with the rank is kept
+       and those before it become one total. So the last running count is over a bounded number of
+       rows, and only giant groups need extra passes.
+
     Groups of at most ``accuracy`` values skip the marks. If a value were not found between the
     marks the query would fail, not return another one. A higher ``accuracy`` makes the sketches
     larger and the last step smaller.
@@ -74,6 +122,8 @@ def group_quantile_nearest(
         .groupBy(*aliases, "_cell")
         .agg(F.count("_x").alias("_count"), F.max("_rank").alias("_rank"), F.max("_n").alias("_n"))
     )
+    if not bounded_groups:
+        counted = _narrowed(counted, aliases)
     running = F.sum("_count").over(
         Window.partitionBy(*aliases)
         .orderBy(F.col("_cell").asc_nulls_first())

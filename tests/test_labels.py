@@ -63,6 +63,30 @@ def test_any_group(spark, values, q, accuracy):
     assert _quantiles(spark, {"g": values}, q, accuracy=accuracy) == {"g": nearest_rank(values, q)}
 
 
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.77, 1.0])
+def test_giant_group_is_narrowed_before_the_last_window(spark, monkeypatch, q):
+    """Groups far above the limits, in several passes; others keep their answers."""
+    monkeypatch.setattr(labels, "MOST_CELLS", 40)
+    monkeypatch.setattr(labels, "SPLIT", 4)
+    rng = random.Random(11)
+    groups = {
+        "giant": [rng.random() for _ in range(6000)],
+        None: [rng.lognormvariate(2, 3) for _ in range(900)],
+        "small": [3.0, 1.0],
+        "none": [None, None],
+        "one value": [5.0] * 800,
+    }
+    expected = {key: nearest_rank(values, q) for key, values in groups.items()}
+    assert _quantiles(spark, groups, q, accuracy=20) == expected
+    seen = []
+    materialize = labels.materialize
+    monkeypatch.setattr(labels, "materialize", lambda df, name: seen.append((name, materialize(df, name))) or seen[-1][1])
+    _quantiles(spark, groups, q, accuracy=20)
+    cells = [df for name, df in seen if name == "quantile-cells"]
+    assert len(cells) > 2
+    assert max(r["count"] for r in cells[-1].groupBy("_key0").count().collect()) <= 40
+
+
 def test_quantile_over_many_partitions(spark):
     """One group holds most rows and is spread over many tasks."""
     df = spark.range(200_000, numPartitions=16).selectExpr(
