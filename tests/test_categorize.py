@@ -72,3 +72,28 @@ def test_own_rules(spark):
     rules = (cat.Rule("WINE", "WINE"),)
     got = [row[1] for row in cat.categorize(df, rules=rules, default="OTHER").collect()]
     assert got == ["WINE", "OTHER"]
+
+
+# One text for each alternative of every rule, with the label it must get.
+ALTERNATIVES = {
+    "WHISKEY": "A WHISKEY|TWO WHISKIES|A WHISKY|BOURBON|SCOTCH",
+    "VODKA": "VODKA",
+    "RUM": "RUM",
+    "TEQUILA & MEZCAL": "TEQUILA|MEZCAL",
+    "GIN": "GIN",
+    "BRANDY & COGNAC": "BRANDY|BRANDIES|COGNAC",
+    "SCHNAPPS": "SCHNAPPS",
+    "LIQUEURS & CORDIALS": "AMARETTO|CORDIAL|LIQUEUR|ANISETTE|CREME|ROCK & RYE|TRIPLE SEC",
+    "SPECIALTY & OTHER SPIRITS": "AMERICAN ALCOHOL|AMERICAN DISTILLED SPIRITS|DISTILLED SPIRITS SPECIALTY|IMPORTED DISTILLED SPIRITS|NEUTRAL GRAIN SPIRITS",
+    "READY-TO-DRINK": "COCKTAIL|RTD",
+    "CRAFT/LOCAL": "IOWA DISTILLER",
+    "ADMINISTRATIVE/NON-PRODUCT": "DECANTERS|DELISTED|SPECIAL ORDER|HIGH PROOF BEER|HOLIDAY VAP|TEMPORARY",
+}
+
+
+def test_every_alternative_has_its_label(spark):
+    texts = {text: label for label, line in ALTERNATIVES.items() for text in line.split("|")}
+    assert len(texts) == sum(len(rule.words.split("|")) for rule in cat.LIQUOR_RULES)
+    rows = [(t,) for t in texts] + [(f"x{t.lower()}x",) for t in texts]
+    found = cat.categorize(spark.createDataFrame(rows, "category_name string")).collect()
+    assert all(r.major_category == texts[r.category_name.strip("x").upper()] for r in found)
