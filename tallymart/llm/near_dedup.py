@@ -1,10 +1,12 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
 Texts with the same shingle set are one class from the start, so copies never meet each other. Classes
-that share a band key are candidates. A bucket with few classes offers all its pairs. A larger one
-offers only the pairs with its first class, and after each grouping round only buckets that still hold
-several components offer the pairs of up to ``CENTRES`` new centres, until none is left: every pair of a bucket is either
-compared or already in one component. Work per round is a small multiple of the bucket's rows.
+that share a band key are candidates. A bucket with few classes offers all its pairs. A larger one offers
+only the pairs with its centre, the class that shares large buckets with others most often. After each
+grouping round, only buckets that still hold several components offer pairs of up to ``CENTRES`` classes
+outside the bucket's main component, until none is left. Jaccard distance is a metric, so two classes
+whose distances to the centre differ by more than the allowed distance cannot be linked and are not
+compared. So every pair of a bucket is compared, already in one component, or excluded by proof.
 
 With 40 bands of 5 slots, a pair at similarity 0.8 misses all buckets with probability below 2e-7.
 Linked are the pairs whose full shingle sets pass the threshold; shingles are compared as 64-bit hashes.
@@ -27,7 +29,7 @@ from tallymart.session import materialize
 
 SLOTS, BANDS = 200, 40
 SMALL_BUCKET = 8
-CENTRES = 64
+CENTRES = 512
 
 
 def shingle_sets(texts: tb.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,26 +78,30 @@ def _packed(texts: tb.Texts, size: int) -> dict[str, pa.Array]:
     return {"shingles": binary_column([grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])])}
 
 
-def _linked(percent: int):
+def _compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("shingles_a", "shingles_b"))
-            keep = []
+            linked, distance = [], []
             for i in range(len(batch)):
                 a, b = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
                 if len(a) > len(b):
                     a, b = b, a
                 at = np.searchsorted(b, a)
                 common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                if 100 * common >= percent * (len(a) + len(b) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                either = len(a) + len(b) - common
+                linked.append(100 * common >= percent * either)
+                distance.append(1 - common / either)
+            columns = [*(batch.column(batch.schema.get_field_index(c)) for c in "ab"), pa.array(linked), pa.array(distance)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "distance"])
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets are similar enough. Sets are made once per text.
+def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with the distance of their shingle sets, and whether it links them.
+
+    Sets are made once per text.
 
     Joins go by one side at a time. A text with very many pairs makes one large key in the second
     join, which adaptive execution splits, since only the other side's row is repeated for it.
@@ -106,7 +112,8 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     sets = sets.where("doc_id is not null").dropDuplicates(["doc_id", "shingles"])
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"shingles_{name}"))
     both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
-    return materialize(both.mapInArrow(_linked(percent), "a long, b long"), "links")
+    schema = "a long, b long, linked boolean, distance double"
+    return materialize(both.mapInArrow(_compared(percent), schema), "compared")
 
 
 def near_duplicates(
@@ -129,7 +136,7 @@ def near_duplicates(
     with_set = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(with_set.groupBy(*key).agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("class", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("centre")).where("size > 1")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(buckets.hint("merge"), "bucket"), "members")
 
     close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -140,16 +147,24 @@ def near_duplicates(
         .select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["class"] > x["class"]) & close(x["n_shingles"], y["n_shingles"])), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b")))))).alias("pair"))
         .select("pair.*")
     )
-    large = members.where(f"size > {SMALL_BUCKET}")
+    large = members.where(f"size > {SMALL_BUCKET}").select("bucket", "class", "n_shingles")
+    large = large.join(large.groupBy("class").count().hint("merge"), "class")
+    most = large.groupBy("bucket").agg(F.max_by("class", F.struct("count", -F.col("class"))).alias("centre"))
+    large = materialize(large.drop("count").join(most.hint("merge"), "bucket"), "large")
     to_centre = large.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b"))
     pairs = materialize(in_small.union(to_centre).distinct(), "pairs")
-    links = verify(pairs, texts, size, percent)
+    compared = compare(pairs, texts, size, percent)
+    links = compared.where("linked").select("a", "b")
 
     done = large.select("bucket", F.col("centre").alias("class")).distinct()
+    away = compared.select(F.col("a").alias("centre"), F.col("b").alias("class"), "distance").dropDuplicates(["centre", "class"])
+    large = large.join(away.hint("merge"), ["centre", "class"], "left")
+    large = materialize(large.select("bucket", "class", "n_shingles", F.coalesce("distance", F.lit(0.0)).alias("distance")), "large")
     found = connected_components(links)
+    near = F.abs(F.col("distance") - F.col("d_c")) <= 1 - percent / 100 + 1e-9
     while True:
         labelled = large.join(found.withColumnRenamed("node", "class"), "class", "left")
-        labelled = labelled.select("bucket", "class", "n_shingles", F.coalesce("component", "class").alias("component"))
+        labelled = labelled.select("bucket", "class", "n_shingles", "distance", F.coalesce("component", "class").alias("component"))
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         open_rows = materialize(labelled.join(mixed.select("bucket").hint("merge"), "bucket"), "open")
         parts = open_rows.groupBy("bucket", "component").count()
@@ -161,20 +176,21 @@ def near_duplicates(
             .join(done, ["bucket", "class"], "left_anti")
             .withColumn("rank", F.row_number().over(first))
             .where(f"rank <= {CENTRES}")
-            .select("bucket", F.col("class").alias("c"), F.col("n_shingles").alias("n_c"), F.col("component").alias("part")),
+            .select("bucket", F.col("class").alias("c"), F.col("n_shingles").alias("n_c"), F.col("distance").alias("d_c"), F.col("component").alias("part")),
             "centres",
         )
         if not centres.limit(1).count():
             break
         more = (
             open_rows.join(centres.hint("merge"), "bucket")
-            .where((F.col("component") != F.col("part")) & close(F.col("n_shingles"), F.col("n_c")))
+            .where((F.col("component") != F.col("part")) & close(F.col("n_shingles"), F.col("n_c")) & near)
             .select(F.least("c", "class").alias("a"), F.greatest("c", "class").alias("b"))
             .distinct()
         )
         pairs, tried = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs"), pairs
         done = materialize(done.union(centres.select("bucket", F.col("c").alias("class"))), "done")
-        links = materialize(links.union(verify(pairs, texts, size, percent)), "links")
+        more = compare(pairs, texts, size, percent).where("linked").select("a", "b")
+        links = materialize(links.union(more), "links")
         pairs = materialize(tried.union(pairs), "pairs")
         found = connected_components(links)
 
