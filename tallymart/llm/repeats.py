@@ -5,8 +5,9 @@ up to that depth matter, and the work is done bucket by bucket, never on one arr
 
 1. Every string of ``LENGTH`` bytes is represented by one anchor in it, the GRAM-byte gram of least
    hash (winnowing). Equal strings have equal anchors at equal places, so an anchor's value names a
-   bucket of suffixes, and buckets with one anchor occurrence are dropped.
-2. Around each anchor left, cover samples stand every COVER bytes. Each represents the COVER suffixes
+   bucket of suffixes, and buckets with one anchor occurrence are dropped. A bucket in which the
+   anchor represents the very same run of strings everywhere is settled: all of them repeat.
+2. Around each anchor of the other buckets, cover samples stand every COVER bytes. Each represents the COVER suffixes
    before it, which all contain the block behind the sample (the core). The rank of a sample is the
    class of its core over the whole corpus.
 3. Two suffixes of a bucket are equal if their samples' ranks are equal and the few bytes before and
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallymart.llm import textbatch as tb
 from tallymart.llm.common import id_and_text, list_column, map_texts
-from tallymart.session import materialize
+from tallymart.session import materialize as _materialize
 
 LENGTH = 200
 GRAM = 48
@@ -42,6 +43,10 @@ _SIDE = COVER - 1
 _PLACE_BITS = np.uint64(28)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return _materialize(df, name, compression="zstd")
+
+
 def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` neighbouring keys, from prefix and suffix minima of blocks."""
     n = len(keys) - width + 1
@@ -86,12 +91,15 @@ def anchors(texts: tb.Texts) -> tuple[np.ndarray, ...]:
 def _scan(texts: tb.Texts) -> dict[str, pa.Array]:
     value, place, first, times, counts = anchors(texts)
     packed = place << 16 | (place - first) << 8 | times
+    start = np.repeat(texts.offsets[:-1], counts) + first
+    runs = tb.span_hashes(texts.data, start, start + times - 1 + LENGTH) if len(start) else value
     digests = [hashlib.sha256(texts.data[a:b]).hexdigest() for a, b in zip(texts.offsets[:-1], texts.offsets[1:])]
     return {
         "n_bytes": pa.array(np.diff(texts.offsets), pa.int64()),
         "text_sha256": pa.array(digests, pa.string()),
         "values": list_column(value.view(np.int64), counts, pa.int64()),
         "packed": list_column(packed, counts, pa.int64()),
+        "runs": list_column(runs.view(np.int64), counts, pa.int64()),
     }
 
 
@@ -128,7 +136,10 @@ def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = tb.from_arrow(batch.column(1))
         for i in range(len(batch)):
-            packed = np.asarray(batch.column(2)[i].values)
+            anchor = np.asarray(batch.column(2)[i].values)
+            packed = anchor[anchor & 1 == 0] >> 1
+            if not len(packed):
+                continue
             start, mask, core, left, right = _samples(texts.data[texts.offsets[i] : texts.offsets[i + 1]], packed)
             keys = np.full(len(start), batch.column(0)[i].as_py(), np.int64)
             columns = [
@@ -138,9 +149,16 @@ def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["row_key", "start", "present", "core", "before", "after"])
 
 
-def removed_bytes(size: int, starts: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Flags of the bytes covered by the strings ``starts - t`` for every bit ``t`` of ``masks``."""
+def removed_bytes(size: int, anchor: np.ndarray, starts: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Flags of the bytes covered by repeated strings.
+
+    These are the runs of settled anchors (bit 0 set), and ``starts - t`` for every bit ``t`` of ``masks``.
+    """
     change = np.zeros(size + 1, np.int64)
+    packed = anchor[anchor & 1 == 1] >> 1
+    first = (packed >> 16) - (packed >> 8 & 255)
+    np.add.at(change, first, 1)
+    np.add.at(change, first + (packed & 255) - 1 + LENGTH, -1)
     for t in range(COVER):
         at = starts[masks >> t & 1 == 1] - t
         np.add.at(change, at, 1)
@@ -157,8 +175,8 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, removed, spans, digests = [], [], [], []
         for i in range(len(batch)):
             data = texts.data[texts.offsets[i] : texts.offsets[i + 1]]
-            starts, masks = (np.asarray(batch.column(k)[i].values) for k in (2, 3))
-            gone = removed_bytes(len(data), starts.astype(np.int64), masks)
+            anchor, starts, masks = (np.asarray(batch.column(k)[i].values) for k in (2, 3, 4))
+            gone = removed_bytes(len(data), anchor, starts.astype(np.int64), masks)
             sizes.append(len(data))
             removed.append(int(gone.sum()))
             spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
@@ -167,20 +185,28 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The scanned rows, and (doc_id, text, row_key, starts, masks) of those with repeated strings.
+def repeated_strings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """The scanned rows that share no anchor, and (row_key, doc_id, text, anchor, starts, masks) of those that do.
 
-    ``starts - t`` for each bit ``t`` of the mask beside it is where a repeated string starts.
+    See :func:`removed_bytes` for what the lists say. Tables are written with strong compression, as
+    they and the shuffles are what bounds the size of a run.
     """
     texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     keyed = texts.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    scanned = materialize(map_texts(keyed, _scan, "n_bytes long, text_sha256 string, `values` array<long>, packed array<long>"), "anchors")
-    occurrences = scanned.select("row_key", F.explode(F.arrays_zip("values", "packed")).alias("a")).select("row_key", F.col("a.values").alias("value"), F.col("a.packed").alias("packed"))
-    twice = occurrences.groupBy("value").count().where("count > 1").select("value")
-    held = occurrences.join(twice.hint("merge"), "value").groupBy("row_key").agg(F.collect_set("packed").alias("packed"))
-    candidates = materialize(keyed.join(held.hint("merge"), "row_key").select("row_key", "doc_id", "text", "packed"), "candidates")
+    scanned = materialize(map_texts(keyed, _scan, "n_bytes long, text_sha256 string, `values` array<long>, packed array<long>, runs array<long>"), "anchors")
+    each = scanned.select("row_key", F.explode(F.arrays_zip("values", "packed", "runs")).alias("a"))
+    occurrences = each.select("row_key", F.col("a.values").alias("value"), F.col("a.packed").alias("packed"))
+    buckets = each.groupBy(F.col("a.values").alias("value")).agg(
+        F.count("*").alias("n"), F.min("a.runs").alias("low"), F.max("a.runs").alias("high")
+    )
+    buckets = buckets.where("n > 1").select("value", F.when(F.col("low") == F.col("high"), 1).otherwise(0).alias("settled"))
+    held = occurrences.join(buckets.hint("merge"), "value").select("row_key", (F.col("packed") * 2 + F.col("settled")).alias("anchor"))
+    held = held.groupBy("row_key").agg(F.collect_set("anchor").alias("anchor"))
+    candidates = materialize(keyed.join(held.hint("merge"), "row_key").select("row_key", "doc_id", "text", "anchor"), "candidates")
 
-    samples = candidates.select("row_key", "text", "packed").mapInArrow(_sampler, _SAMPLE)
+    samples = candidates.select("row_key", "text", "anchor").mapInArrow(_sampler, _SAMPLE)
     samples = samples.withColumn("around", F.xxhash64("present", "before", "after"))
     classes = samples.groupBy("core", "around").agg(
         F.count("*").alias("times"), F.first("present").alias("present"), F.first("before").alias("before"), F.first("after").alias("after")
@@ -202,7 +228,10 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = samples.select("row_key", "start", "core", "around").join(repeated.hint("merge"), ["core", "around"])
     marks = marks.select("row_key", F.struct("start", "mask").alias("m")).groupBy("row_key").agg(F.collect_set("m").alias("m"))
     marks = marks.select("row_key", F.transform("m", lambda m: m["start"]).alias("starts"), F.transform("m", lambda m: m["mask"]).alias("masks"))
-    return scanned, candidates.select("row_key", "doc_id", "text").join(marks.hint("merge"), "row_key")
+    rest = scanned.join(candidates.select("row_key").distinct().hint("merge"), "row_key", "left_anti")
+    return rest, candidates.join(marks.hint("merge"), "row_key", "left").withColumns(
+        {"starts": F.coalesce("starts", F.array().cast("array<int>")), "masks": F.coalesce("masks", F.array().cast("array<long>"))}
+    )
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,9 +240,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     NULL counts as empty. Texts under LENGTH bytes keep all. Rows that repeat, also with the same id, are
     copies: each loses what the other has. Ids may be NULL. Other columns are not read.
     """
-    scanned, hit = repeated_strings(docs, id_col, text_col)
-    hit = materialize(hit, "repeats")
-    cut = hit.select("doc_id", "text", "starts", "masks").mapInArrow(_cutter, _RESULT)
-    rest = scanned.join(hit.select("row_key").distinct(), "row_key", "left_anti")
+    rest, hit = repeated_strings(docs, id_col, text_col)
+    cut = hit.select("doc_id", "text", "anchor", "starts", "masks").mapInArrow(_cutter, _RESULT)
     none = F.lit(0).cast("long")
     return cut.union(rest.select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("text_sha256").alias("kept_sha256")))
