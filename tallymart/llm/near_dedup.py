@@ -107,7 +107,7 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     join, which adaptive execution splits, since only the other side's row is repeated for it.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = texts.join(ids, "doc_id", "left_semi")
+    wanted = texts.join(ids.hint("merge"), "doc_id", "left_semi")  # the same plan at every size
     sets = materialize(map_texts(wanted, lambda t: _packed(t, size), "shingles binary"), "sets")
     sets = sets.where("doc_id is not null").dropDuplicates(["doc_id", "shingles"])
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"shingles_{name}"))
