@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import chain, islice
 
 import numpy as np
 import regex
 
 from tallymart.llm import textbatch as tb
 
-CACHE = 250_000
+CACHE = 500_000
 # Fixed value: how byte-level BPE splits a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_MARKS = frozenset(".,;:!?")
+_MARKS = ".,;:!?"
 
 _BEFORE = tb.SPACE.copy()  # bytes that may end a white-space character
 _BEFORE[28:32] = True
@@ -41,69 +42,80 @@ def needs_whole(texts: tb.Texts) -> np.ndarray:
 
 
 class ChunkCache:
-    """Remembered encodings of pieces and chunks, in two generations of at most ``CACHE`` entries.
+    """Remembered encodings of chunks, in two generations of at most ``CACHE`` entries.
 
     A full young generation becomes the old one; entries found in the old one move back, so frequent
-    chunks stay and memory is bounded. Keys are strings with their leading blank.
+    chunks stay and memory is bounded. Keys are chunks without the blank that leads them.
     """
 
     def __init__(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _add(self, missing: set[str], encode, pieces) -> None:
-        """Encode chunks piece by piece; words and words with one mark after them are split by hand."""
-        young, old = self.young, self.old
-        split = []
+        """Encode chunks piece by piece; words and words with one mark after them are split by hand.
+
+        A piece with its leading blank is itself a chunk, so it is looked up and remembered as one.
+        """
+        young, old, marks = self.young, self.old, self.marks
+        marked: list[str] = []
+        other: list[tuple[str, list[str]]] = []
         wanted: set[str] = set()
         for chunk in missing:
             found = old.get(chunk)
             if found is not None:
                 young[chunk] = found
-                continue
-            word = chunk[1:] if chunk[:1] == " " else chunk
-            if word.isalpha():
-                parts = [chunk]
-            elif word[:-1].isalpha() and word[-1] in _MARKS:
-                parts = [chunk[:-1], word[-1]]
-            else:
-                parts = pieces(chunk)
-            split.append((chunk, parts))
-            for part in parts:
-                if part not in young:
-                    found = old.get(part)
+            elif chunk.isalpha():
+                wanted.add(chunk)
+            elif chunk[-1:] in marks and chunk[:-1].isalpha():
+                marked.append(chunk)
+                word = chunk[:-1]
+                if word not in young:
+                    found = old.get(word)
                     if found is None:
-                        wanted.add(part)
+                        wanted.add(word)
                     else:
-                        young[part] = found
-        new = list(wanted)
-        young.update(zip(new, encode(new)))
-        for chunk, parts in split:
-            if len(parts) != 1 or parts[0] != chunk:
-                young[chunk] = b"".join(map(young.__getitem__, parts))
+                        young[word] = found
+            else:
+                other.append((chunk, pieces(" " + chunk)))
+        words = list(wanted)
+        loose = list({part for _, parts in other for part in parts})
+        new = encode([" " + word for word in words] + loose)
+        young.update(zip(words, new))
+        parts_of = dict(zip(loose, new[len(words) :]))
+        for chunk in marked:
+            young[chunk] = young[chunk[:-1]] + marks[chunk[-1]]
+        for chunk, parts in other:
+            young[chunk] = b"".join(map(parts_of.__getitem__, parts))
 
     def encode_all(self, texts: tb.Texts, encode, pieces) -> list[bytes]:
         """The encoding of every text; ``encode`` maps a list of pieces to a list of encodings."""
+        if not self.marks:
+            self.marks = dict(zip(_MARKS, encode(list(_MARKS))))
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         whole = needs_whole(texts)
-        strings = [texts.text(i).decode("utf-8", "replace") for i in range(len(texts))]
-        split = []
+        split: list[list[str]] = []
+        direct: list[str] = []  # pieces encoded as they are: first chunks, and texts not cut into chunks
+        ends = [0]
         chunks: set[str] = set()
-        for text, w in zip(strings, whole):
-            if w:
-                parts = pieces(text)
-            else:
-                first, *rest = text.split(" ")
-                parts = [" " + x for x in rest]
-                if first:
-                    parts.insert(0, first)
+        for i, uncut in enumerate(whole):
+            text = texts.text(i).decode("utf-8", "replace")
+            parts = [] if uncut else text.split(" ")
+            direct += pieces(text if uncut else parts[0])
+            ends.append(len(direct))
             split.append(parts)
             chunks.update(parts)
-        chunks.difference_update(self.young)
-        self._add(chunks, encode, pieces)
+        self._add(chunks.difference(self.young), encode, pieces)
         known = self.young.__getitem__
-        return [b"".join(map(known, parts)) for parts in split]
+        distinct = list(set(direct))
+        encoded = dict(zip(distinct, encode(distinct)))
+        alone = [encoded[piece] for piece in direct]
+        return [
+            b"".join(chain(alone[ends[i] : ends[i + 1]], map(known, islice(parts, 1, None))))
+            for i, parts in enumerate(split)
+        ]
 
 
 class TokenizersEncoder:
