@@ -6,9 +6,10 @@ distinct value is a protected entity ``e``. A term ``t`` close to it reveals it
     PMI(t, e) / IC(e),   PMI = log2(N * df(t, e) / (df(t) * df(e))),   IC = log2(N / df(e))
 
 with document counts over the whole corpus: ``df(t, e)`` documents have the term near the entity. The
-degree is 1 for a term that occurs nowhere else. Terms at or over ``DISCLOSURE`` that stand near the
-entity in at least ``SUPPORT`` different texts are spans of kind ``term``. In sanitised text, entities
-are generalised to their kind and terms are removed.
+degree is 1 for a term that occurs nowhere else, also for an entity of a single document. Terms at or
+over ``DISCLOSURE`` are spans of kind ``term``, unless chance explains that they meet: the probability of
+``df(t, e)`` or more common documents, given the counts, must be at most ``CHANCE``. In sanitised text,
+entities are generalised to their kind and terms are removed.
 
 Java's ``find`` and ``split`` walk over the same matches, so the lengths of the pieces between the
 matches give their places in code points.
@@ -16,6 +17,8 @@ matches give their places in code points.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ POSSIBLE = {
 
 WINDOW_CHARS = 80
 TERM = r"[\p{L}\p{N}]{3,}"
-SUPPORT = 3
+CHANCE = 0.01
 DISCLOSURE = 0.9
 BROADCAST_TERMS = 50_000
 
@@ -125,11 +128,11 @@ def terms(text: Column) -> Column:
 
 
 def _near(rows: DataFrame) -> DataFrame:
-    """One row per entity occurrence and term next to it: doc_id, text_key, entity, term, start, end.
+    """One row per entity occurrence and term next to it: row_id, doc_id, text_key, entity, term, start, end.
 
     Terms cut by the border of the window, and terms that overlap another entity, are left out.
     """
-    spans = rows.select("doc_id", "text_key", "text", "spans", F.explode("spans").alias("s"))
+    spans = rows.select("row_id", "doc_id", "text_key", "text", "spans", F.explode("spans").alias("s"))
     low = F.greatest(F.col("s.start") - WINDOW_CHARS, F.lit(0))
     sides = F.array(
         F.struct(low.alias("at"), F.substring("text", low + 1, F.col("s.start") - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
@@ -140,43 +143,52 @@ def _near(rows: DataFrame) -> DataFrame:
             (F.length("text") > F.col("s.end") + WINDOW_CHARS).alias("cut_right"),
         ),
     )
-    side = spans.select("doc_id", "text_key", "spans", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.explode(sides).alias("side"))
-    found = side.select("doc_id", "text_key", "spans", "entity", "side", F.explode(_matches(F.col("side.part"), TERM)).alias("t"))
+    side = spans.select("row_id", "doc_id", "text_key", "spans", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.explode(sides).alias("side"))
+    found = side.select("row_id", "doc_id", "text_key", "spans", "entity", "side", F.explode(_matches(F.col("side.part"), TERM)).alias("t"))
     whole = ~(F.col("side.cut_left") & (F.col("t.start") == 0)) & ~(F.col("side.cut_right") & (F.col("t.end") == F.length("side.part")))
     placed = found.where(whole).select(
-        "doc_id", "text_key", "spans", "entity", F.lower("t.value").alias("term"),
+        "row_id", "doc_id", "text_key", "spans", "entity", F.lower("t.value").alias("term"),
         (F.col("side.at") + F.col("t.start")).alias("start"), (F.col("side.at") + F.col("t.end")).alias("end"),
     )
     overlaps = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     return placed.where(~overlaps).drop("spans")
 
 
-def disclosing_terms(near: DataFrame, texts: DataFrame, entities: DataFrame, support: int, disclosure: float) -> DataFrame:
-    """(entity, term) whose degree of disclosure reaches the threshold.
+def _surprise(n: Column, df_t: Column, df_e: Column, df_te: Column) -> Column:
+    """A lower bound of -ln P(df_te or more of df_t documents are among the df_e of n), by Hoeffding.
+
+    Exact where df_t = df_te = 1: a word of one document meets an entity of one with probability 1 / n.
+    """
+    share, expected = df_te / df_t, df_e / n
+    missed = F.when(df_te < df_t, (1 - share) * F.ln((1 - share) / (1 - expected))).otherwise(F.lit(0.0))
+    return df_t * (share * F.ln(share / expected) + missed)
+
+
+def disclosing_terms(near: DataFrame, texts: DataFrame, entities: DataFrame, chance: float, disclosure: float) -> DataFrame:
+    """(entity, term) whose degree of disclosure reaches the threshold, and is not explained by chance.
 
     Term counts go over every word of every text. Only candidate terms are counted: they are broadcast
     while there are at most BROADCAST_TERMS, else all terms are counted first (partially in the map
     tasks) and joined.
     """
-    together = near.groupBy("entity", "term", "text_key").agg(F.countDistinct("doc_id").alias("docs"))
-    pairs = together.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("docs").alias("df_te"))
-    pairs = materialize(pairs.where(F.col("texts") >= support), "term_pairs")
+    pairs = materialize(near.groupBy("entity", "term").agg(F.countDistinct("row_id").alias("df_te")), "term_pairs")
     wanted = pairs.select("term").distinct()
     words = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         words = words.join(F.broadcast(wanted), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count("*").alias("df_t"))
     total = texts.agg(F.count("*").alias("n"))
+    surprise = _surprise(F.col("n"), F.col("df_t"), F.col("df_e"), F.least("df_te", "df_t"))
     degree = F.log2(F.col("n") * F.col("df_te") / (F.col("df_t") * F.col("df_e"))) / F.log2(F.col("n") / F.col("df_e"))
     return (
         pairs.join(counts, "term").join(entities, "entity").join(F.broadcast(total))  # one row
-        .where((F.col("n") > F.col("df_e")) & (degree >= disclosure))
+        .where((F.col("n") > F.col("df_e")) & (degree >= disclosure) & (surprise >= -math.log(chance)))
         .select("entity", "term")
     )
 
 
 def personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance: float = CHANCE, disclosure: float = DISCLOSURE
 ) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and span_list of every row.
 
@@ -188,13 +200,14 @@ def personal_data(
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
     marked = keyed.withColumn("spans", base_spans(F.col("text")))
+    marked = marked.withColumn("row_id", F.monotonically_increasing_id())
     rows = materialize(marked.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "entities")
 
     near = materialize(_near(rows.where("size(spans) > 0")), "near")
-    held = rows.where("size(spans) > 0").select("doc_id", "text_key", F.explode("spans").alias("s"))
-    held = held.select("doc_id", "text_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity")).distinct()
+    names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    held = rows.where("size(spans) > 0").select(F.explode(names).alias("entity"))
     entities = held.groupBy("entity").agg(F.count("*").alias("df_e"))
-    flagged = disclosing_terms(near, texts, entities, support, disclosure)
+    flagged = disclosing_terms(near, texts, entities, chance, disclosure)
     span = F.struct(
         F.col("start").cast("int").alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("end").cast("int").alias("end"), F.lit("term").alias("kind"), F.col("term").alias("value")
     )

@@ -69,6 +69,17 @@ def test_terms_near_an_entity_that_occur_nowhere_else(spark):
         assert [texts[i][int(a) : int(b)] for _, a, b in terms] == (["zorblax"] if i < 5 else [])
 
 
+def test_terms_of_an_entity_in_one_or_two_texts(spark):
+    """Neither an address in a single text nor one in two, or in two rows without id, is beyond judgement."""
+    rows = [(i, f"the usual note with w{i % 40} and more") for i in range(400)]
+    rows += [(900, "qorvane writes to one@x.org about the note"), (901, "note for mivrel, see two@x.org and more"), (902, "ask mivrel or two@x.org the usual")]
+    rows += [(None, "thexil reads three@x.org and more"), (None, "three@x.org is with thexil the usual")]
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    terms = [s.value for r in found for s in r.span_list if s.kind == "term"]
+    assert terms.count("qorvane") == 1 and terms.count("mivrel") == 2 and terms.count("thexil") == 2
+    assert not {"the", "note", "usual", "and", "more"} & set(terms)
+
+
 def test_sanitised_text(spark):
     rows = [(i, f"zorblax {i} mails ann@x.org from 10.0.0.1") for i in range(4)] + [(9 + i, f"{i} mails from here") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
