@@ -7,7 +7,7 @@ distinct value is a protected entity ``e``. A term ``t`` close to it reveals it
 
 with document counts over the whole corpus: ``df(t, e)`` documents have the term near the entity. The
 degree is 1 for a term that occurs nowhere else, also for an entity of a single document. Terms at or
-over ``DISCLOSURE`` are spans of kind ``term``, unless chance explains that they meet: the probability of
+over ``DISCLOSURE`` are spans of kind ``term`` wherever they occur in any text, unless chance explains that they meet: the probability of
 ``df(t, e)`` or more common documents, given the counts, must be at most ``CHANCE``. In sanitised text,
 entities are generalised to their kind and terms are removed.
 
@@ -18,6 +18,7 @@ matches give their places in code points.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,28 +52,27 @@ BROADCAST_TERMS = 50_000
 _NO_SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Structs (start, end, value) of the leftmost non-overlapping matches, places in code points."""
+def _matches(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Structs (start, end, value) of the leftmost non-overlapping matches, places in code points.
+
+    Matches whose value is not ``wanted`` are passed over.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     kind = "struct<at:int,spans:array<struct<start:int,end:int,value:string>>>"
     empty = F.from_json(F.lit('{"at":0,"spans":[]}'), kind)
+
+    def appended(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        return F.concat(acc["spans"], F.array(F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))))
+
     return F.aggregate(
         F.zip_with(pieces, found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value"))),
         empty,
         lambda acc, x: F.when(x["value"].isNull(), acc).otherwise(
             F.struct(
                 (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["gap"]).alias("start"),
-                            (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                            x["value"].alias("value"),
-                        )
-                    ),
-                ).alias("spans"),
+                (appended(acc, x) if wanted is None else F.when(wanted(x["value"]), appended(acc, x)).otherwise(acc["spans"])).alias("spans"),
             )
         ),
         lambda acc: acc["spans"],
@@ -124,7 +124,7 @@ def written(spans: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x))
 
 
 def _near(rows: DataFrame) -> DataFrame:
@@ -167,15 +167,10 @@ def _surprise(n: Column, df_t: Column, df_e: Column, df_te: Column) -> Column:
 def disclosing_terms(near: DataFrame, texts: DataFrame, entities: DataFrame, chance: float, disclosure: float) -> DataFrame:
     """(entity, term) whose degree of disclosure reaches the threshold, and is not explained by chance.
 
-    Term counts go over every word of every text. Only candidate terms are counted: they are broadcast
-    while there are at most BROADCAST_TERMS, else all terms are counted first (partially in the map
-    tasks) and joined.
+    Term counts go over every word of every text, partially in the map tasks.
     """
     pairs = materialize(near.groupBy("entity", "term").agg(F.countDistinct("row_id").alias("df_te")), "term_pairs")
-    wanted = pairs.select("term").distinct()
     words = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count("*").alias("df_t"))
     total = texts.agg(F.count("*").alias("n"))
     surprise = _surprise(F.col("n"), F.col("df_t"), F.col("df_e"), F.least("df_te", "df_t"))
@@ -187,15 +182,38 @@ def disclosing_terms(near: DataFrame, texts: DataFrame, entities: DataFrame, cha
     )
 
 
+def _term_spans(keyed: DataFrame, flagged: DataFrame) -> DataFrame:
+    """added_id, added_key and added: the places of every occurrence of a flagged term in every text.
+
+    Up to BROADCAST_TERMS terms are broadcast, and places are found where a text is read. Beyond, the
+    words of all texts are joined with the terms, and the texts that have some are read again.
+    """
+    flagged = materialize(flagged.select("term").distinct(), "flagged")
+    words = lambda *more: keyed.select("doc_id", "text_key", *more, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    span = lambda s: F.struct(
+        s["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), s["end"].alias("end"), F.lit("term").alias("kind"), F.lower(s["value"]).alias("value")
+    )
+    if flagged.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        found = words("text").join(F.broadcast(flagged), "term", "left_semi")
+        found = found.withColumn("wanted", F.array("term"))
+    else:
+        has = words().join(flagged, "term", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("wanted"))
+        has = has.withColumnsRenamed({"doc_id": "has_id", "text_key": "has_key"})
+        found = keyed.join(has, F.col("doc_id").eqNullSafe(F.col("has_id")) & (F.col("text_key") == F.col("has_key")))
+    places = F.transform(_matches(F.col("text"), TERM, lambda x: F.array_contains("wanted", F.lower(x))), span)
+    placed = found.select(F.col("doc_id").alias("added_id"), F.col("text_key").alias("added_key"), places.alias("places"))
+    return placed.groupBy("added_id", "added_key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("added"))
+
+
 def personal_data(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance: float = CHANCE, disclosure: float = DISCLOSURE
 ) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and span_list of every row.
 
     ``spans`` is ``kind:start:end`` in code points, by start and then kind, comma-joined; terms come
-    last among kinds. ``span_list`` holds the same as structs. NULL counts as empty: no spans, empty
-    string. Rows that agree in id and text get the same spans; ids may be NULL. Other columns are not
-    read.
+    last among kinds, and one inside an entity is part of it. ``span_list`` holds the same as structs.
+    NULL counts as empty: no spans, empty string. Rows that agree in id and text get the same spans; ids
+    may be NULL. Other columns are not read.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
@@ -208,17 +226,14 @@ def personal_data(
     held = rows.where("size(spans) > 0").select(F.explode(names).alias("entity"))
     entities = held.groupBy("entity").agg(F.count("*").alias("df_e"))
     flagged = disclosing_terms(near, texts, entities, chance, disclosure)
-    span = F.struct(
-        F.col("start").cast("int").alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("end").cast("int").alias("end"), F.lit("term").alias("kind"), F.col("term").alias("value")
-    )
-    added = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("added"))
-    added = added.withColumnsRenamed({"doc_id": "added_id", "text_key": "added_key"})
+    added = _term_spans(keyed, flagged)
     same = F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("text_key") == F.col("added_key"))
     counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), lambda x: x == k)).cast("long").alias(f"n_{k}") for k in KINDS]
     out = rows.drop("text").join(added, same, "left")
-    every = F.array_sort(F.concat("spans", F.coalesce("added", F.array().cast(_NO_SPANS))))
+    outside = F.filter("added", lambda t: ~F.exists("spans", lambda s: (s["start"] <= t["start"]) & (s["end"] >= t["end"])))
+    out = out.withColumn("every", F.array_sort(F.concat("spans", F.coalesce(outside, F.array().cast(_NO_SPANS)))))
     return out.select(
-        "doc_id", *counts, F.sha2(written(F.col("spans")), 256).alias("base_sha256"), written(every).alias("spans"), every.alias("span_list")
+        "doc_id", *counts, F.sha2(written(F.col("spans")), 256).alias("base_sha256"), written(F.col("every")).alias("spans"), F.col("every").alias("span_list")
     )
 
 

@@ -80,6 +80,21 @@ def test_terms_of_an_entity_in_one_or_two_texts(spark):
     assert not {"the", "note", "usual", "and", "more"} & set(terms)
 
 
+@pytest.mark.parametrize("limit", [50_000, -1])
+def test_every_occurrence_of_a_disclosing_term(spark, monkeypatch, limit):
+    """Also far from the entity, in texts without it, beside another entity and in any case."""
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+    rows = [(i, "the usual note and more") for i in range(400)]
+    rows += [(500 + i, f"note {i} zorblax writes to ann@x.org and more " + "the usual " * 30 + "Zorblax again") for i in range(12)]
+    rows += [(600, "more of ZORBLAX, İ 😀 zorblax and zorblaxes"), (None, "zorblax, bob@zorblax.org"), (None, "zorblax, bob@zorblax.org")]
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    texts = dict(rows)
+    for r in found:
+        want = [m.span() for m in re.finditer(r"\bzorblax\b(?!.org)", texts[r.doc_id], re.I)]
+        assert [(s.start, s.end) for s in r.span_list if s.value == "zorblax"] == want
+
+
 def test_sanitised_text(spark):
     rows = [(i, f"zorblax {i} mails ann@x.org from 10.0.0.1") for i in range(4)] + [(9 + i, f"{i} mails from here") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
