@@ -145,16 +145,21 @@ def has_letter(texts: tb.Texts) -> np.ndarray:
 
 
 def training_samples(docs: DataFrame, usable: Column) -> dict[str, bytes]:
-    """Sample text per language: of at most SAMPLE_TEXTS texts of at most SAMPLE_CHARS characters.
+    """Sample text per language: of at most SAMPLE_TEXTS texts, at most SAMPLE_CHARS characters of each.
 
-    The texts are picked by a hash of the id among rows where ``usable`` holds and the language is known.
+    The texts are picked by a hash of the id among all rows with text where ``usable`` holds and the
+    language is known; whole texts go before longer ones. Of a longer text, the characters from a place
+    chosen by the hash are taken.
     Only ids are sorted; what reaches the driver is bounded by these parameters for each language.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & (F.col("lang") != "und"))
-    sizes = rows.select("doc_id", "lang", F.length("text").alias("size")).where(f"size between 1 and {SAMPLE_CHARS}")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id")
-    picked = sizes.withColumn("rank", F.row_number().over(order)).where(f"rank <= {SAMPLE_TEXTS}").select("doc_id", "lang")
-    found = docs.where(f"length(text) between 1 and {SAMPLE_CHARS}").join(F.broadcast(picked), ["doc_id", "lang"])
+    sizes = rows.where(F.length("text") > 0).select("doc_id", "lang", (F.length("text") > SAMPLE_CHARS).alias("long"))
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id", F.lit(9)), "doc_id")
+    picked = sizes.withColumn("rank", F.row_number().over(order)).where(f"rank <= {SAMPLE_TEXTS}").select("doc_id", "lang", "long")
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(9)), spare + 1).cast("int")
+    found = docs.where(F.length("text") > 0).withColumn("long", F.length("text") > SAMPLE_CHARS)
+    found = found.join(F.broadcast(picked), ["doc_id", "lang", "long"]).withColumn("text", F.substring("text", place + 1, F.lit(SAMPLE_CHARS)))
     samples: dict[str, list[str]] = {}
     for row in sorted(found.select("doc_id", "lang", "text").distinct().collect()):
         samples.setdefault(row.lang, []).append(row.text)

@@ -69,5 +69,18 @@ def test_odd_rows(spark, odd, nothing):
     assert language.identify(nothing, F.lit(True)).count() == 0
 
 
+def test_a_language_of_long_texts_only(spark):
+    """A language is learnt from parts of long texts too, also where it has one short text."""
+    words = {"aa": "kolu mire tasano velit ", "bb": "strugh whend bractle ombly "}
+    rows = [(i, words["bb"] * (5 + i), "bb") for i in range(20)] + [(50 + i, words["aa"] * (300 + i), "aa") for i in range(20)]
+    rows += [(90, "qq", "cc")] + [(100 + i, "zyxo jivu quazy foxij " * (200 + i), "cc") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs, F.col("doc_id") % 2 == 0).collect()}
+    assert all(found[i] == lang for i, _, lang in rows if i != 90)
+    samples = language.training_samples(docs, F.lit(True))
+    assert set(samples) == {"aa", "bb", "cc"}
+    assert all(len(x) <= language.SAMPLE_TEXTS * (language.SAMPLE_CHARS + 1) for x in samples.values())
+
+
 def test_letters_of_any_script():
     assert language.has_letter(tb.from_arrow(pa.array(["日本", "123 é", "1 😀", "", "-a-"]))).tolist() == [True, True, False, False, True]
