@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import byte_bpe, decontaminate, language, near_dedup, pii, quality_model, quality_rules, repeats, secrets, wavelet
+from tallymart.llm import (
+    byte_bpe,
+    decontaminate,
+    language,
+    near_dedup,
+    pii,
+    quality_model,
+    quality_rules,
+    repeats,
+    secrets,
+    wavelet,
+    whitening,
+)
 from tallymart.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +92,8 @@ def op9_language(spark: SparkSession, root: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.token_digests(table(spark, root, "documents"), path, public_tokenizers.PATTERN)
+
+
+@_query
+def op13_embedding_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, root, "embeddings"))
