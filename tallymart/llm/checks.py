@@ -27,6 +27,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM c
 """
 
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+      FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS ws
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS t(k))),
+f AS (SELECT lang, k, ws, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM g GROUP BY lang, k, ws),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.phrase, c.k, c.f AS a, cut, x.f AS l, y.f AS r,
+           ((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c
+         JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.ws, 1, cut), ' ')
+         JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.ws, cut + 1, c.k), ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_of AS (SELECT DISTINCT c.lang, array_to_string(list_slice(c.ws, i, i + 1), ' ') AS phrase, c.f AS longer
+             FROM c, (VALUES (1), (2)) AS t(i) WHERE c.k = 3),
+dropped AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_of AS i ON i.lang = c.lang AND i.phrase = c.phrase WHERE 100 * longer >= 50 * c.f)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score
+FROM lowest AS s JOIN n ON n.lang = s.lang
+WHERE NOT EXISTS (SELECT 1 FROM dropped AS x WHERE x.lang = s.lang AND x.phrase = s.phrase)
+QUALIFY rank <= 2000
+"""
+
 
 def checks() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2}
+    return {"op2_quality_rules": _OP2, "op12_phrase_collocations": _OP12}

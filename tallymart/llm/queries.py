@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tallymart.llm import (
     byte_bpe,
+    collocations,
     decontaminate,
     language,
+    licenses,
     near_dedup,
     pii,
     quality_model,
@@ -94,6 +96,16 @@ def op10_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, root, "documents"), path, public_tokenizers.PATTERN)
 
 
+@_query
+def op11_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.license_scan(table(spark, root, "documents"))
+
+
+@_query
+def op12_phrase_collocations(spark: SparkSession, root: str) -> DataFrame:
+    return collocations.collocations(table(spark, root, "documents"))
+
+
 @_query
 def op13_embedding_whitening(spark: SparkSession, root: str) -> DataFrame:
     return whitening.whitened_components(table(spark, root, "embeddings"))

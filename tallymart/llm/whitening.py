@@ -53,9 +53,9 @@ def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     """vec_id and vector of the rows whose vector is not NULL, not empty, and of finite entries only."""
     ship(df.sparkSession)
     vector = F.col(f"`{vector_col}`").cast("array<double>")
-    finite = F.forall(vector, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)))
+    finite = F.forall("vector", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("vector"))
-    return rows.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.transform(F.array("vector"), lambda v: finite)[0])
+    return rows.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & finite)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
