@@ -34,7 +34,8 @@ p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
       FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
 g AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS ws
       FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS t(k))),
-f AS (SELECT lang, k, ws, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM g GROUP BY lang, k, ws),
+f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f
+      FROM (SELECT lang, k, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM g GROUP BY lang, k, phrase)),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
 cuts AS (SELECT c.lang, c.phrase, c.k, c.f AS a, cut, x.f AS l, y.f AS r,

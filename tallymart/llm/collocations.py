@@ -35,9 +35,9 @@ SHARE = 50
 TOP = 2_000
 UNKNOWN = "und"
 
-SLICE_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
-HELD_PHRASES = 2_000_000
+SLICE_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
+HELD_PHRASES = 500_000
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True

@@ -108,6 +108,14 @@ class _Template:
     def ordered(self, place: Mapping[str, int]) -> list[str]:
         return sorted(self.words, key=place.__getitem__)
 
+    def prefix(self, place: Mapping[str, int]) -> list[str]:
+        """The rarest words, of which every block that matches holds at least one."""
+        return self.ordered(place)[: len(self.words) - self.least + 1]
+
+
+def _prefix_words(templates: Sequence[_Template], place: Mapping[str, int]) -> list[str]:
+    return sorted({word for t in templates for word in t.prefix(place)})
+
 
 def word_order(texts: DataFrame, words: Sequence[str]) -> list[str]:
     """``words`` by the number of their occurrences in all texts (column ``spaced``), rare ones first."""
@@ -128,13 +136,13 @@ def _blocks(rows: DataFrame, templates: list[_Template], order: list[str]) -> Da
     place = {w: i for i, w in enumerate(order)}
     each = []
     for size in sorted({t.size for t in templates}):
-        prefix = sorted({w for t in templates if t.size == size for w in t.ordered(place)[: len(t.words) - t.least + 1]})
+        prefix = _literal(_prefix_words([t for t in templates if t.size == size], place))
         # The last block is the one that reaches the end of the text.
         starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("words") - F.lit(2 * size)) / size), F.lit(0)).cast("int"))
         cut = F.transform(
             starts, lambda i: F.struct(F.lit(size).alias("size"), (i * size).alias("at"), F.slice("words", i * size + 1, F.lit(2 * size)).alias("words"))
         )
-        each.append(F.filter(cut, lambda b, prefix=prefix: F.arrays_overlap(b["words"], _literal(prefix))))
+        each.append(F.filter(cut, lambda b: F.arrays_overlap(b["words"], prefix)))
     block = rows.select("row_id", F.explode(F.concat(*each)).alias("b"))
     held = F.array_intersect(_literal(order), F.col("b.words"))
     return block.select("row_id", "b.size", "b.at", held.alias("held"))
@@ -149,7 +157,7 @@ def _match(blocks: DataFrame, templates: list[_Template], order: list[str]) -> D
             F.lit(t.least).alias("least"), _literal(t.ordered(place)).alias("wanted"),
         )
         for t in templates
-        for position, word in enumerate(t.ordered(place)[: len(t.words) - t.least + 1])
+        for position, word in enumerate(t.prefix(place))
     ]
     index = blocks.sparkSession.range(1).select(F.inline(F.array(*entries)))
     spread = blocks.select("row_id", "size", "at", "held", F.posexplode("held").alias("block_at", "word"))
@@ -174,7 +182,7 @@ def _prepared(
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), spaced(text).alias("spaced"))
     order = word_order(texts, sorted({w for t in templates for w in t.words}))
     place = {w: i for i, w in enumerate(order)}
-    prefix = sorted({w for t in templates for w in t.ordered(place)[: len(t.words) - t.least + 1]})
+    prefix = _literal(_prefix_words(templates, place))
 
     n_words = F.when(F.col("spaced") == "", 0).otherwise(_blanks(F.col("spaced")) + 1).cast("long")
     padded = F.concat(F.lit("| "), F.col("spaced"), F.lit(" "))
@@ -188,7 +196,7 @@ def _prepared(
         F.least(*[p["first"] for p in found.values()], nothing, nothing).alias("first_word"),
         F.greatest(*[p["last"] for p in found.values()], nothing, nothing).alias("last_word"),
         F.array_compact(F.array(*[F.when(p["n"] > 0, F.lit(phrases[q])) for q, p in found.items()]).cast("array<string>")).alias("base"),
-        F.when(F.arrays_overlap(F.split("spaced", " "), _literal(prefix)), F.split("spaced", " ")).alias("words"),
+        F.when(F.arrays_overlap(F.split("spaced", " "), prefix), F.split("spaced", " ")).alias("words"),
     )
     return materialize(counted, "license_rows"), order
 

@@ -60,10 +60,10 @@ def found(df, **options):
     return sorted((tuple(r) for r in scanned.collect()), key=key)
 
 
-def test_equals_plain_definition_on_spark.read.parquet(f"{small}/documents.parquet"):
+def test_equals_plain_definition_on_documents(spark, small):
     table = spark.read.parquet(f"{small}/documents.parquet")
     want = sorted((plain(r.doc_id, r.text) for r in table.collect()), key=key)
-    assert sum(bool(r[6]) for r in want) > 3
+    assert sum(bool(r[6]) for r in want) >= 3
     assert found(table) == want
 
 
