@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 
 from tallymart.functions.calendar import WEEKEND_START, calendar_columns, parse_date
 from tallymart.functions.columns import exact
-from tallymart.operators.profile import null_heavy_columns
+from tallymart.operators.profile import null_heavy_columns, null_report, over_threshold
+from tallymart.session import scratch_path
+from tallymart.sources.footers import footer_profile
 from tallymart.sources.schema import COLUMN_NAMES, NUMERIC_TYPES, TEXT_COLUMNS, UNUSED_COLUMNS
 
 
@@ -61,14 +63,27 @@ def clean_profiled(
     rules: CleaningRules | None = None,
     null_threshold: float = 0.10,
     required: Iterable[str] = (),
+    staged: bool = False,
 ) -> DataFrame:
     """:func:`clean` without the columns whose share of NULLs reaches ``null_threshold``.
 
+    The raw table is computed twice, for the profile and for the result. With ``staged`` it is written
+    first, and the shares come from the footers of what was written: right for a raw table that is a
+    join, while a plain file is better read again.
+
     The date column is kept whatever its share, because the calendar needs it. ``required`` names
     source columns a later step cannot do without; if one of them would go, this fails with its name.
     """
     rules = rules or CleaningRules()
-    sparse = [name for name in null_heavy_columns(raw, null_threshold) if name != rules.date]
+    if staged:
+        path = scratch_path(raw.sparkSession, "raw")
+        raw.write.parquet(path)
+        raw = raw.sparkSession.read.schema(raw.schema).parquet(path)
+        over = over_threshold(null_report(footer_profile(raw.sparkSession, path)), null_threshold).collect()
+        heavy = [row.column_name for row in over]
+    else:
+        heavy = null_heavy_columns(raw, null_threshold)
+    sparse = [name for name in heavy if name != rules.date]
     if needed := [name for name in required if name in sparse]:
         raise ValueError(f"columns with too many NULLs that are needed later: {', '.join(needed)}")
     return clean(raw, rules, also_drop=sparse)

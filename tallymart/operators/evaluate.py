@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymart.operators.prefix import running_sums
+
 # Display names of class 0 and class 1.
 CLASS_NAMES = ("Bottom 75%", "Top Quartile")
 
@@ -133,41 +132,26 @@ def breakout_lift(
     return rates.withColumn("lift", F.try_divide("precision", "base_rate"))
 
 
-class RocArea(NamedTuple):
-    n_positive: int
-    n_negative: int
-    area: float | None
-
-
-def area_under_roc(
-    df: DataFrame, score: str = "probability", label: str = "is_top_quartile"
-) -> RocArea:
-    """The exact area under the ROC curve, ties counting half, with the size of both classes.
+def auc_roc(df: DataFrame, score: str = "probability", label: str = "is_top_quartile") -> DataFrame:
+    """One row: size of both classes and the exact area under the ROC curve, ties counting half.
 
-    Rows are combined per score in the map tasks and ranked by a distributed sort. There is no area
-    unless both classes occur. A NULL or NaN score, or a label other than 0 and 1, is an error.
+    Rows are combined per score in the map tasks. A running sum over the sorted scores gives the negatives
+    below each, so the area is twice a whole number over another, divided once. The area is NULL unless
+    both classes occur. A NULL or NaN score, or a label other than 0 and 1, fails the query.
     """
     y = F.col(label).cast("double")
     rows = df.select(F.col(score).cast("double").alias("score"), y.alias("y"))
     usable = F.col("score").isNotNull() & ~F.isnan("score") & _binary("y")
-    sizes = rows.agg(
-        F.count_if(F.col("y") == 1).alias("pos"),
-        F.count_if(F.col("y") == 0).alias("neg"),
-        F.count_if(~usable).alias("bad"),
-    ).first()
-    if sizes.bad:
-        raise ValueError(f"{sizes.bad} rows have a NULL or NaN {score} or a {label} other than 0 and 1")
-    if not (sizes.pos and sizes.neg):
-        return RocArea(sizes.pos, sizes.neg, None)
-    # numBins=0 keeps every distinct score; the default merges them into 1,000 points.
-    evaluator = BinaryClassificationEvaluator(
-        rawPredictionCol="score", labelCol="y", metricName="areaUnderROC", numBins=0
-    )
-    return RocArea(sizes.pos, sizes.neg, float(evaluator.evaluate(rows)))
-
-
-def auc_roc(df: DataFrame, score: str = "probability", label: str = "is_top_quartile") -> DataFrame:
-    """:func:`area_under_roc` as a row."""
-    return df.sparkSession.createDataFrame(
-        [area_under_roc(df, score, label)], "n_positive bigint, n_negative bigint, auc double"
+    message = F.lit(f"NULL or NaN {score}, or a {label} other than 0 and 1, in some rows")
+    checked = rows.select("y", F.when(usable, F.col("score")).otherwise(F.raise_error(message)).alias("score"))
+    per_score = checked.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    ranked = running_sums(per_score, ["score"], {"upto": "neg"})
+    # Twice the negatives below, ties counting half: those before this score twice, its own once.
+    below = (F.lit(2) * F.col("upto") - F.col("neg")).cast("decimal(19,0)")
+    sums = ranked.agg(
+        F.coalesce(F.sum("pos"), F.lit(0)).alias("n_positive"),
+        F.coalesce(F.sum("neg"), F.lit(0)).alias("n_negative"),
+        F.sum(F.col("pos").cast("decimal(19,0)") * below).alias("won"),
     )
+    pairs = F.lit(2).cast("decimal(1,0)") * F.col("n_positive").cast("decimal(18,0)") * F.col("n_negative").cast("decimal(18,0)")
+    return sums.select("n_positive", "n_negative", F.try_divide(F.col("won").cast("double"), pairs.cast("double")).alias("auc"))

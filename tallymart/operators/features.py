@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tallymart.functions.exact_sums import mean_over
 from tallymart.functions.numbers import smoothed_change
 
 # Model inputs, in the order the models see them.
@@ -42,15 +43,15 @@ FEATURE_LABELS = {
 TIME_ORDER = ("year", "month", "city", "county")
 
 
-def trailing_mean(value: Column, window, size: int) -> Column:
+def trailing_mean(df: DataFrame, column: str, window: WindowSpec, size: int) -> Column:
     """Mean of the ``size`` rows before the current one; NULL unless all are there and non-NULL."""
     frame = window.rowsBetween(-size, -1)
-    return F.when(F.count(value).over(frame) == size, F.avg(value).over(frame))
+    return F.when(F.count(column).over(frame) == size, mean_over(df, column, frame))
 
 
-def expanding_mean(value: Column, window) -> Column:
+def expanding_mean(df: DataFrame, column: str, window: WindowSpec) -> Column:
     """Mean of all rows before the current one."""
-    return F.avg(value).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    return mean_over(df, column, window.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def store_features(
@@ -81,9 +82,9 @@ def store_features(
     featured = panel.withColumns(
         {
             **lags,
-            "revenue_rolling3": trailing_mean(amount, window, 3),
+            "revenue_rolling3": trailing_mean(panel, revenue, window, 3),
             "mom_growth_rate": smoothed_change(lags["revenue_lag1"], lags["revenue_lag2"]),
-            "store_avg_revenue": expanding_mean(amount, window),
+            "store_avg_revenue": expanding_mean(panel, revenue, window),
             **counts,
             "month_of_year": F.col(month),
         }

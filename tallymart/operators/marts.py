@@ -1,8 +1,9 @@
 """Revenue summaries and top-k reports over the sales table.
 
 Every mart is an aggregation that combines in the map tasks before its shuffle, so a key with a
-large share of the rows arrives as one partial result per task. Ties in a top-k report are broken by
-the key, which makes the report deterministic.
+large share of the rows arrives as one partial result per task. Amounts are summed exactly, so a
+report does not depend on the partitioning. Ties in a top-k report are broken by the key, which makes
+the report deterministic.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions.aggregates import n_rows, n_unique, sum_or_zero
 from tallymart.functions.calendar import quarter_label
+from tallymart.functions.exact_sums import amount_total, exact_total, is_floating
 from tallymart.functions.numbers import growth_pct, ratio
 from tallymart.functions.text import money_text
 from tallymart.operators.categorize import by_category
@@ -35,9 +37,9 @@ def sales_summary(
     ``rows`` names the column with the number of transactions where ``df`` holds partial sums.
     """
     return df.agg(
-        sum_or_zero(F.col(revenue)).alias("total_revenue"),
-        sum_or_zero(F.col(volume)).alias("total_volume_gallons"),
-        sum_or_zero(F.col(bottles)).alias("total_bottles"),
+        amount_total(df, revenue).alias("total_revenue"),
+        amount_total(df, volume).alias("total_volume_gallons"),
+        amount_total(df, bottles).alias("total_bottles"),
         (n_rows() if rows is None else sum_or_zero(F.col(rows))).alias("total_transactions"),
     )
 
@@ -55,9 +57,9 @@ def yearly_summary(
     safe only because its input is one row per calendar year.
     """
     yearly = df.groupBy(year).agg(
-        sum_or_zero(F.col(revenue)).alias("revenue"),
-        sum_or_zero(F.col(volume)).alias("volume_gallons"),
-        sum_or_zero(F.col(bottles)).alias("bottles"),
+        amount_total(df, revenue).alias("revenue"),
+        amount_total(df, volume).alias("volume_gallons"),
+        amount_total(df, bottles).alias("bottles"),
         n_rows().alias("transactions"),
     )
     previous = F.lag("revenue", 1).over(Window.orderBy(year))
@@ -73,7 +75,7 @@ def quarterly_sales(
     df: DataFrame, year: str = "year", quarter: str = "quarter", revenue: str = "sale_dollars"
 ) -> DataFrame:
     """Revenue per quarter in order, with a ``2022 Q1`` label."""
-    quarterly = df.groupBy(year, quarter).agg(sum_or_zero(F.col(revenue)).alias("total_revenue"))
+    quarterly = df.groupBy(year, quarter).agg(amount_total(df, revenue).alias("total_revenue"))
     return quarterly.withColumn("period", quarter_label(F.col(year), F.col(quarter))).orderBy(
         year, quarter
     )
@@ -83,7 +85,7 @@ def top_k(
     df: DataFrame, key: str, measure: str, k: int, out: str = "total_revenue"
 ) -> DataFrame:
     """The ``k`` keys with the highest sum of ``measure``."""
-    totals = df.groupBy(key).agg(sum_or_zero(F.col(measure)).alias(out))
+    totals = df.groupBy(key).agg(amount_total(df, measure).alias(out))
     return _highest_first(totals, out, key, k)
 
 
@@ -91,7 +93,9 @@ def top_categories(
     df: DataFrame, k: int = 10, text: str = "category_name", revenue: str = "sale_dollars"
 ) -> DataFrame:
     """The ``k`` major categories with the highest revenue."""
-    totals = by_category(df, {"total_revenue": sum_or_zero(F.col(revenue))}, text)
+    totals = by_category(df, {"total_revenue": exact_total(df, revenue)}, text)
+    if is_floating(df, revenue):
+        totals = totals.withColumn("total_revenue", F.col("total_revenue").cast("double"))
     return _highest_first(totals, "total_revenue", "major_category", k)
 
 
@@ -124,7 +128,7 @@ def weekday_weekend(
 ) -> DataFrame:
     """Sales, number of distinct days and mean sales per day, for weekdays and weekends."""
     totals = df.groupBy(flag).agg(
-        sum_or_zero(F.col(revenue)).alias("total_sales"),
+        amount_total(df, revenue).alias("total_sales"),
         n_unique(F.col(date)).alias("n_days"),
     )
     return totals.withColumns(
@@ -153,7 +157,7 @@ def city_efficiency(
     """
     lines = n_rows() if invoice_is_unique else n_unique(F.col(invoice) if isinstance(invoice, str) else F.struct(*invoice))
     totals = df.groupBy(key).agg(
-        sum_or_zero(F.col(revenue)).alias("total_sales"), lines.alias("n_transactions")
+        amount_total(df, revenue).alias("total_sales"), lines.alias("n_transactions")
     )
     per_line = ratio(F.col("total_sales"), F.col("n_transactions"))
     return _highest_first(totals.withColumn("avg_sale_per_txn", per_line), "avg_sale_per_txn", key, k)

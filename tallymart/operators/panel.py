@@ -9,7 +9,9 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions.aggregates import n_rows, n_unique, sum_or_zero
+from tallymart.functions.aggregates import n_rows, n_unique
+from tallymart.functions.exact_sums import Total
+from tallymart.functions.numbers import ratio
 
 PANEL_KEYS = ("store_name", "city", "county", "year", "month")
 
@@ -27,7 +29,8 @@ def store_month_panel(
     """Revenue, mean sale, distinct invoice lines and items, bottles and liters per key.
 
     A measure whose column is None is left out. ``invoice`` is one column or several that together
-    name the line. NULL counts as one item and one invoice.
+    name the line. NULL counts as one item and one invoice. Amounts are summed exactly and the mean is one
+    division, so the panel has the same bits from every partitioning.
 
     Sums are taken per (keys, item) first, so the number of items is the number of partial rows.
     Distinct invoices are counted in a branch of their own and joined on the keys. Both shuffle on
@@ -35,19 +38,16 @@ def store_month_panel(
     no row is expanded. With ``invoice_is_unique`` (no two rows share an invoice line) the row count
     takes the place of that branch.
     """
-    sums = {"monthly_revenue": F.col(revenue)}
-    if bottles is not None:
-        sums["total_bottles"] = F.col(bottles)
-    if liters is not None:
-        sums["total_liters"] = F.col(liters)
-    partial = {name: F.sum(value) for name, value in sums.items()}
+    sums = {"monthly_revenue": revenue, "total_bottles": bottles, "total_liters": liters}
+    totals = {name: Total(df, column, f"_{name}") for name, column in sums.items() if column is not None}
+    partial = {part: value for total in totals.values() for part, value in total.partial().items()}
     partial["_n_revenue"] = F.count(revenue)
     partial["_n_rows"] = n_rows()
     per_item = df.groupBy(*keys, *([item] if item is not None else []))
     per_item = per_item.agg(*[value.alias(name) for name, value in partial.items()])
     rows = per_item.groupBy(*keys).agg(
-        *[sum_or_zero(F.col(name)).alias(name) for name in sums],
-        F.try_divide(F.sum("monthly_revenue"), F.sum("_n_revenue")).alias("avg_transaction_value"),
+        *[total.as_read(total.again()).alias(name) for name, total in totals.items()],
+        ratio(totals["monthly_revenue"].again(), F.sum("_n_revenue")).alias("avg_transaction_value"),
         F.sum("_n_rows").alias("num_transactions"),
         n_rows().alias("unique_skus"),
     )
@@ -59,7 +59,7 @@ def store_month_panel(
         rows = rows.join(counted, same).withColumn("num_transactions", F.col("_n_invoices"))
     measures = ["monthly_revenue", "avg_transaction_value"]
     measures += ["num_transactions"] * (invoice is not None) + ["unique_skus"] * (item is not None)
-    return rows.select(*keys, *measures, *[name for name in sums if name != "monthly_revenue"])
+    return rows.select(*keys, *measures, *[name for name in totals if name != "monthly_revenue"])
 
 
 def panel_stats(

@@ -72,7 +72,7 @@ def model_comparison(models: Models) -> DataFrame:
     """One row per model: how well it finds breakouts, and its area under the ROC curve."""
 
     def line(name: str, scores: DataFrame) -> DataFrame:
-        area = F.lit(evaluate.area_under_roc(scores).area).cast("double")
+        area = evaluate.auc_roc(scores).select("auc").scalar()
         return evaluate.breakout_lift(scores).select(F.lit(name).alias("model"), "*", area.alias("auc"))
 
     return line("logistic regression", models.logistic_scores).union(

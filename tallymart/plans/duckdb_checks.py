@@ -1,17 +1,16 @@
 """The same results in SQL for DuckDB, as a check of the plans.
 
-The rule patterns, labels, category texts and the scale of the cut are imported from the code, so a wrong
-value there is wrong in both; ``tests/test_categorize.py`` holds the rules against written-out labels.
+The rule patterns, labels and category texts are imported from the code, so a wrong value there is wrong
+in both; ``tests/test_categorize.py`` holds the rules against written-out labels.
 
-Floating-point sums depend on the order of addition, so a table that is compared with itself (the
-monthly threshold) is materialised first.
+Amounts are added as decimals, so a sum does not depend on the order of addition, and become doubles by
+their decimal text, which rounds correctly.
 """
 
 from __future__ import annotations
 
 from tallymart.operators.categorize import LIQUOR_RULES, UNCATEGORIZED
 from tallymart.operators.features import FEATURE_LABELS, FEATURES
-from tallymart.plans.queries import CUT_SCALE
 from tallymart.sources.star import CATEGORY_OF_BRAND
 
 
@@ -19,9 +18,16 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _single(expression: str) -> str:
-    scale = f"CAST('{CUT_SCALE}' AS DOUBLE)"
-    return f"CAST(CAST(({expression}) * {scale} AS FLOAT) AS DOUBLE) / {scale}"
+def _exact(amount: str) -> str:
+    return f"CAST({amount} AS DECIMAL(28,7))"
+
+
+def _double(amount: str) -> str:
+    return f"CAST(CAST({amount} AS VARCHAR) AS DOUBLE)"
+
+
+def _sum(amount: str) -> str:
+    return _double(f"sum({_exact(amount)})")
 
 
 def _cents(expression: str) -> str:
@@ -80,22 +86,22 @@ def _sales_cte(store: str = "supplier") -> str:
   LEFT JOIN region ON n_regionkey = r_regionkey)"""
 
 
-_PANEL = """panel AS MATERIALIZED (
+_PANEL = f"""panel AS MATERIALIZED (
   SELECT store_name, city, county, year, month,
-         sum(sale_dollars) AS monthly_revenue,
-         avg(sale_dollars) AS avg_transaction_value,
+         {_sum('sale_dollars')} AS monthly_revenue,
+         {_sum('sale_dollars')} / count(sale_dollars) AS avg_transaction_value,
          CAST(count(DISTINCT invoice_item) AS BIGINT) AS num_transactions,
          CAST(count(DISTINCT item_description) AS BIGINT) AS unique_skus,
          CAST(sum(bottles_sold) AS BIGINT) AS total_bottles,
-         sum(volume_liters) AS total_liters
+         {_sum('volume_liters')} AS total_liters
   FROM sales GROUP BY store_name, city, county, year, month)"""
 
-_FEATURES = """lagged AS (
+_FEATURES = f"""lagged AS (
   SELECT *, row_number() OVER w AS rn,
          lag(monthly_revenue, 1) OVER w AS revenue_lag1,
          lag(monthly_revenue, 2) OVER w AS revenue_lag2,
          lag(monthly_revenue, 3) OVER w AS revenue_lag3,
-         sum(monthly_revenue) OVER w - monthly_revenue AS revenue_before,
+         sum({_exact('monthly_revenue')}) OVER w - {_exact('monthly_revenue')} AS revenue_before,
          lag(num_transactions, 1) OVER w AS txn_lag1,
          lag(unique_skus, 1) OVER w AS skus_lag1,
          month AS month_of_year
@@ -105,9 +111,9 @@ features AS MATERIALIZED (
   SELECT store_name, city, county, year, month, monthly_revenue, avg_transaction_value,
          num_transactions, unique_skus, total_bottles, total_liters,
          revenue_lag1, revenue_lag2, revenue_lag3,
-         (revenue_lag1 + revenue_lag2 + revenue_lag3) / 3 AS revenue_rolling3,
+         {_double(' + '.join(_exact(f'revenue_lag{n}') for n in (1, 2, 3)))} / 3 AS revenue_rolling3,
          (revenue_lag1 - revenue_lag2) / nullif(revenue_lag2 + 1e-9, 0) AS mom_growth_rate,
-         revenue_before / (rn - 1) AS store_avg_revenue,
+         {_double('revenue_before')} / (rn - 1) AS store_avg_revenue,
          txn_lag1, skus_lag1, month_of_year
   FROM lagged
   WHERE revenue_lag1 IS NOT NULL AND revenue_lag2 IS NOT NULL AND revenue_lag3 IS NOT NULL)"""
@@ -160,16 +166,12 @@ _ON_RULE = _with(_sales_cte(), _PANEL, _FEATURES, _COHORT, _RULE)
 
 _PANEL_COLUMNS = f"""store_name, city, county, year, month,
   {_cents('monthly_revenue')} AS monthly_revenue,
-  {_single('avg_transaction_value')} AS avg_transaction_value,
-  num_transactions, unique_skus, total_bottles, {_cents('total_liters')} AS total_liters"""
+  avg_transaction_value, num_transactions, unique_skus, total_bottles, {_cents('total_liters')} AS total_liters"""
 
 _FEATURE_COLUMNS = f"""{_PANEL_COLUMNS},
   {_cents('revenue_lag1')} AS revenue_lag1, {_cents('revenue_lag2')} AS revenue_lag2,
   {_cents('revenue_lag3')} AS revenue_lag3,
-  {_single('revenue_rolling3')} AS revenue_rolling3,
-  {_single('mom_growth_rate')} AS mom_growth_rate,
-  {_single('store_avg_revenue')} AS store_avg_revenue,
-  txn_lag1, skus_lag1, month_of_year"""
+  revenue_rolling3, mom_growth_rate, store_avg_revenue, txn_lag1, skus_lag1, month_of_year"""
 
 # Profiled columns in order: name, Spark type name, bytes per row in SQL.
 _PROFILED = (
@@ -188,7 +190,8 @@ _PROFILED = (
 
 _NULLS = "null_report AS (" + " UNION ALL ".join(
     f"SELECT {i} AS position, '{name}' AS column_name, '{kind}' AS data_type, "
-    f"count(*) AS n_rows, count(*) - count({name}) AS n_nulls FROM sales"
+    f"count(*) AS n_rows, count(*) - count({name}) AS n_nulls, "
+    f"count(DISTINCT {name}) + max(CAST({name} IS NULL AS INTEGER)) AS n_distinct FROM sales"
     for i, (name, kind, _) in enumerate(_PROFILED, 1)
 ) + ")"
 _ON_NULLS = _with(_sales_cte(), _NULLS)
@@ -196,15 +199,15 @@ _ON_NULLS = _with(_sales_cte(), _NULLS)
 
 def _top(key: str, measure: str, out: str, k: int) -> str:
     return (
-        f"{_ON_SALES} SELECT {key}, {_cents(f'sum({measure})')} AS {out} FROM sales "
-        f"GROUP BY {key} ORDER BY sum({measure}) DESC, {key} NULLS FIRST LIMIT {k}"
+        f"{_ON_SALES} SELECT {key}, {_cents(_sum(measure))} AS {out} FROM sales "
+        f"GROUP BY {key} ORDER BY {_sum(measure)} DESC, {key} NULLS FIRST LIMIT {k}"
     )
 
 
 def _top_categories(amount: str) -> str:
     return (
         f"{_ON_SALES} SELECT {_MAJOR_CATEGORY} AS major_category, {amount} AS total_revenue "
-        "FROM sales GROUP BY 1 ORDER BY sum(sale_dollars) DESC, 1 LIMIT 10"
+        f"FROM sales GROUP BY 1 ORDER BY {_sum('sale_dollars')} DESC, 1 LIMIT 10"
     )
 
 
@@ -228,8 +231,8 @@ report AS (
   UNION ALL SELECT 4, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM measures
   UNION ALL SELECT 5, 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n,
                    (f0 * s0 + f1 * s1) / n, n FROM measures)
-SELECT CAST(position AS INTEGER) AS position, row_name, {_single('"precision"')} AS "precision",
-       {_single('recall')} AS recall, {_single('f1_score')} AS f1_score,
+SELECT CAST(position AS INTEGER) AS position, row_name, "precision" AS "precision",
+       recall AS recall, f1_score AS f1_score,
        CAST(support AS BIGINT) AS support
 FROM report ORDER BY position"""
 
@@ -240,14 +243,14 @@ def _relabel() -> str:
         f"SELECT '{name}' AS feature, avg({name}) AS mean_value FROM features" for name in names
     )
     return (
-        f"{_ON_FEATURES}, means AS ({rows}) SELECT feature, {_single('mean_value')} AS mean_value, "
+        f"{_ON_FEATURES}, means AS ({rows}) SELECT feature, round(mean_value, 6) AS mean_value, "
         f"{_case('feature', FEATURE_LABELS, 'feature')} AS feature_label FROM means"
     )
 
 
 def _standardized() -> str:
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURES)
-    scaled = ", ".join(f"{_single(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in FEATURES)
+    scaled = ", ".join(f"round(({c} - m_{c}) / s_{c}, 9) AS {c}" for c in FEATURES)
     return (
         f"{_ON_SPLIT}, stats AS (SELECT {stats} FROM split_rows WHERE split = 'train') "
         f"SELECT store_name, city, county, year, month, {scaled} "
@@ -268,8 +271,14 @@ def checks() -> dict[str, str]:
             {_cents('volume_liters')} AS volume_liters, {_cents('volume_gallons')} AS volume_gallons
             FROM sales""",
         "column_profile": f"""{_ON_NULLS} SELECT CAST(position AS INTEGER) AS position, column_name,
+            data_type, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_nulls AS BIGINT) AS n_nulls,
+            CAST(n_distinct AS BIGINT) AS n_distinct FROM null_report""",
+        "footer_profile": f"""{_ON_NULLS} SELECT CAST(position AS INTEGER) AS position, column_name,
             data_type, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_nulls AS BIGINT) AS n_nulls
             FROM null_report""",
+        "footer_null_proportions": f"""{_ON_NULLS} SELECT column_name,
+            n_nulls / n_rows AS missing_proportion FROM null_report""",
+        "stored_size": "SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS has_bytes FROM lineitem",
         "distinct_counts": f"{_ON_SALES} "
         + " UNION ALL ".join(
             f"SELECT '{c}' AS column_name, CAST(count(DISTINCT {c}) + max(CAST({c} IS NULL AS INTEGER)) AS BIGINT)"
@@ -282,12 +291,12 @@ def checks() -> dict[str, str]:
         "size_estimate": f"""{_ON_SALES}, measured AS (
             SELECT count(*) AS n, CAST(sum({' + '.join(width for _, _, width in _PROFILED)}) AS DOUBLE)
               AS bytes FROM sales)
-            SELECT CAST(n AS BIGINT) AS n_rows, {_single('bytes / n')} AS avg_row_bytes,
-            {_single('bytes')} AS total_bytes, {_single('bytes / 1048576')} AS total_mib FROM measured""",
+            SELECT CAST(n AS BIGINT) AS n_rows, bytes / n AS avg_row_bytes,
+            bytes AS total_bytes, bytes / 1048576 AS total_mib FROM measured""",
         "null_proportions": f"""{_ON_NULLS} SELECT column_name,
-            {_single('n_nulls / n_rows')} AS missing_proportion FROM null_report""",
+            n_nulls / n_rows AS missing_proportion FROM null_report""",
         "columns_over_null_threshold": f"""{_ON_NULLS} SELECT column_name,
-            {_single('n_nulls / n_rows')} AS missing_proportion FROM null_report
+            n_nulls / n_rows AS missing_proportion FROM null_report
             WHERE n_nulls / n_rows >= 0.10""",
         "clean_sales": f"""{_ON_SALES} SELECT invoice_item, sale_date, store_number, store_name, city,
             zip_code, county_number, county, category, category_name, vendor_name, item_description,
@@ -311,39 +320,43 @@ def checks() -> dict[str, str]:
             ORDER BY n_sales DESC, category_name NULLS FIRST""",
         "category_mapping_pairs": f"""{_ON_SALES} SELECT DISTINCT category_name,
             {_MAJOR_CATEGORY} AS major_category FROM sales""",
-        "sales_summary": f"""{_ON_SALES} SELECT {_cents('sum(sale_dollars)')} AS total_revenue,
-            {_cents('sum(volume_gallons)')} AS total_volume_gallons,
+        "sales_summary": f"""{_ON_SALES} SELECT {_cents(_sum('sale_dollars'))} AS total_revenue,
+            {_cents(_sum('volume_gallons'))} AS total_volume_gallons,
             CAST(sum(bottles_sold) AS BIGINT) AS total_bottles,
             CAST(count(*) AS BIGINT) AS total_transactions FROM sales""",
         "yearly_summary": f"""{_ON_SALES}, yearly AS (
-            SELECT year, sum(sale_dollars) AS revenue, sum(volume_gallons) AS gallons,
+            SELECT year, {_sum('sale_dollars')} AS revenue, {_sum('volume_gallons')} AS gallons,
               sum(bottles_sold) AS bottles, count(*) AS transactions FROM sales GROUP BY year),
             previous AS (SELECT *, lag(revenue) OVER (ORDER BY year) AS before FROM yearly)
             SELECT year, {_cents('revenue')} AS revenue, {_cents('gallons')} AS volume_gallons,
             CAST(bottles AS BIGINT) AS bottles, CAST(transactions AS BIGINT) AS transactions,
-            {_single('(revenue - before) / nullif(before, 0) * 100')} AS revenue_growth_pct,
-            {_single('revenue / transactions')} AS avg_transaction_value FROM previous ORDER BY year""",
+            (revenue - before) / nullif(before, 0) * 100 AS revenue_growth_pct,
+            revenue / transactions AS avg_transaction_value FROM previous ORDER BY year""",
         "quarterly_sales": f"""{_ON_SALES} SELECT year, quarter,
-            {_cents('sum(sale_dollars)')} AS total_revenue, year || ' Q' || quarter AS period
+            {_cents(_sum('sale_dollars'))} AS total_revenue, year || ' Q' || quarter AS period
             FROM sales GROUP BY year, quarter ORDER BY year, quarter""",
-        "top_categories": _top_categories(_cents("sum(sale_dollars)")),
-        "top_categories_display": _top_categories("format('${:,.2f}', sum(sale_dollars))"),
+        "top_categories": _top_categories(_cents(_sum("sale_dollars"))),
+        "top_categories_display": _top_categories(f"format('${{:,.2f}}', {_sum('sale_dollars')})"),
         "top_products_revenue": _top("item_description", "sale_dollars", "total_revenue", 20),
         "top_products_volume": _top("item_description", "volume_liters", "total_volume", 20),
         "top_counties": _top("county", "sale_dollars", "total_revenue", 3),
         "top_cities": _top("city", "sale_dollars", "total_sales", 20),
-        "weekday_weekend": f"""{_ON_SALES} SELECT is_weekend, {_cents('sum(sale_dollars)')} AS total_sales,
+        "weekday_weekend": f"""{_ON_SALES} SELECT is_weekend, {_cents(_sum('sale_dollars'))} AS total_sales,
             CAST(count(DISTINCT sale_date) AS BIGINT) AS n_days,
-            {_single('sum(sale_dollars) / count(DISTINCT sale_date)')} AS avg_daily_sales,
+            {_sum('sale_dollars')} / count(DISTINCT sale_date) AS avg_daily_sales,
             CASE WHEN is_weekend THEN 'Weekend' ELSE 'Weekday' END AS day_type
             FROM sales GROUP BY is_weekend""",
         "city_efficiency": f"""{_ON_SALES}, cities AS (
-            SELECT city, sum(sale_dollars) AS total, count(DISTINCT invoice_item) AS n
+            SELECT city, {_sum('sale_dollars')} AS total, count(DISTINCT invoice_item) AS n
             FROM sales GROUP BY city)
             SELECT city, {_cents('total')} AS total_sales, CAST(n AS BIGINT) AS n_transactions,
-            {_single('total / n')} AS avg_sale_per_txn
+            total / n AS avg_sale_per_txn
             FROM cities ORDER BY total / n DESC, city LIMIT 20""",
         "store_month_panel": f"{_ON_PANEL} SELECT {_PANEL_COLUMNS} FROM panel",
+        "distinct_rollups": f"""{_ON_SALES} SELECT city, year, quarter,
+            CAST(count(DISTINCT invoice_item) AS BIGINT) AS num_transactions,
+            CAST(count(DISTINCT item_description) AS BIGINT) AS unique_skus
+            FROM sales GROUP BY city, year, quarter""",
         "panel_stats": f"""{_ON_PANEL} SELECT CAST(count(*) AS BIGINT) AS n_rows,
             CAST(count(DISTINCT store_name) AS BIGINT) AS n_stores,
             CAST((min(year * 12 + month - 1) // 12) AS INTEGER) AS first_year,
@@ -373,21 +386,21 @@ def checks() -> dict[str, str]:
         "train_test_split": f"""{_ON_SPLIT} SELECT split, store_name, city, county, year, month,
             {_cents('monthly_revenue')} AS monthly_revenue, is_top_quartile FROM split_rows""",
         "split_summary": f"""{_ON_SPLIT} SELECT split, CAST(count(*) AS BIGINT) AS n_rows,
-            {_single('avg(is_top_quartile)')} AS positive_rate FROM split_rows GROUP BY split""",
+            avg(is_top_quartile) AS positive_rate FROM split_rows GROUP BY split""",
         "class_weights": f"""{_ON_SPLIT}, classes AS (
             SELECT is_top_quartile, count(*) AS n FROM split_rows WHERE split = 'train'
             GROUP BY is_top_quartile)
             SELECT is_top_quartile, CAST(n AS BIGINT) AS n_rows,
-            {_single('(SELECT sum(n) FROM classes) / ((SELECT count(*) FROM classes) * n)')}
+            (SELECT sum(n) FROM classes) / ((SELECT count(*) FROM classes) * n)
               AS class_weight FROM classes""",
         "standardized_features": _standardized(),
         "classification_report": _report(),
         "breakout_lift": f"""{_ON_RULE} SELECT CAST(tp + fp AS BIGINT) AS n_flagged,
             CAST(tp + fn AS BIGINT) AS n_positive, CAST(tp AS BIGINT) AS n_hits,
-            {_single('(tp + fn) / (tn + fp + fn + tp)')} AS base_rate,
-            {_single('tp / (tp + fp)')} AS "precision", {_single('tp / (tp + fn)')} AS recall,
-            {_single('2 * tp / (2 * tp + fp + fn)')} AS f1_score,
-            {_single('tp / (tp + fp) / ((tp + fn) / (tn + fp + fn + tp))')} AS lift FROM cells""",
+            (tp + fn) / (tn + fp + fn + tp) AS base_rate,
+            tp / (tp + fp) AS "precision", tp / (tp + fn) AS recall,
+            2 * tp / (2 * tp + fp + fn) AS f1_score,
+            tp / (tp + fp) / ((tp + fn) / (tn + fp + fn + tp)) AS lift FROM cells""",
         "confusion_matrix": f"""{_ON_RULE} SELECT is_top_quartile AS actual,
             CAST(count(*) FILTER (prediction = 0) AS BIGINT) AS predicted_0,
             CAST(count(*) FILTER (prediction = 1) AS BIGINT) AS predicted_1
@@ -400,5 +413,5 @@ def checks() -> dict[str, str]:
             SELECT count(*) FILTER (is_top_quartile = 1) AS p, count(*) FILTER (is_top_quartile = 0) AS n,
               CAST(sum(mid_rank) FILTER (is_top_quartile = 1) AS DOUBLE) AS rank_sum FROM ranked)
             SELECT CAST(p AS BIGINT) AS n_positive, CAST(n AS BIGINT) AS n_negative,
-            {_single('(rank_sum - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * n)')} AS auc FROM sizes""",
+            (rank_sum - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * n) AS auc FROM sizes""",
     }

