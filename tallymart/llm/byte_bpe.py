@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from tallymart.llm import textbatch as tb
-from tallymart.llm.chunks import ChunkCache
+from tallymart.llm.chunks import SLICE_BYTES, ChunkCache, split_ids
 from tallymart.llm.common import id_and_text, map_rows, map_texts
 
-PAIRS = 1_000_000
+PAIRS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,10 +76,11 @@ class ByteBpe:
         for name, rank in self.named.items():
             self.shorter[rank] = next((self.named[name[:k]] for k in range(len(name) - 1, 0, -1) if name[:k] in self.named), -1)
         self.sizes = self.length.tolist()
+        self.most = int(self.length.max())
 
     @classmethod
     def shared(cls, path: str, pattern: str) -> ByteBpe:
-        """One per Python worker, file and pattern."""
+        """One per Python worker, file and pattern; what it remembers lasts for a task."""
         if (path, pattern) not in cls._open:
             cls._open[path, pattern] = cls(read_ranks(path), pattern)
         return cls._open[path, pattern]
@@ -121,6 +122,10 @@ class ByteBpe:
             else:
                 limit, b = b + 1, self.left[b]
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.fits.clear()
+
     def _longest(self, name: str) -> int:
         """The longest token that ``name`` begins with: the trie's deepest path, back to an entry."""
         size = self.automaton.longest_prefix(name)
@@ -137,10 +142,10 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         name, sizes, fits = piece.decode("latin-1"), self.sizes, self.fits
-        n, at = len(name), 0
+        n, most, at = len(name), self.most, 0
         dead: set[int] = set()
         ids: list[int] = []
-        rank = self._longest(name)
+        rank = self._longest(name[:most])
         while at < n:
             while rank >= 0:
                 if at + sizes[rank] not in dead:
@@ -153,7 +158,7 @@ class ByteBpe:
             if rank >= 0:
                 ids.append(rank)
                 at += sizes[rank]
-                rank = self._longest(name[at:]) if at < n else -1
+                rank = self._longest(name[at : at + most]) if at < n else -1
             elif ids:
                 dead.add(at)
                 last = ids.pop()
@@ -166,9 +171,13 @@ class ByteBpe:
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [array("I", self.encode_piece(piece.encode())).tobytes() for piece in pieces]
 
+    def encode_flat(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        return self.cache.encode_all(texts, self._encode, self._encode, self.pieces)
+
     def encode(self, texts: tb.Texts) -> list[bytes]:
         """Ids of every text as little-endian 32-bit integers."""
-        return self.cache.encode_all(texts, self._encode, self.pieces)
+        return split_ids(*self.encode_flat(texts))
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids, one after the other."""
@@ -182,9 +191,7 @@ _DECIMAL = [str(i).encode() for i in range(70_000)]
 
 
 def _digests(texts: tb.Texts, bpe: ByteBpe) -> dict[str, pa.Array]:
-    encoded = bpe.encode(texts)
-    sizes = np.array([len(e) // 4 for e in encoded], np.int64)
-    ids = np.frombuffer(b"".join(encoded), "<u4")
+    ids, sizes = bpe.encode_flat(texts)
     decoded = bpe.decode(ids)
     stops = np.cumsum(sizes)
     ends = np.concatenate([[0], np.cumsum(bpe.length[ids])])[stops] if len(ids) else np.zeros(len(sizes), np.int64)
@@ -208,6 +215,8 @@ def token_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
         texts,
         lambda part: _digests(part, ByteBpe.shared(ranks, pattern)),
         "n_tokens long, ids_sha256 string, decoded_sha256 string",
+        slice_bytes=SLICE_BYTES,
+        done=lambda: ByteBpe.shared(ranks, pattern).forget(),
     )
 
 
@@ -217,16 +226,20 @@ def encode_column(docs: DataFrame, ranks: str, pattern: str, text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.shared(ranks, pattern)
-        for batch in batches:
-            texts = tb.from_arrow(batch.column(place))
-            for first, part in tb.slices(texts):
-                encoded = bpe.encode(part)
-                sizes = np.array([len(e) // 4 for e in encoded], np.int64)
-                ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)
-                same = np.array_equal(bpe.decode(ids), part.data)
-                ok = np.full(len(part), True) if same else np.array([bytes(bpe.decode(np.frombuffer(e, "<u4"))) == part.text(i) for i, e in enumerate(encoded)])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns, lists, pa.array(ok)], [*batch.schema.names, "token_ids", "decodes"])
+        try:
+            for batch in batches:
+                texts = tb.from_arrow(batch.column(place))
+                for first, part in tb.slices(texts, SLICE_BYTES):
+                    ids, sizes = bpe.encode_flat(part)
+                    if np.array_equal(bpe.decode(ids), part.data):
+                        ok = np.full(len(part), True)
+                    else:
+                        each = np.split(ids, np.cumsum(sizes)[:-1])
+                        ok = np.array([bpe.decode(e).tobytes() == part.text(i) for i, e in enumerate(each)])
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns, lists, pa.array(ok)], [*batch.schema.names, "token_ids", "decodes"])
+        finally:
+            bpe.forget()
 
     return map_rows(docs, run, "token_ids array<int>, decodes boolean")

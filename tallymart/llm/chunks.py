@@ -4,21 +4,26 @@ The usual splitting pattern of byte-level BPE never puts text before and after a
 piece unless the blank leads the piece. So a text may be cut before every blank and each chunk encoded
 alone. This fails only where a blank stands between two white-space characters (a run of three or
 more, or a blank inside a longer run), so texts with such a place are encoded whole. Chunks repeat a
-lot, so their encodings are remembered.
+lot, so each distinct chunk of a slice of texts is looked up once, and encodings are remembered for the rest of
+the task, within a bound in bytes.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
-from itertools import chain, islice
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from tallymart.llm import textbatch as tb
 
-CACHE = 500_000
+SLICE_BYTES = 4 << 20
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 200  # what Python needs for an entry beside its bytes
+WORDS_AT_ONCE = 256
 # Fixed value: how byte-level BPE splits a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MARKS = ".,;:!?"
@@ -41,85 +46,129 @@ def needs_whole(texts: tb.Texts) -> np.ndarray:
     return flagged
 
 
+Encode = Callable[[list[str]], list[bytes]]
+
+
 class ChunkCache:
-    """Remembered encodings of chunks, in two generations of at most ``CACHE`` entries.
+    """Remembered encodings of chunks, in two generations of at most ``CACHE_BYTES`` each.
 
     A full young generation becomes the old one; entries found in the old one move back, so frequent
-    chunks stay and memory is bounded. Keys are chunks without the blank that leads them.
+    chunks stay and memory is bounded. Chunks are bytes with the blank that leads them.
     """
 
     def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all chunks; called at the end of a task, because Spark keeps Python workers."""
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _remember(self, chunk: bytes, ids: bytes) -> None:
+        self.young[chunk] = ids
+        self.held += len(chunk) + len(ids) + ENTRY_BYTES
+        if self.held > CACHE_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+
+    def _recall(self, chunk: bytes) -> bytes | None:
+        found = self.young.get(chunk)
+        if found is None:
+            found = self.old.get(chunk)
+            if found is not None:
+                self._remember(chunk, found)
+        return found
 
-    def _add(self, missing: set[str], encode, pieces) -> None:
-        """Encode chunks piece by piece; words and words with one mark after them are split by hand.
+    def _encodings(self, chunks: list[bytes], encode: Encode, encode_words: Encode, pieces: Callable[[str], list[str]]) -> list[bytes]:
+        """The encoding of each distinct chunk.
 
-        A piece with its leading blank is itself a chunk, so it is looked up and remembered as one.
+        A blank with letters is one piece, and so are the letters before a single mark; other chunks are split by
+        the pattern.
         """
-        young, old, marks = self.young, self.old, self.marks
-        marked: list[str] = []
-        other: list[tuple[str, list[str]]] = []
-        wanted: set[str] = set()
-        for chunk in missing:
-            found = old.get(chunk)
-            if found is not None:
-                young[chunk] = found
-            elif chunk.isalpha():
-                wanted.add(chunk)
-            elif chunk[-1:] in marks and chunk[:-1].isalpha():
-                marked.append(chunk)
-                word = chunk[:-1]
-                if word not in young:
-                    found = old.get(word)
-                    if found is None:
-                        wanted.add(word)
-                    else:
-                        young[word] = found
+        found = [self._recall(chunk) for chunk in chunks]
+        words: dict[str, bytes] = {}
+        plain: list[tuple[int, str]] = []
+        marked: list[tuple[int, str, str]] = []
+        other: list[tuple[int, list[str]]] = []
+        for k, ids in enumerate(found):
+            if ids is not None:
+                continue
+            text = chunks[k].decode("utf-8", "replace")
+            if text[0] == " " and text[1:].isalpha():
+                plain.append((k, text))
+                words[text] = b""
+            elif text[0] == " " and text[-1] in self.marks and text[1:-1].isalpha():
+                marked.append((k, text[:-1], text[-1]))
+                words.setdefault(text[:-1], b"")
             else:
-                other.append((chunk, pieces(" " + chunk)))
-        words = list(wanted)
+                other.append((k, pieces(text)))
+        new: list[str] = []
+        for word in words:
+            known = self._recall(word.encode())
+            if known is None:
+                new.append(word)
+            else:
+                words[word] = known
+        words.update(zip(new, encode_words(new)))
         loose = list({part for _, parts in other for part in parts})
-        new = encode([" " + word for word in words] + loose)
-        young.update(zip(words, new))
-        parts_of = dict(zip(loose, new[len(words) :]))
-        for chunk in marked:
-            young[chunk] = young[chunk[:-1]] + marks[chunk[-1]]
-        for chunk, parts in other:
-            young[chunk] = b"".join(map(parts_of.__getitem__, parts))
-
-    def encode_all(self, texts: tb.Texts, encode, pieces) -> list[bytes]:
-        """The encoding of every text; ``encode`` maps a list of pieces to a list of encodings."""
+        parts_of = dict(zip(loose, encode(loose)))
+        for k, word in plain:
+            found[k] = words[word]
+        for k, word, mark in marked:
+            found[k] = words[word] + self.marks[mark]
+        for k, parts in other:
+            found[k] = b"".join(map(parts_of.__getitem__, parts))
+        for k, _ in plain:
+            self._remember(chunks[k], found[k])
+        for k, word, _ in marked:
+            self._remember(chunks[k], found[k])
+            self._remember(word.encode(), words[word])
+        for k, _ in other:
+            if len(chunks[k]) < 64:
+                self._remember(chunks[k], found[k])
+        return found
+
+    def encode_all(
+        self, texts: tb.Texts, encode: Encode, encode_words: Encode, pieces: Callable[[str], list[str]]
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the number of ids of each text.
+
+        ``encode`` maps pieces to their encodings, ``encode_words`` does the same for blanks with letters behind.
+        """
         if not self.marks:
             self.marks = dict(zip(_MARKS, encode(list(_MARKS))))
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        whole = needs_whole(texts)
-        split: list[list[str]] = []
-        direct: list[str] = []  # pieces encoded as they are: first chunks, and texts not cut into chunks
-        ends = [0]
-        chunks: set[str] = set()
-        for i, uncut in enumerate(whole):
-            text = texts.text(i).decode("utf-8", "replace")
-            parts = [] if uncut else text.split(" ")
-            direct += pieces(text if uncut else parts[0])
-            ends.append(len(direct))
-            split.append(parts)
-            chunks.update(parts)
-        self._add(chunks.difference(self.young), encode, pieces)
-        known = self.young.__getitem__
-        distinct = list(set(direct))
-        encoded = dict(zip(distinct, encode(distinct)))
-        alone = [encoded[piece] for piece in direct]
-        return [
-            b"".join(chain(alone[ends[i] : ends[i + 1]], map(known, islice(parts, 1, None))))
-            for i, parts in enumerate(split)
-        ]
+        data, offsets = texts.data, texts.offsets
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        cut = data == 32
+        for i in np.flatnonzero(needs_whole(texts)):
+            cut[offsets[i] : offsets[i + 1]] = False
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = column.dictionary_encode()
+        encoded = self._encodings(coded.dictionary.to_pylist(), encode, encode_words, pieces)
+        flat = np.frombuffer(b"".join(encoded), "<u4")
+        lengths = np.array([len(e) // 4 for e in encoded], np.int64)
+        code = coded.indices.to_numpy()
+        sizes = lengths[code]
+        ends = np.cumsum(sizes)
+        shift = (np.cumsum(lengths) - lengths)[code] - (ends - sizes)
+        ids = flat[np.repeat(shift, sizes) + np.arange(ends[-1])]
+        upto = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
+        return ids, np.diff(upto)
+
+
+def split_ids(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit integers."""
+    raw, ends = ids.astype("<u4").tobytes(), np.cumsum(4 * sizes).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class TokenizersEncoder:
-    """Ids of texts as little-endian 32-bit integers, by a file for the tokenizers library."""
+    """Ids of texts by a file for the tokenizers library, as its plain ``encode`` without special tokens."""
 
     _open: dict[str, "TokenizersEncoder"] = {}
 
@@ -127,13 +176,18 @@ class TokenizersEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache = ChunkCache()
         self._pieces = regex.compile(PATTERN).findall
+        # The library finds the strings of added tokens in a text before it splits it.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, rank in vocabulary.items():
+            self.length[rank] = len(token)  # a character of a byte-level token stands for a byte
 
     @classmethod
     def shared(cls, path: str) -> TokenizersEncoder:
-        """One per Python worker and file, so that its cache serves all tasks of the worker."""
+        """One per Python worker and file; its cache lasts for a task."""
         if path not in cls._open:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task per core
             cls._open[path] = cls(path)
@@ -143,5 +197,49 @@ class TokenizersEncoder:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words go to the library some hundred at a time; the lengths of the tokens show where each ends."""
+        if not words:
+            return []
+        joined = ["".join(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], "<u4")
+        ends = np.cumsum(self.length[ids])
+        wanted = np.cumsum([len(word.encode()) for word in words])
+        last = np.searchsorted(ends, wanted)
+        if not np.array_equal(ends[np.minimum(last, len(ends) - 1)], wanted):
+            return self._encode(words)  # a word was split otherwise than alone
+        return split_ids(ids, np.diff(last + 1, prepend=0))
+
+    def _holds_added(self, texts: tb.Texts) -> np.ndarray:
+        raw, found = texts.data.tobytes(), np.zeros(len(texts), bool)
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                found[int(np.searchsorted(texts.offsets, at, "right")) - 1] = True
+                at = raw.find(content, at + 1)
+        return found
+
+    def encode_flat(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has. Texts with the string of an added token go whole."""
+        special = self._holds_added(texts)
+        if not special.any():
+            return self.cache.encode_all(texts, self._encode, self._encode_words, self._pieces)
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        edges = np.flatnonzero(np.diff(special, prepend=~special[:1], append=~special[-1:]))
+        for low, high in zip(edges[:-1], edges[1:]):
+            a, b = texts.offsets[low], texts.offsets[high]
+            some = tb.Texts(texts.data[a:b], texts.offsets[low : high + 1] - a)
+            if special[low]:
+                found = self._encode([some.text(i).decode("utf-8", "replace") for i in range(len(some))])
+                parts.append(np.frombuffer(b"".join(found), "<u4"))
+                sizes.append(np.array([len(e) // 4 for e in found], np.int64))
+            else:
+                ids, counts = self.cache.encode_all(some, self._encode, self._encode_words, self._pieces)
+                parts.append(ids)
+                sizes.append(counts)
+        return np.concatenate(parts), np.concatenate(sizes)
+
     def encode(self, texts: tb.Texts) -> list[bytes]:
-        return self.cache.encode_all(texts, self._encode, self._pieces)
+        return split_ids(*self.encode_flat(texts))

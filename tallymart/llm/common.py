@@ -50,23 +50,29 @@ def map_texts(
     schema: str,
     text: str = "text",
     slice_bytes: int = tb.SLICE_BYTES,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``function`` over runs of whole texts; its columns stand beside all columns but the text.
 
-    ``schema`` names the columns that ``function`` returns, one value per text.
+    ``schema`` names the columns that ``function`` returns, one value per text. ``done`` is called at the end
+    of a task.
     """
     kept = [c for c in df.columns if c != text]
     out = StructType([df.schema[c] for c in kept] + StructType.fromDDL(schema).fields)
     names = [f.name for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            for first, part in tb.slices(tb.from_arrow(column), slice_bytes):
-                rows = batch.slice(first, len(part))
-                made = function(part)
-                columns = [rows.column(rows.schema.get_field_index(c)) if c in kept else made[c] for c in names]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        try:
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index(text))
+                for first, part in tb.slices(tb.from_arrow(column), slice_bytes):
+                    rows = batch.slice(first, len(part))
+                    made = function(part)
+                    columns = [rows.column(rows.schema.get_field_index(c)) if c in kept else made[c] for c in names]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            if done is not None:
+                done()
 
     return df.mapInArrow(run, out)
 

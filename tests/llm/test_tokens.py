@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from tallymart.llm.chunks import TokenizersEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 FILE = public_tokenizers.path("byte_bpe_50k.json")
-odd_text = st.text(st.sampled_from(list(" \n\t 　\x1cab'sté日1!.,<|>")), max_size=60)
+odd_text = st.lists(st.sampled_from([*" \n\t 　\x1cab'sté日1!.,<|>", "<|endoftext|>", " word"]), max_size=60).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -31,16 +32,68 @@ def reference():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizers library as it opens the file, apart from the object under test."""
+    return Tokenizer.from_file(FILE)
+
+
 @settings(deadline=None, max_examples=300)
 @given(st.lists(st.one_of(st.none(), odd_text, st.text(max_size=40)), min_size=1, max_size=6))
-def test_ids_equal_both_libraries_and_decode(bpe, reference, values):
+def test_ids_equal_both_libraries_and_decode(bpe, reference, library, values):
     texts = tb.from_arrow(pa.array(values, pa.string()))
     tokenizer = TokenizersEncoder.shared(FILE)
     for value, ours, theirs in zip(values, bpe.encode(texts), tokenizer.encode(texts)):
         ids = np.frombuffer(ours, "<u4")
         assert ids.tolist() == reference.encode_ordinary(value or "")
         assert bpe.decode(ids).tobytes() == (value or "").encode()
-        assert np.frombuffer(theirs, "<u4").tolist() == tokenizer.tokenizer.encode(value or "", add_special_tokens=False).ids
+        assert np.frombuffer(theirs, "<u4").tolist() == library.encode(value or "", add_special_tokens=False).ids
+
+
+def test_special_strings_are_what_the_library_makes_of_them(library):
+    texts = ["a<|endoftext|>b", "plain text", "<|endoftext|>", " <|endoftext|> and more words", None, "<|endoftext |>"]
+    got = TokenizersEncoder.shared(FILE).encode(tb.from_arrow(pa.array(texts)))
+    assert [np.frombuffer(e, "<u4").tolist() for e in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(got[0], "<u4").tolist() == [64, 50256, 65]
+
+
+def test_many_words_at_once(library, bpe, reference):
+    """Thousands of new words, through the library together, and again from the cache."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßжд") for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    texts = [" ".join(w + rng.choice(["", "", ",", ".", "!?", "  ", "7"]) for w in rng.choices(words, k=900)) for _ in range(12)]
+    encoder = TokenizersEncoder.shared(FILE)
+    for _ in range(2):
+        for text, ours, ranked in zip(texts, encoder.encode(tb.from_arrow(pa.array(texts))), bpe.encode(tb.from_arrow(pa.array(texts)))):
+            assert np.frombuffer(ours, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ranked, "<u4").tolist() == reference.encode_ordinary(text)
+
+
+def test_cache_is_bounded_and_forgotten(monkeypatch, library):
+    from tallymart.llm import chunks
+
+    monkeypatch.setattr(chunks, "CACHE_BYTES", 4_000)
+    encoder = TokenizersEncoder(FILE)
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(40)]
+    for text, ours in zip(texts, encoder.encode(tb.from_arrow(pa.array(texts)))):
+        assert np.frombuffer(ours, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(encoder.cache.young) + len(encoder.cache.old) < 60
+    encoder.cache.clear()
+    assert not encoder.cache.young and not encoder.cache.old
+
+
+def test_time_grows_with_the_length_of_a_piece(bpe, reference):
+    rng = random.Random(1)
+    piece = "".join(rng.choice("etaoinshrdlu") for _ in range(2_000_000))
+    seconds = []
+    for size in (250_000, 2_000_000):
+        texts = tb.from_arrow(pa.array([piece[:size]]))
+        start = time.process_time()
+        ids, _ = bpe.encode_flat(texts)
+        seconds.append(time.process_time() - start)
+        bpe.forget()
+    assert seconds[1] < 8 * 2.5 * seconds[0]
+    assert ids[:20_000].tolist() == reference.encode_ordinary(piece[:200_000])[:20_000]
 
 
 def test_long_pieces(bpe, reference):
