@@ -4,8 +4,8 @@ Candidates are maximal runs of ``[A-Za-z0-9+/_=-]`` of at least ``MIN_RUN`` byte
 character class: hex, alphanumeric or base64, by the narrowest that holds all of it. A window slides over
 it; counts per character are updated by one byte in and one out, and the Shannon entropy follows from a
 running sum of ``c * log2(c)``. If the largest entropy reaches the class's threshold, the candidate is
-a secret, unless the allow list knows its form: plain words, numbers, UUIDs, runs of one pattern,
-path-like or snake-case names made of words.
+a secret, unless the allow list knows its form: numbers, UUIDs, runs of one pattern, and words, path-like
+or snake-case names whose letters are spread as in words.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +51,19 @@ _CLASSES = (
 )
 _ALLOWED = (
     re.compile(rb"[0-9]+"),
-    re.compile(rb"(?:[A-Z]?[a-z]{2,}+)++|[a-z]+|[A-Z]+"),
     re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(rb"(.{1,8})\1+.{0,7}"),
+)
+# Forms of names: allowed if the letters are also spread as in words.
+_NAMES = (
+    re.compile(rb"(?:[A-Z]?[a-z]{2,}+)++|[a-z]+|[A-Z]+"),
     re.compile(rb"[+/_=-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++)[+/_=-]++)*+(?:[A-Z]?[a-z]++|[A-Z]++)?+[0-9]{0,8}"),
 )
+_NOT_LETTERS = re.compile(rb"[^a-z]+")
+_ORDERED = (b"abcdefghijklmnopqrstuvwxyz", b"zyxwvutsrqponmlkjihgfedcba", b"qwertyuiopasdfghjklzxcvbnm")
+# Of random letters 7 in 26 are rare ones and 5 in 26 vowels; of the letters of words about 1 in 20 and 2 in 5.
+RARE, VOWELS = b"jkqvwxz", b"aeiou"
+MOST_RARE, LEAST_VOWELS = 0.2, 0.15
 _TERM = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
 
 
@@ -77,9 +87,21 @@ def window_entropy(run: bytes, width: int = WINDOW) -> float:
     return math.log2(width) - least / width
 
 
+def like_words(run: bytes) -> bool:
+    """Whether the letters of a run are spread as in words, or stand in the order of the alphabet or a keyboard."""
+    letters = _NOT_LETTERS.sub(b"", run.lower())
+    if not letters or any(letters in order for order in _ORDERED):
+        return True
+    rare, vowels = (len(letters) - len(letters.translate(None, some)) for some in (RARE, VOWELS))
+    return rare <= MOST_RARE * len(letters) and vowels >= LEAST_VOWELS * len(letters)
+
+
 def is_secret_run(run: bytes) -> bool:
     if any(form.fullmatch(run) for form in _ALLOWED):
         return False
+    if any(form.fullmatch(run) for form in _NAMES):
+        # Separators repeat and say nothing, so they are left out of the window.
+        return not like_words(run) and window_entropy(run.translate(None, b"+/_=-")) >= THRESHOLDS["alphanumeric"]
     kind = next(name for name, form in _CLASSES if form.fullmatch(run))
     return window_entropy(run) >= THRESHOLDS[kind]
 
@@ -87,6 +109,18 @@ def is_secret_run(run: bytes) -> bool:
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
 
+class Reach:
+    """Spans by start, with the farthest end up to each: tells in logarithmic time whether one holds a range."""
+
+    def __init__(self, spans: list[tuple[int, str, int]]):
+        self.starts = sorted(start for start, _, _ in spans)
+        self.ends = list(accumulate((end for _, end in sorted((start, end) for start, _, end in spans)), max))
+
+    def holds(self, start: int, end: int) -> bool:
+        before = bisect_right(self.starts, start)
+        return before > 0 and self.ends[before - 1] >= end
+
+
 def find_spans(texts: tb.Texts) -> list[list[tuple[int, str, int]]]:
     """(start, kind, end) of every text's spans, as byte positions within the text, sorted by start.
 
@@ -121,10 +155,13 @@ def find_spans(texts: tb.Texts) -> list[list[tuple[int, str, int]]]:
                 found[text].append((m.start(), "access", m.end()))
     runs = tb.runs(texts, _CANDIDATE[data])
     long_runs = np.flatnonzero(runs.ends - runs.starts >= MIN_RUN)
-    for text, a, b in zip(runs.owner[long_runs], runs.starts[long_runs], runs.ends[long_runs]):
+    current, reach = -1, Reach([])
+    for text, a, b in zip(runs.owner[long_runs].tolist(), runs.starts[long_runs].tolist(), runs.ends[long_runs].tolist()):
         if is_secret_run(raw[a:b]):
+            if text != current:  # runs come text by text, and lie apart from each other
+                current, reach = text, Reach(found[text])
             a, b = int(a - offsets[text]), int(b - offsets[text])
-            if not any(s <= a and b <= e for s, _, e in found[text]):
+            if not reach.holds(a, b):
                 found[text].append((a, "entropy", b))
     rank = {kind: k for k, kind in enumerate((*KINDS, "entropy"))}
     for spans in found:

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pyarrow as pa
@@ -68,6 +69,70 @@ def test_random_strings_are_found_and_names_are_not():
         assert not secrets.is_secret_run(name.encode())
 
 
+def test_keys_of_letters_are_found():
+    for key in ("QZXWVKJHGFDSPOIUYTREWMNB", "qzxwvkjhgfdspoiuytr90412", "qzxw-vkjh-gfds-poiu-ytre"):
+        assert secrets.is_secret_run(key.encode())
+    rng = random.Random(8)
+    found = [secrets.is_secret_run("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(32)).encode()) for _ in range(300)]
+    assert sum(found) >= 200  # letters alone hold fewer bits, and some draws look like words
+    for name in ("abcdefghijklmnopqrstuvwxyz", "QWERTYUIOPASDFGHJKLZXCVBNM", "rechtsschutzversicherungsgesellschaften", "the-quick-and-the-slow-answer"):
+        assert not secrets.is_secret_run(name.encode())
+
+
+def plain_entropy_spans(text):
+    """Every run of twenty or more, by definition: class, windows, allow list, and not inside a base span."""
+    inside = [(int(a), int(b)) for _, a, b in (s.split(":") for s in base(text))]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m[0]
+        if re.fullmatch(r"[0-9]+", run) or re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
+            continue
+        if re.fullmatch(r"(.{1,8})\1+.{0,7}", run):
+            continue
+        limit = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else 3.7 if re.fullmatch("[A-Za-z0-9]+", run) else 3.9
+        name = re.fullmatch(r"(?:[A-Z]?[a-z]{2,})+|[a-z]+|[A-Z]+", run)
+        name = name or re.fullmatch(r"[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[+/_=-]+)*(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,8}", run)
+        if name:
+            letters = re.sub("[^a-z]", "", run.lower())
+            rare, vowels = sum(c in "jkqvwxz" for c in letters), sum(c in "aeiou" for c in letters)
+            if not letters or any(letters.encode() in o for o in secrets._ORDERED) or (5 * rare <= len(letters) and 20 * vowels >= 3 * len(letters)):
+                continue
+            run, limit = re.sub("[+/_=-]", "", run), 3.7
+        width = min(20, len(run))
+        most = 0.0
+        for i in range(len(run) - width + 1):
+            counts = Counter(run[i : i + width]).values()
+            most = max(most, math.log2(width) - sum(c * math.log2(c) for c in counts) / width)
+        if most >= limit and not any(a <= m.start() and m.end() <= b for a, b in inside):
+            yield f"entropy:{m.start()}:{m.end()}"
+
+
+def test_entropy_spans_equal_plain_definition(spark, small):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = ["".join(rng.choice(rng.choice([letters, letters.upper(), "0123456789abcdef", letters + "0123456789+/_=-"])) for _ in range(rng.randrange(15, 45))) for _ in range(300)]
+    made += ["token=" + m for m in made[:40]] + ["".join(rng.choice([letters, letters.upper()])[: rng.randrange(20, 27)]) for _ in range(5)]
+    texts = [" ".join(rng.sample(made, 6)) for _ in range(80)]
+    texts += [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    found = secrets._described(tb.from_arrow(pa.array(texts, pa.string())))["spans"].to_pylist()
+    assert sum("entropy" in f for f in found) > 30
+    for text, spans in zip(texts, found):
+        assert [s for s in spans.split(",") if s.startswith("entropy")] == list(plain_entropy_spans(text or ""))
+
+
+def test_time_grows_with_the_number_of_spans():
+    rng = random.Random(2)
+    line = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    lines = [f"{line()}  {rng.getrandbits(160):x}/+{rng.getrandbits(90):X}" for _ in range(20_000)]
+    seconds = []
+    for n in (2_500, 20_000):
+        texts = tb.from_arrow(pa.array(["\n".join(lines[:n])]))
+        start = time.process_time()
+        spans = secrets.find_spans(texts)[0]
+        seconds.append(time.process_time() - start)
+        assert len(spans) >= n
+    assert seconds[1] < 8 * 2.5 * seconds[0]
+
+
 def test_odd_rows_and_redaction(spark, odd, nothing):
     rows = secrets.secret_spans(odd).collect()
     assert len(rows) == odd.count()
