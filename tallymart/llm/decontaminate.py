@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.llm import textbatch as tb
-from tallymart.llm.common import id_and_text, map_rows
+from tallymart.llm.common import id_and_text, list_column, map_rows, ship
+from tallymart.session import materialize
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -98,16 +101,35 @@ class Postings:
         self.best = [max(self.weights[a:b]) for a, b in pairwise(edges)]
 
 
+class Statistics(NamedTuple):
+    """Of a whole benchmark: items that count, their words, the longest of them, and items per term."""
+
+    n: int
+    n_words: int
+    longest: int
+    frequency: dict[int, int]
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str]]) -> Statistics:
+        found = [words for words in (_hashes(text) for _, text in items) if len(words) >= MIN_ITEM_WORDS]
+        frequency = Counter(term for words in found for term in set(words))
+        return cls(len(found), sum(map(len, found)), max(map(len, found), default=0), dict(frequency))
+
+
 class Index:
-    """BM25 index of items, with contributions as shares of an item's score against itself."""
+    """BM25 index of items, with contributions as shares of an item's score against itself.
+
+    ``whole`` are the statistics of all items where ``items`` is a block of them, so that an item's scores do
+    not depend on the block it is in.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
+        whole = whole or Statistics.of(items)
         terms = {i: _hashes(text) for i, text in items}
         self.ids = sorted(i for i, words in terms.items() if len(words) >= MIN_ITEM_WORDS)
         texts = dict(items)
         self.question, self.answer = [], []
         counts: list[dict[int, int]] = []
-        frequency: dict[int, int] = {}
         for i in self.ids:
             question, answer = split_item(texts[i])
             self.question.append(_grams(_hashes(question)))
@@ -116,13 +138,11 @@ class Index:
             for term in terms[i]:
                 count[term] = count.get(term, 0) + 1
             counts.append(count)
-            for term in count:
-                frequency[term] = frequency.get(term, 0) + 1
-        n = len(self.ids)
+        n, frequency = whole.n, whole.frequency
         lengths = [len(terms[i]) for i in self.ids]
-        self.stride = max([MIN_STRIDE, *lengths])
-        mean = sum(lengths) / max(n, 1)
-        idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in frequency.items()}
+        self.stride = max(MIN_STRIDE, whole.longest)
+        mean = whole.n_words / max(n, 1)
+        idf = {t: math.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) for count in counts for t in count}
         entries: dict[int, list[tuple[int, float]]] = {}
         essential: dict[int, list[tuple[int, float]]] = {}
         least: list[float] = []
@@ -247,14 +267,14 @@ _MATCH = "doc_id long, item_id long, score double, question_overlap double, answ
 
 def _matcher(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index, names = sent.value
         for batch in batches:
             ids = batch.column(0)
             for first, part in tb.slices(tb.from_arrow(batch.column(1))):
                 found = sorted(index.matches(part).items())
                 columns = [
                     ids.take(pa.array([first + text for (text, _), _ in found], pa.int64())),
-                    pa.array([item for (_, item), _ in found], pa.int64()),
+                    pa.array([names[item] for (_, item), _ in found], pa.int64()),
                     *(pa.array([values[k] for _, values in found], pa.float64()) for k in range(3)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -262,28 +282,53 @@ def _matcher(sent):
     return run
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of blocks of items, each of at most about INDEX_BYTES of text, picked by a hash of the id."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
-    blocks = max(1, -(-size // INDEX_BYTES))
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans, hashes = words_of(tb.from_arrow(batch.column(1)))
+        terms = list_column(hashes.view(np.int64), spans.counts, pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, terms], ["item_id", "text", "terms"])
+
+
+def _indexes(benchmark: DataFrame) -> Iterator[tuple[Index, dict[int, int | None]]]:
+    """Indexes of blocks of items, each of about INDEX_BYTES of text, and the item ids of their numbers.
+
+    Each distinct (item_id, text) has a number of its own, so items may share an id or have none. The
+    statistics are taken once over all items; a block gets those of its own terms.
+    """
+    ship(benchmark.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
+    termed = items.mapInArrow(_item_terms, "item_id long, text string, terms array<long>").where(F.size("terms") >= MIN_ITEM_WORDS)
+    items = materialize(termed.withColumn("number", F.monotonically_increasing_id()), "items")
+    whole = items.agg(
+        F.count("*").alias("n"), F.sum(F.size("terms")).alias("words"), F.max(F.size("terms")).alias("longest"),
+        F.sum(F.octet_length("text")).alias("bytes"),
+    ).first()
+    if not whole.n:
+        return
+    each = items.select(F.explode(F.array_distinct("terms")).alias("term"))
+    frequency = materialize(each.groupBy("term").agg(F.count("*").alias("n")), "item-terms")
+    blocks = -(-whole.bytes // INDEX_BYTES)
     for block in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        yield Index([(row.item_id, row.text) for row in some])
+        some = items.where(F.pmod(F.xxhash64("number"), F.lit(blocks)) == block)
+        rows = some.select("number", "item_id", "text").orderBy("number").collect()
+        own = some.select(F.explode("terms").alias("term")).distinct()
+        counts = {r.term % (1 << 64): r.n for r in frequency.join(own, "term").collect()}
+        index = Index([(r.number, r.text) for r in rows], Statistics(whole.n, whole.words, whole.longest, counts))
+        yield index, {r.number: r.item_id for r in rows}
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document (doc_id, text) and benchmark item (item_id, text) that it contains.
 
     An index is broadcast, so items go in blocks of bounded size, and every text is searched once per
-    block; each block is an index with its own statistics. Items of fewer than MIN_ITEM_WORDS words are
-    no evidence and match nothing. NULL or empty texts and items, and NULL item ids, match nothing; of
-    items with one id the last in text order counts; repeated rows give repeated matches. Other columns
-    are not read.
+    block; statistics are those of all items in every block. Items of fewer than MIN_ITEM_WORDS words are
+    no evidence and match nothing, nor do NULL or empty texts and items. Every different item counts, also
+    without an id (NULL in the result) or with one that others have. Repeated documents give repeated
+    matches, repeated items do not. Other columns are not read.
     """
     texts = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long")).where("text is not null")
-    found = [texts.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(index)), _MATCH) for index in _indexes(benchmark)]
-    return reduce(DataFrame.union, found)
+    found = [texts.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(block)), _MATCH) for block in _indexes(benchmark)]
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], _MATCH)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -292,7 +337,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
     def cleaner(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            index, _ = sent.value
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 for first, part in tb.slices(tb.from_arrow(batch.column(place))):
@@ -301,6 +346,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
         return run
 
-    for index in _indexes(benchmark):
-        docs = map_rows(docs, cleaner(docs.sparkSession.sparkContext.broadcast(index)))
+    for block in _indexes(benchmark):
+        docs = map_rows(docs, cleaner(docs.sparkSession.sparkContext.broadcast(block)))
     return docs

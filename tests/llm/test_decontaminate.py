@@ -82,8 +82,38 @@ def test_odd_rows(spark, odd, nothing):
         "item_id long, text string",
     )
     found = {(r.doc_id, r.item_id) for r in dc.leaks(odd, benchmark).collect()}
-    assert {(1, 1), (2, 1)} <= found and {i for _, i in found} <= {1, 5}
+    assert {(1, 1), (2, 1)} <= found and {i for _, i in found} <= {1, 5, None}
     assert dc.decontaminated(odd, benchmark).columns == odd.columns
     assert dc.leaks(nothing, benchmark).count() == 0
     assert dc.leaks(odd, benchmark.where("false")).count() == 0
     assert dc.decontaminated(odd, benchmark.where("false")).count() == odd.count()
+
+
+def test_statistics_do_not_depend_on_blocks(spark, monkeypatch):
+    """Scores and verdicts are the same whether the items are one index or many."""
+    items = _items(80, seed=5)
+    rng = random.Random(6)
+    texts = []
+    for i in range(60):
+        words = " ".join(t for _, t in rng.sample(items, 2)).split()
+        texts.append((i, " ".join(w for w in words if rng.random() < 0.9)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(tuple(r) for r in dc.leaks(docs, benchmark).collect())
+    assert one
+    monkeypatch.setattr(dc, "INDEX_BYTES", 900)
+    many = sorted(tuple(r) for r in dc.leaks(docs, benchmark).collect())
+    assert [r[:2] + r[3:] for r in many] == [r[:2] + r[3:] for r in one]
+    assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(one, many))
+    whole = dc.Statistics.of(items)
+    (index, names), *_ = dc._indexes(benchmark)
+    assert index.stride == max(dc.MIN_STRIDE, whole.longest) and set(names.values()) <= {i for i, _ in items}
+
+
+def test_every_item_row_counts(spark):
+    """Items without an id, and different items of one id, are searched too."""
+    first, second, third = (f"w{k}a w{k}b w{k}c w{k}d w{k}e w{k}f. w{k}g w{k}h w{k}i." for k in "xyz")
+    benchmark = spark.createDataFrame([(None, first), (1, second), (1, third), (1, third)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "some " + first), (11, second), (12, third), (13, "clean text of many words that is in no item")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in dc.leaks(docs, benchmark).collect()) == [(10, None), (11, 1), (12, 1)]
+    assert [r.doc_id for r in dc.decontaminated(docs, benchmark).collect()] == [13]
