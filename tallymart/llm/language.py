@@ -25,15 +25,14 @@ SAMPLE_TEXTS = 16
 SAMPLE_CHARS = 2500
 BLOCK = 256
 SLICE_BYTES = 4 << 20
-CODES = 64
 
 _NORMAL = tb.LOWER.copy()
 _NORMAL[tb.SPACE] = 32
 _NORMAL[48:58] = ord("0")
 
 
-def suffix_automaton(codes: list[int]) -> np.ndarray:
-    """Transitions of the suffix automaton of ``codes``: row per state, 0 where there is none."""
+def suffix_automaton(codes: list[int], width: int = 256) -> np.ndarray:
+    """Transitions of the suffix automaton of ``codes``, all below ``width``: row per state, 0 where there is none."""
     edges: list[dict[int, int]] = [{}]
     link, size = [-1], [0]
     last = 0
@@ -60,7 +59,7 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
                     edges[p][code] = copy
                     p = link[p]
         last = new
-    table = np.zeros((len(edges), CODES), np.uint16 if len(edges) < 1 << 16 else np.int32)
+    table = np.zeros((len(edges), width), np.uint16 if len(edges) < 1 << 16 else np.int32)
     for state, out in enumerate(edges):
         for code, target in out.items():
             table[state, code] = target
@@ -68,23 +67,25 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
 
 
 class Parser:
-    """The automata of all languages over one byte coding."""
+    """The automata of all languages, each over the bytes of its own sample.
+
+    Every byte value of a sample has a code; all others share one that is in no sample and matches nothing.
+    Matches restart every BLOCK bytes of a text, which adds at most one phrase per block to every language.
+    """
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
         if not samples:
             return
-        normal = {k: _NORMAL[np.frombuffer(v, np.uint8)] for k, v in samples.items()}
-        times = np.bincount(np.concatenate(list(normal.values())), minlength=256)
-        common = np.argsort(-times, kind="stable")[: CODES - 1]
-        self.code = np.full(256, CODES - 1, np.uint8)  # the last code is in no sample, so it matches nothing
-        self.code[common[times[common] > 0]] = np.arange((times[common] > 0).sum())
-        self.code = self.code[_NORMAL]
-        self.tables, self.bits = [], []
+        self.codes, self.tables, self.bits = [], [], []
         for k in self.languages:
-            coded = self.code[np.frombuffer(samples[k], np.uint8)]
-            self.tables.append(suffix_automaton(coded.tolist()).ravel())
-            self.bits.append(np.log2(len(coded) + 2))
+            normal = _NORMAL[np.frombuffer(samples[k], np.uint8)]
+            known = np.unique(normal)
+            code = np.full(256, len(known), np.uint8 if len(known) < 256 else np.int32)
+            code[known] = np.arange(len(known))
+            self.codes.append(code[_NORMAL])
+            self.tables.append(suffix_automaton(code[normal].tolist(), len(known) + 1))
+            self.bits.append(np.log2(len(normal) + 2))
 
     def phrases(self, texts: tb.Texts) -> np.ndarray:
         """Number of phrases per language and text."""
@@ -96,22 +97,22 @@ class Parser:
         length = np.minimum(sizes[owner] - inner * BLOCK, BLOCK)
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
-        coded = self.code[texts.data]
         active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), "right")  # blocks longer than each step
         columns = []
         for step in range(BLOCK):
             if not active[step]:
                 break
-            columns.append(coded[start[: active[step]] + step].astype(np.int32))
+            columns.append(texts.data[start[: active[step]] + step])
         found = np.empty((len(self.languages), len(sizes)), np.int64)
-        for k, table in enumerate(self.tables):
-            root = table[:CODES]
+        for k, (table, coding) in enumerate(zip(self.tables, self.codes)):
+            width, root, table = table.shape[1], table[0], table.ravel()
             state = np.zeros(len(owner), np.int32)
             count = np.ones(len(owner), np.int32)
-            for code in columns:
+            for column in columns:
+                code = coding[column].astype(np.int32)
                 n = len(code)
                 state = state[:n]
-                ahead = table[state * CODES + code]
+                ahead = table[state * width + code]
                 stop = ahead == 0
                 count[:n] += stop
                 state = np.where(stop, root[code], ahead).astype(np.int32)
@@ -148,7 +149,7 @@ def training_samples(docs: DataFrame, usable: Column) -> dict[str, bytes]:
     """Sample text per language: of at most SAMPLE_TEXTS texts, at most SAMPLE_CHARS characters of each.
 
     The texts are picked by a hash of the id among all rows with text where ``usable`` holds and the
-    language is known; whole texts go before longer ones. Of a longer text, the characters from a place
+    language is known (``und`` is no language); whole texts go before longer ones. Of a longer text, the characters from a place
     chosen by the hash are taken.
     Only ids are sorted; what reaches the driver is bounded by these parameters for each language.
     """

@@ -45,6 +45,23 @@ def test_phrases_match_a_plain_parser(sample, texts):
     assert found.tolist() == [_phrases(sample, t) if t else 0 for t in texts]
 
 
+def test_no_letters_are_merged():
+    """Samples in four scripts: each language's phrases are those of a plain parser over its own bytes."""
+    samples = {
+        "el": "η γρήγορη αλεπού πηδάει πάνω από τον τεμπέλη σκύλο και φεύγει",
+        "en": "the quick brown fox jumps over the lazy dog and runs away",
+        "ru": "быстрая лиса прыгает через ленивую собаку и убегает прочь",
+        "zh": "敏捷的狐狸跳过懒狗然后跑开了今天天气很好我们去公园",
+    }
+    parser = language.Parser({k: v.encode() for k, v in samples.items()})
+    texts = ["лиса и собака", "αλεπού σκύλος", "今天我们去", "fox and dog", "собака 狐狸 fox σκύλο", "щэъё"]
+    found = parser.phrases(tb.from_arrow(pa.array(texts)))
+    latin = lambda t: t.encode().decode("latin-1")
+    for k, row in zip(parser.languages, found):
+        assert row.tolist() == [_phrases(latin(samples[k]), latin(t)) for t in texts]
+    assert parser.label(tb.from_arrow(pa.array(texts[:4])))[0] == ["ru", "el", "zh", "en"]
+
+
 def test_long_texts_are_parsed_in_blocks_to_the_end():
     parser = language.Parser({"a": b"aaaa" * 20, "b": b"bbbb" * 20})
     texts = tb.from_arrow(pa.array(["a" * 100 + "b" * 5_000, "b" * 100 + "a" * 5_000]))
