@@ -121,16 +121,16 @@ def _train(rows: list[tuple[bytes, int]]) -> np.ndarray:
 
 
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
+    """One weight vector per shard; a task may hold several shards or none."""
+    shards: dict[int, list[tuple[int, bytes, int]]] = {}
     for batch in batches:
         texts = tb.from_arrow(batch.column(batch.schema.get_field_index("text")))
-        labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
-        ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        rows += [(i, texts.text(k), label) for k, (i, label) in enumerate(zip(ids, labels))]
-    rows.sort()
-    if rows:
-        weights = _train([(text, label) for _, text, label in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
+        shard, ids, labels = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "doc_id", "label"))
+        for k in range(len(batch)):
+            shards.setdefault(shard[k], []).append((ids[k], texts.text(k), labels[k]))
+    for shard, rows in sorted(shards.items()):
+        weights = _train([(text, label) for _, text, label in sorted(rows)])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([weights.tobytes()], pa.binary())], ["shard", "weights"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS) -> np.ndarray:
@@ -138,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TR
 
     ``docs`` has doc_id and text, ``labels`` doc_id and label (0 or 1; others are left out); only ids
     where ``usable`` holds are read. Without any labelled text all weights are 0 and every score is 0.5. The picked ids are
-    broadcast: their number is ``train_rows`` at most.
+    broadcast: their number is ``train_rows`` at most. Of an id with several texts the first in byte order
+    teaches. Shards follow from the id alone, so the weights do not depend on partitions.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     picked = (
@@ -147,8 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TR
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(SHARDS)).cast("int"))
     )
     rows = docs.where("text is not null").join(F.broadcast(picked), "doc_id")
-    shards = rows.repartition(SHARDS, "shard").mapInArrow(_trainer, "weights binary").collect()
-    found = [np.frombuffer(row.weights, np.float32) for row in shards]
+    taught = rows.repartition(SHARDS, "shard").groupBy("shard", "doc_id", "label").agg(F.min("text").alias("text"))
+    shards = taught.mapInArrow(_trainer, "shard int, weights binary").collect()
+    found = [np.frombuffer(row.weights, np.float32) for row in sorted(shards)]
     return np.mean(found, axis=0) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
