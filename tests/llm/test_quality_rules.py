@@ -31,6 +31,42 @@ def test_order_does_not_change_verdicts():
     assert wanted.tolist() == [False] * 4 + [True] + [False] * 2
 
 
+def test_order_is_measured_on_a_sample_that_does_not_grow(spark):
+    """The rows measured follow from the sample size, not from the partitions; a useless rule goes last."""
+    text = " ".join(f"w{i}ord" for i in range(90))
+    rows = [(i, "A1 # " * 60 + text if i % 2 else text) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (2, 60):
+        dealt = df.repartition(parts).cache()
+        order = quality_rules.rule_order(dealt.select("doc_id", "text"))
+        assert sorted(r.name for r in order) == sorted(r.name for r in quality_rules.RULES)
+        sampled = dealt.sample(fraction=quality_rules.SAMPLE_TEXTS / 3000, seed=11).count()
+        assert abs(sampled - quality_rules.SAMPLE_TEXTS) < 150
+    assert list(quality_rules.rule_order(df.where("false"))) == list(quality_rules.RULES)
+
+
+def test_order_counts_what_earlier_rules_leave(spark):
+    """A rule that rejects only what a cheaper one has rejected comes after a rule that rejects others."""
+    import numpy as np
+
+    def rule(name, mark, cost):
+        def rejects(texts, counts):
+            deadline = time.perf_counter() + cost
+            while time.perf_counter() < deadline:
+                pass
+            return np.array([mark in texts.text(i) for i in range(len(texts))], bool)
+
+        return quality_rules.Rule(name, rejects)
+
+    import time
+
+    words = " ".join(f"w{i}ord" for i in range(90))
+    rows = [(i, words + (" both" if i % 3 == 0 else " few" if i % 10 == 1 else "")) for i in range(600)]
+    rules = (rule("twin", b"both", 0.04), rule("first", b"both", 0.01), rule("few", b"few", 0.03))
+    order = quality_rules.rule_order(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rules)
+    assert [r.name for r in order] == ["first", "few", "twin"]
+
+
 def test_odd_rows(odd, nothing):
     rows = quality_rules.quality_verdicts(odd).collect()
     assert len(rows) == odd.count()
