@@ -66,6 +66,8 @@ def anchors(texts: tb.Texts) -> tuple[np.ndarray, ...]:
     """
     none = np.zeros(0, np.int64)
     n = len(texts.data)
+    if n >= 1 << int(_PLACE_BITS):
+        raise ValueError(f"a text of {n} bytes: places are held in {int(_PLACE_BITS)} bits, so texts must be under 256 MiB")
     if n < LENGTH:
         return none.astype(np.uint64), none, none, none, np.zeros(len(texts), np.int64)
     at = np.arange(n - GRAM + 1)
