@@ -182,30 +182,27 @@ def _writer(make_encoder: Callable[[], TokenizersEncoder]):
             ]
             return pa.RecordBatch.from_arrays(row, ["part", "shard", "doc_ids", "n_tokens", "total", "matrix"])
 
-        try:
-            for batch in batches:
-                texts = tb.from_arrow(batch.column(1))
-                doc_ids = batch.column(0).to_pylist()
-                part = batch.column(2)[0].as_py() if len(batch) else part
-                for first, piece in tb.slices(texts, SLICE_BYTES):
-                    flat, counts = encoder.encode_flat(piece)
-                    ends = np.cumsum(counts + 1)
-                    ended = np.full(len(flat) + len(counts), END, np.uint32)
-                    text = np.ones(len(ended), bool)
-                    text[ends - 1] = False
-                    ended[text] = flat
-                    for k, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
-                        if tokens and held + b - a > SHARD_TOKENS:
-                            yield flush()
-                            ids, sizes, tokens, held, shard = [], [], [], 0, shard + 1
-                        ids.append(doc_ids[first + k])
-                        sizes.append(b - a)
-                        tokens.append(ended[a:b])
-                        held += b - a
-            if tokens:
-                yield flush()
-        finally:
-            encoder.cache.clear()
+        for batch in batches:
+            texts = tb.from_arrow(batch.column(1))
+            doc_ids = batch.column(0).to_pylist()
+            part = batch.column(2)[0].as_py() if len(batch) else part
+            for first, piece in tb.slices(texts, SLICE_BYTES):
+                flat, counts = encoder.encode_flat(piece)
+                ends = np.cumsum(counts + 1)
+                ended = np.full(len(flat) + len(counts), END, np.uint32)
+                text = np.ones(len(ended), bool)
+                text[ends - 1] = False
+                ended[text] = flat
+                for k, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+                    if tokens and held + b - a > SHARD_TOKENS:
+                        yield flush()
+                        ids, sizes, tokens, held, shard = [], [], [], 0, shard + 1
+                    ids.append(doc_ids[first + k])
+                    sizes.append(b - a)
+                    tokens.append(ended[a:b])
+                    held += b - a
+        if tokens:
+            yield flush()
 
     return run
 

@@ -69,17 +69,26 @@ def test_many_words_at_once(library, bpe, reference):
             assert np.frombuffer(ranked, "<u4").tolist() == reference.encode_ordinary(text)
 
 
-def test_cache_is_bounded_and_forgotten(monkeypatch, library):
+def test_cache_is_bounded_and_forgotten(monkeypatch, bpe, reference):
     from tallymart.llm import chunks
 
     monkeypatch.setattr(chunks, "CACHE_BYTES", 4_000)
-    encoder = TokenizersEncoder(FILE)
+    bpe.forget()
     texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(40)]
-    for text, ours in zip(texts, encoder.encode(tb.from_arrow(pa.array(texts)))):
+    for text, ours in zip(texts, bpe.encode(tb.from_arrow(pa.array(texts)))):
+        assert np.frombuffer(ours, "<u4").tolist() == reference.encode_ordinary(text)
+    assert len(bpe.cache.young) + len(bpe.cache.old) < 60
+    bpe.forget()
+    assert not bpe.cache.young and not bpe.cache.old and not bpe.fits
+
+
+def test_white_space_between_chunks(library):
+    """Chunks that end in white space, or are nothing else, do not run into the ones joined after them."""
+    rng = random.Random(7)
+    bits = ["a", "b!", "\n", " ", "  ", "\t", "\u00a0", "\u3000", "\u2009", "\x1c", "\x85", "7", "'s", "é", "日本", "...", "\r\n"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", ""]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    for text, ours in zip(texts, TokenizersEncoder.shared(FILE).encode(tb.from_arrow(pa.array(texts)))):
         assert np.frombuffer(ours, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-    assert len(encoder.cache.young) + len(encoder.cache.old) < 60
-    encoder.cache.clear()
-    assert not encoder.cache.young and not encoder.cache.old
 
 
 def test_time_grows_with_the_length_of_a_piece(bpe, reference):
