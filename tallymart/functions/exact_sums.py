@@ -89,11 +89,28 @@ def amount_total(df: DataFrame, column: str) -> Column:
     return total.as_read(total.value())
 
 
-def mean_over(df: DataFrame, column: str, frame: WindowSpec) -> Column:
-    """Mean of the non-NULL values of a window frame, one division of an exact sum."""
+def sum_over(df: DataFrame, column: str, frame: WindowSpec) -> Column:
+    """Exact sum of a window frame, NULL where it has no non-NULL value; double for a floating-point column."""
+    value = exact(column)
+    if is_floating(df, column):
+        return _joined(F.sum(_high(value)).over(frame), F.sum(_low(value)).over(frame)).cast("double")
+    return F.sum(value).over(frame)
+
+
+def mean_over(
+    df: DataFrame, column: str, frame: WindowSpec, more_sum: Column | None = None, more_count: Column | None = None
+) -> Column:
+    """Mean of the non-NULL values of a window frame, one division of an exact sum.
+
+    ``more_sum`` and ``more_count`` are sum and count of values outside the window that belong to the mean.
+    """
     value = exact(column)
     if is_floating(df, column):
         total = _joined(F.sum(_high(value)).over(frame), F.sum(_low(value)).over(frame))
     else:
         total = F.sum(value).over(frame)
-    return F.try_divide(total.cast("double"), F.count(value).over(frame).cast("double"))
+    count = F.count(value).over(frame)
+    if more_sum is not None:
+        zero = F.lit(0)
+        total, count = F.coalesce(total, zero) + F.coalesce(more_sum, zero), count + F.coalesce(more_count, zero)
+    return F.try_divide(total.cast("double"), count.cast("double"))

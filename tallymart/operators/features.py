@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tallymart.functions.exact_sums import mean_over
+from tallymart.functions.exact_sums import mean_over, sum_over
 from tallymart.functions.numbers import smoothed_change
 
 # Model inputs, in the order the models see them.
@@ -49,9 +49,9 @@ def trailing_mean(df: DataFrame, column: str, window: WindowSpec, size: int) ->
     return F.when(F.count(column).over(frame) == size, mean_over(df, column, frame))
 
 
-def expanding_mean(df: DataFrame, column: str, window: WindowSpec) -> Column:
-    """Mean of all rows before the current one."""
-    return mean_over(df, column, window.rowsBetween(Window.unboundedPreceding, -1))
+def month_number(year: str = "year", month: str = "month") -> Column:
+    """Months since year 0, so that the month before is one less."""
+    return F.col(year) * 12 + F.col(month) - 1
 
 
 def store_features(
@@ -62,29 +62,47 @@ def store_features(
     transactions: str | None = "num_transactions",
     skus: str | None = "unique_skus",
     month: str = "month",
+    lag: str = "rows",
+    carried: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Lags, trailing and expanding means and growth per store; rows where one of three lags is NULL are left out.
 
-    A lag is a number of rows, not of calendar months. A lag whose column is None is left out.
+    A lag of ``rows`` looks back over the store's rows, whatever months they are. A lag of ``months`` looks
+    at calendar months: last month is the month before this one, NULL if the store sold nothing in it, and
+    what the store sold in all its places then. No row is made for a month without sales. The expanding mean
+    is over the rows before (of the months before). A lag whose column is None is left out.
+
+    ``carried`` names two columns with the sum and the number of the store's rows that lie before those given
+    here, for the expanding mean.
 
     All features share one window, so the plan has one shuffle and one sort. Its groups are panel
     rows, one per month and place of a store: their number follows from the calendar and the map,
     not from how much the store sells.
     """
-    window = Window.partitionBy(store).orderBy(*order)
-    amount = F.col(revenue)
-    lags = {f"revenue_lag{n}": F.lag(amount, n).over(window) for n in (1, 2, 3)}
+    if lag not in ("rows", "months"):
+        raise ValueError(f"lag must be 'rows' or 'months', not {lag!r}")
+    if lag == "rows":
+        window = Window.partitionBy(store).orderBy(*order)
+        back = lambda column, n: F.lag(F.col(column), n).over(window)
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        trailing = trailing_mean(panel, revenue, window, 3)
+    else:
+        window = Window.partitionBy(store).orderBy(month_number(order[0], order[1]))
+        back = lambda column, n: sum_over(panel, column, window.rangeBetween(-n, -n))
+        before = window.rangeBetween(Window.unboundedPreceding, -1)
+        # All three months are there, see below; each may have several rows.
+        trailing = sum_over(panel, revenue, window.rangeBetween(-3, -1)).cast("double") / F.lit(3.0)
+    lags = {f"revenue_lag{n}": back(revenue, n) for n in (1, 2, 3)}
     counts = {
-        name: F.lag(column, 1).over(window)
-        for name, column in (("txn_lag1", transactions), ("skus_lag1", skus))
-        if column is not None
+        name: back(column, 1) for name, column in (("txn_lag1", transactions), ("skus_lag1", skus)) if column is not None
     }
+    more = [F.col(c) for c in carried] if carried else []
     featured = panel.withColumns(
         {
             **lags,
-            "revenue_rolling3": trailing_mean(panel, revenue, window, 3),
+            "revenue_rolling3": trailing,
             "mom_growth_rate": smoothed_change(lags["revenue_lag1"], lags["revenue_lag2"]),
-            "store_avg_revenue": expanding_mean(panel, revenue, window),
+            "store_avg_revenue": mean_over(panel, revenue, before, *more),
             **counts,
             "month_of_year": F.col(month),
         }

@@ -118,6 +118,25 @@ features AS MATERIALIZED (
   FROM lagged
   WHERE revenue_lag1 IS NOT NULL AND revenue_lag2 IS NOT NULL AND revenue_lag3 IS NOT NULL)"""
 
+_CALENDAR_FEATURES = f"""numbered AS (
+  SELECT *, year * 12 + month AS month_number FROM panel),
+per_month AS (
+  SELECT store_name, month_number, sum({_exact('monthly_revenue')}) AS revenue,
+         CAST(sum(num_transactions) AS BIGINT) AS transactions, CAST(sum(unique_skus) AS BIGINT) AS skus
+  FROM numbered GROUP BY store_name, month_number),
+features AS (
+  SELECT p.* EXCLUDE (month_number), {_double('a.revenue')} AS revenue_lag1, {_double('b.revenue')} AS revenue_lag2,
+         {_double('c.revenue')} AS revenue_lag3,
+         {_double('a.revenue + b.revenue + c.revenue')} / 3 AS revenue_rolling3,
+         ({_double('a.revenue')} - {_double('b.revenue')}) / nullif({_double('b.revenue')} + 1e-9, 0) AS mom_growth_rate,
+         (SELECT {_sum('e.monthly_revenue')} / count(*) FROM numbered e
+          WHERE e.store_name = p.store_name AND e.month_number < p.month_number) AS store_avg_revenue,
+         a.transactions AS txn_lag1, a.skus AS skus_lag1, p.month AS month_of_year
+  FROM numbered p
+  JOIN per_month a ON a.store_name = p.store_name AND a.month_number = p.month_number - 1
+  JOIN per_month b ON b.store_name = p.store_name AND b.month_number = p.month_number - 2
+  JOIN per_month c ON c.store_name = p.store_name AND c.month_number = p.month_number - 3)"""
+
 _COHORT = """thresholds AS (
   SELECT year, month, quantile_disc(monthly_revenue, 0.75) AS q75 FROM features GROUP BY year, month),
 labelled AS MATERIALIZED (
@@ -364,7 +383,9 @@ def checks() -> dict[str, str]:
             CAST((max(year * 12 + month - 1) // 12) AS INTEGER) AS last_year,
             CAST(max(year * 12 + month - 1) % 12 + 1 AS INTEGER) AS last_month FROM panel""",
         "store_features": f"{_ON_FEATURES} {features}",
+        "refreshed_panel": f"{_ON_FEATURES} {features}",
         "store_features_sparse": f"{_with(_sales_cte('customer'), _PANEL, _FEATURES)} {features}",
+        "store_features_calendar": f"{_with(_sales_cte('customer'), _PANEL, _CALENDAR_FEATURES)} {features}",
         "value_relabel": _relabel(),
         "monthly_thresholds": f"""{_ON_COHORT} SELECT year, month, {_cents('q75')} AS q75
             FROM thresholds""",
@@ -374,6 +395,15 @@ def checks() -> dict[str, str]:
               count(*) OVER (PARTITION BY county) AS n FROM sales)
             SELECT county, sale_dollars AS median_sale FROM ranked
             WHERE rn = 1 + floor((n - 1) * 0.5 + 0.5)""",
+        "group_quantile_linear": f"""{_ON_SALES}, ranked AS (
+            SELECT county, sale_dollars, row_number() OVER (PARTITION BY county ORDER BY sale_dollars) AS rn,
+              (count(*) OVER (PARTITION BY county) - 1) * CAST(0.9 AS DOUBLE) AS place FROM sales),
+            around AS (SELECT county, max(place) AS place,
+              max(sale_dollars) FILTER (rn = floor(place) + 1) AS low, max(sale_dollars) FILTER (rn = ceil(place) + 1) AS high
+              FROM ranked GROUP BY county)
+            SELECT county, low + (high - low) * (place - floor(place)) AS quantile FROM around""",
+        "group_quantile_disc": f"""{_ON_SALES} SELECT county, quantile_disc(sale_dollars, 0.5) AS quantile
+            FROM sales GROUP BY county""",
         "quartile_labels": f"""{_ON_COHORT} SELECT store_name, city, county, year, month,
             {_cents('monthly_revenue')} AS monthly_revenue, {_cents('q75')} AS q75, is_top_quartile
             FROM labelled""",

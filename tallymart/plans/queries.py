@@ -15,7 +15,7 @@ from tallymart.functions.calendar import parse_date
 from tallymart.functions.text import relabel
 from tallymart.operators import categorize as cat
 from tallymart.operators import clean as cleaning
-from tallymart.operators import distinct_sets, evaluate, features, labels, marts, model, panel, profile, split
+from tallymart.operators import distinct_sets, evaluate, features, labels, marts, model, panel, panel_store, profile, split, trees
 from tallymart.plans import analysis
 from tallymart.session import materialize, scratch_path
 from tallymart.sources import footers
@@ -380,6 +380,12 @@ def store_features_sparse(spark: SparkSession, root: str) -> DataFrame:
     return _rounded_features(features.store_features(_panel(spark, root, "customer")))
 
 
+@_query
+def store_features_calendar(spark: SparkSession, root: str) -> DataFrame:
+    """Customers as stores, with lags by calendar month: only rows with three months of sales before them."""
+    return _rounded_features(features.store_features(_panel(spark, root, "customer"), lag="months"))
+
+
 @_query
 def value_relabel(spark: SparkSession, root: str) -> DataFrame:
     """Mean of every panel and feature column, under its display name where it has one."""
@@ -408,6 +414,23 @@ def group_quantile_nearest(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _county_quantile(spark: SparkSession, root: str, q: float, method: str) -> DataFrame:
+    lines = sales(spark, root, ["county", "sale_dollars"])
+    return labels.group_quantile(lines, ["county"], "sale_dollars", q, "quantile", method, accuracy=10_000)
+
+
+@_query
+def group_quantile_linear(spark: SparkSession, root: str) -> DataFrame:
+    """Ninth decile of the sale per county, between the two neighbouring sales."""
+    return _county_quantile(spark, root, 0.9, "linear")
+
+
+@_query
+def group_quantile_disc(spark: SparkSession, root: str) -> DataFrame:
+    """Median sale per county as a sale that occurs, the lower of two."""
+    return _county_quantile(spark, root, 0.5, "disc")
+
+
 @_query
 def quartile_labels(spark: SparkSession, root: str) -> DataFrame:
     labelled = labels.quartile_labels(_revenue_features(spark, root))
@@ -511,6 +534,44 @@ def feature_importances(spark: SparkSession, root: str) -> DataFrame:
     return model.feature_importances(model.fit_forest(train), train)
 
 
+FOREST_DEPTH = 8
+
+
+@_query
+def forest_node_scores(spark: SparkSession, root: str) -> DataFrame:
+    """The forest's scores by walking its table of nodes."""
+    train, test, _ = split.train_test_split(_stored_cohort(spark, root))
+    fit = model.fit_forest(train, max_depth=FOREST_DEPTH)
+    nodes = materialize(trees.forest_nodes(spark, fit), "nodes")
+    scores = trees.node_scores(test, nodes, fit.features, panel.PANEL_KEYS, FOREST_DEPTH)
+    return scores.select(*panel.PANEL_KEYS, "probability", "prediction")
+
+
+@_query
+def forest_node_importances(spark: SparkSession, root: str) -> DataFrame:
+    """The forest's importances as sums over its table of nodes."""
+    train, _, _ = split.train_test_split(_stored_cohort(spark, root))
+    fit = model.fit_forest(train, max_depth=FOREST_DEPTH)
+    nodes = materialize(trees.forest_nodes(spark, fit), "nodes")
+    return trees.node_importances(nodes, fit.features)
+
+
+@_query
+def refreshed_panel(spark: SparkSession, root: str) -> DataFrame:
+    """Features of a panel stored without the returned lines of a year, then refreshed with them."""
+    lines = cleaning.add_calendar(sales(spark, root, (*_PANEL_INPUT, "store_location")))
+    lines = materialize(lines, "panel-lines")
+    late = (F.col("year") == 1998) & F.col("store_location").isNull()
+    panel_path, path = scratch_path(spark, "panel-store"), scratch_path(spark, "feature-store")
+    panel_store.write_panel(lines.where(~late), panel_path, invoice=INVOICE)
+    panel_store.write_features(spark, panel_path, path)
+    changed = panel_store.changed_months(lines.where(late))
+    if changed:
+        panel_store.refresh_panel(lines, panel_path, changed, invoice=INVOICE)
+        panel_store.refresh_features(spark, panel_path, path, min(changed))
+    return _rounded_features(spark.read.parquet(path))
+
+
 @_query
 def model_comparison(spark: SparkSession, root: str) -> DataFrame:
     train, test, _ = split.train_test_split(_stored_cohort(spark, root))

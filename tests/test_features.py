@@ -63,3 +63,26 @@ def test_later_rows_change_no_feature(spark):
     assert sorted(map(tuple, changed.select(columns).collect())) == expected
     # Not even the row's own revenue is a feature.
     assert sorted(map(tuple, own.select(columns).collect())) == expected
+
+
+def test_calendar_lags_look_at_months(spark):
+    """Gaps give NULL, several places of a store in a month are added, and nothing is filled in."""
+    from decimal import Decimal
+
+    from tallymart.operators import features
+
+    rows = [
+        ("a", "x", "k", 2021, 10, 1.1, 1, 1), ("a", "x", "k", 2021, 11, 2.2, 2, 1), ("a", "y", "k", 2021, 11, 0.1, 3, 1),
+        ("a", "x", "k", 2021, 12, 3.3, 4, 1), ("a", "x", "k", 2022, 1, 4.4, 5, 2), ("a", "x", "k", 2022, 3, 5.5, 6, 2),
+        ("b", "x", "k", 2021, 10, 9.0, 1, 1), ("b", "x", "k", 2021, 12, 9.0, 1, 1), ("b", "x", "k", 2022, 1, 9.0, 1, 1),
+    ]
+    names = "store_name string, city string, county string, year int, month int, monthly_revenue double, num_transactions long, unique_skus long"
+    df = spark.createDataFrame(rows, names)
+    out = features.store_features(df, lag="months").collect()
+    assert [(r.store_name, r.year, r.month) for r in out] == [("a", 2022, 1)]
+    (r,) = out
+    assert (r.revenue_lag1, r.revenue_lag2, r.revenue_lag3) == (3.3, 2.3, 1.1)
+    assert r.revenue_rolling3 == float(Decimal("6.7")) / 3 and r.store_avg_revenue == float(Decimal("6.7")) / 4
+    assert (r.txn_lag1, r.skus_lag1) == (4, 1)
+    by_rows = features.store_features(df).collect()
+    assert {(r.store_name, r.year, r.month) for r in by_rows} == {("a", 2021, 12), ("a", 2022, 1), ("a", 2022, 3)}

@@ -15,10 +15,27 @@ def nearest_rank(values, q):
     return kept[math.floor((len(kept) - 1) * q + 0.5)] if kept else None
 
 
-def _quantiles(spark, groups, q, **options):
+def lower_rank(values, q):
+    kept = sorted(v for v in values if v is not None)
+    return kept[max(math.ceil(len(kept) * q), 1) - 1] if kept else None
+
+
+def interpolated(values, q):
+    kept = sorted(v for v in values if v is not None)
+    if not kept:
+        return None
+    place = (len(kept) - 1) * q
+    low, high = kept[math.floor(place)], kept[math.ceil(place)]
+    return low + (high - low) * (place - math.floor(place))
+
+
+BRUTE = {"nearest": nearest_rank, "disc": lower_rank, "linear": interpolated}
+
+
+def _quantiles(spark, groups, q, method="nearest", **options):
     rows = [(key, value) for key, values in groups.items() for value in values]
     df = spark.createDataFrame(rows, "k string, v double")
-    out = labels.group_quantile_nearest(df, ["k"], "v", q, "x", **options)
+    out = labels.group_quantile(df, ["k"], "v", q, "x", method, **options)
     return {row.k: row.x for row in out.collect()}
 
 
@@ -51,6 +68,26 @@ def test_groups_larger_than_the_accuracy(spark, q, accuracy):
     assert _quantiles(spark, groups, q, accuracy=accuracy) == expected
 
 
+@pytest.mark.parametrize("method", ["disc", "linear"])
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 0.9, 1.0])
+def test_other_methods(spark, monkeypatch, method, q):
+    """Small groups, groups past the accuracy, and giant ones whose two ranks may fall in two ranges."""
+    monkeypatch.setattr(labels, "MOST_CELLS", 30)
+    monkeypatch.setattr(labels, "SPLIT", 4)
+    rng = random.Random(5)
+    groups = {str(n): [float(rng.randint(0, 5)) for _ in range(n)] for n in range(1, 9)}
+    groups |= {"nulls": [None, 3.0, None, 1.0], "all null": [None], None: [4.0, 8.0, 6.0]}
+    groups |= {"spread": [rng.lognormvariate(5, 3) for _ in range(3001)], "few": [float(rng.randint(0, 3)) for _ in range(700)]}
+    groups |= {f"even {n}": [float(i) for i in range(n)] for n in (200, 400, 401)}
+    expected = {key: BRUTE[method](values, q) for key, values in groups.items()}
+    assert _quantiles(spark, groups, q, method, accuracy=20) == expected
+
+
+def test_unknown_method(spark):
+    with pytest.raises(ValueError, match="method"):
+        labels.group_quantile(spark.range(1), ["id"], "id", 0.5, method="median")
+
+
 @settings(
     max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
@@ -58,9 +95,10 @@ def test_groups_larger_than_the_accuracy(spark, q, accuracy):
     values=st.lists(st.one_of(st.none(), st.integers(-50, 50).map(float)), min_size=1, max_size=80),
     q=st.floats(0, 1),
     accuracy=st.sampled_from([5, 20, 1000]),
+    method=st.sampled_from(labels.METHODS),
 )
-def test_any_group(spark, values, q, accuracy):
-    assert _quantiles(spark, {"g": values}, q, accuracy=accuracy) == {"g": nearest_rank(values, q)}
+def test_any_group(spark, values, q, accuracy, method):
+    assert _quantiles(spark, {"g": values}, q, method, accuracy=accuracy) == {"g": BRUTE[method](values, q)}
 
 
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.77, 1.0])

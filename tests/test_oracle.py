@@ -12,7 +12,9 @@ from tallymart.plans import duckdb_checks, queries
 ROOT = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem".split()
 CHECKS = duckdb_checks.checks()
-ROWS_ONLY = {"logistic_scores", "forest_scores", "feature_importances", "model_comparison"}
+ROWS_ONLY = {
+    "logistic_scores", "forest_scores", "feature_importances", "model_comparison", "forest_node_scores", "forest_node_importances"
+}
 
 
 @pytest.fixture(scope="module")

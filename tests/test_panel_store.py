@@ -1,0 +1,102 @@
+"""A panel refreshed by month equals one made anew, and other months' files stay as they are."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallymart.operators import features, panel
+from tallymart.operators import panel_store as ps
+
+NAMES = "store_name string, city string, county string, year int, month int, item_description string, invoice_item string, bottles_sold int, sale_dollars double, volume_liters double"
+
+
+def lines(seed, n, months):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        year, month = rng.choice(months)
+        store = rng.choice(["a", "b", "c", None])
+        city = rng.choice(["x", "y"]) if store == "c" else "x"
+        out.append((store, city, "k", year, month, f"i{rng.randrange(6)}", f"{seed}-{i}", rng.randrange(9), rng.randrange(10**6) / 100, rng.random()))
+    return out
+
+
+MONTHS = [(2020 + k // 12, 1 + k % 12) for k in range(18)]
+
+
+def stored(spark, path):
+    return spark.read.parquet(path)
+
+
+def files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def same(got, want):
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    rows = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+    assert rows(got) == rows(want)
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    base = spark.createDataFrame(lines(1, 900, MONTHS), NAMES)
+    ps.write_panel(base, str(tmp_path / "panel"))
+    ps.write_features(spark, str(tmp_path / "panel"), str(tmp_path / "features"))
+    return base, tmp_path
+
+
+def test_late_lines_rewrite_only_their_months(spark, store):
+    base, folder = store
+    late = spark.createDataFrame(lines(2, 40, [MONTHS[9], MONTHS[12]]), NAMES)
+    every = base.union(late)
+    before, features_before = files(folder / "panel"), files(folder / "features")
+    changed = ps.changed_months(late)
+    assert changed == {MONTHS[9], MONTHS[12]}
+    ps.refresh_panel(every, str(folder / "panel"), changed)
+    ps.refresh_features(spark, str(folder / "panel"), str(folder / "features"), min(changed))
+
+    want = panel.store_month_panel(every)
+    same(stored(spark, str(folder / "panel")), want)
+    same(stored(spark, str(folder / "features")), features.store_features(want))
+
+    touched = lambda old, new: {tuple(int(x.split("=")[1]) for x in p.split("/")[:2]) for p in old.keys() ^ new.keys()}
+    assert touched(before, files(folder / "panel")) == changed
+    assert touched(features_before, files(folder / "features")) <= {m for m in MONTHS if m >= min(changed)}
+
+
+def test_a_month_that_goes_and_one_that_comes(spark, store):
+    base, folder = store
+    gone, new = MONTHS[10], (2021, 12)
+    kept = base.where(~((F.col("year") == gone[0]) & (F.col("month") == gone[1])))
+    every = kept.union(spark.createDataFrame(lines(3, 30, [new]), NAMES))
+    ps.refresh_panel(every, str(folder / "panel"), {gone, new})
+    ps.refresh_features(spark, str(folder / "panel"), str(folder / "features"), gone)
+    want = panel.store_month_panel(every)
+    same(stored(spark, str(folder / "panel")), want)
+    same(stored(spark, str(folder / "features")), features.store_features(want))
+
+
+def test_nothing_changed(spark, store):
+    base, folder = store
+    before = files(folder / "panel")
+    ps.refresh_panel(base, str(folder / "panel"), ps.changed_months(base.where("false")))
+    assert files(folder / "panel") == before
+
+
+def test_refresh_from_the_first_month(spark, store):
+    base, folder = store
+    ps.refresh_features(spark, str(folder / "panel"), str(folder / "features"), MONTHS[0])
+    same(stored(spark, str(folder / "features")), features.store_features(panel.store_month_panel(base)))
+
+
+def test_only_changed_months_are_scanned(spark, tmp_path):
+    """Lines stored by month are pruned to the changed months."""
+    path = str(tmp_path / "lines")
+    spark.createDataFrame(lines(1, 300, MONTHS), NAMES).write.partitionBy("year", "month").parquet(path)
+    chosen = spark.read.parquet(path).where(ps._in_months([MONTHS[3]]))
+    assert chosen._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [") == 1
+    assert {f.split("year=")[1][:4] for f in chosen.inputFiles()} <= {"2020", "2021"}
+    assert chosen.select("year", "month").distinct().count() == 1
