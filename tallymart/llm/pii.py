@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.session import materialize
@@ -47,36 +47,49 @@ WINDOW_CHARS = 80
 TERM = r"[\p{L}\p{N}]{3,}"
 CHANCE = 0.01
 DISCLOSURE = 0.9
-BROADCAST_TERMS = 50_000
+BROADCAST_BYTES = 4 << 20
+MATCH_BLOCK = 64
+CHUNK_CHARS = 1_000
 
 _NO_SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def _matches(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _matches(text: Column, pattern: str) -> Column:
     """Structs (start, end, value) of the leftmost non-overlapping matches, places in code points.
 
-    Matches whose value is not ``wanted`` are passed over.
+    Matches are placed block by block: each block is walked from where the one before ended, so no long
+    array is copied for every match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    kind = "struct<at:int,spans:array<struct<start:int,end:int,value:string>>>"
-    empty = F.from_json(F.lit('{"at":0,"spans":[]}'), kind)
-
-    def appended(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        return F.concat(acc["spans"], F.array(F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))))
-
-    return F.aggregate(
-        F.zip_with(pieces, found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value"))),
-        empty,
-        lambda acc, x: F.when(x["value"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-                (appended(acc, x) if wanted is None else F.when(wanted(x["value"]), appended(acc, x)).otherwise(acc["spans"])).alias("spans"),
-            )
-        ),
-        lambda acc: acc["spans"],
-    )
+    steps = F.zip_with(pieces, found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+    no_spans = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>")
+    moved = lambda x: x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))
+
+    def placed(block: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            span = F.struct(start.alias("start"), (acc["at"] + moved(x)).alias("end"), x["value"].alias("value"))
+            spans = F.when(x["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
+            return F.struct((acc["at"] + moved(x)).alias("at"), spans.alias("spans"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), no_spans.alias("spans")), step, lambda acc: acc["spans"])
+
+    def in_blocks(steps: Column) -> Column:
+        last = F.floor((F.size(steps) - 1) / MATCH_BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(steps, i * MATCH_BLOCK + 1, F.lit(MATCH_BLOCK)))
+
+    def from_blocks(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + moved(x)))
+        before = F.aggregate(sizes, F.array(F.lit(0)), lambda a, size: F.concat(a, F.array(F.element_at(a, -1) + size)))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), placed))
+
+    return _once(_once(steps, in_blocks), from_blocks)
 
 
 def _luhn(digits: Column) -> Column:
@@ -127,31 +140,61 @@ def terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x))
 
 
+def _chunks(text: Column) -> Column:
+    """The text cut into pieces of CHUNK_CHARS code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), F.lit(0))
+
+
+def _part(start: Column, length: Column) -> Column:
+    """``length`` code points (at most CHUNK_CHARS) of the column ``chunks`` from ``start`` on."""
+    chunk = F.floor(start / CHUNK_CHARS).cast("int")
+    both = F.concat(F.coalesce(F.get("chunks", chunk), F.lit("")), F.coalesce(F.get("chunks", chunk + 1), F.lit("")))
+    return F.substring(both, start - chunk * CHUNK_CHARS + 1, length)
+
+
 def _near(rows: DataFrame) -> DataFrame:
     """One row per entity occurrence and term next to it: row_id, doc_id, text_key, entity, term, start, end.
 
-    Terms cut by the border of the window, and terms that overlap another entity, are left out.
+    Terms cut by the border of the window, and terms that overlap another entity, are left out. Windows are
+    cut out of the text before it is exploded, and overlaps come from a running maximum over the sorted
+    places of a text, so the work follows the text's length however many entities it has.
     """
-    spans = rows.select("row_id", "doc_id", "text_key", "text", "spans", F.explode("spans").alias("s"))
-    low = F.greatest(F.col("s.start") - WINDOW_CHARS, F.lit(0))
-    sides = F.array(
-        F.struct(low.alias("at"), F.substring("text", low + 1, F.col("s.start") - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(
-            F.col("s.end").alias("at"),
-            F.substring("text", F.col("s.end") + 1, F.lit(WINDOW_CHARS)).alias("part"),
-            F.lit(False).alias("cut_left"),
-            (F.length("text") > F.col("s.end") + WINDOW_CHARS).alias("cut_right"),
-        ),
-    )
-    side = spans.select("row_id", "doc_id", "text_key", "spans", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.explode(sides).alias("side"))
-    found = side.select("row_id", "doc_id", "text_key", "spans", "entity", "side", F.explode(_matches(F.col("side.part"), TERM)).alias("t"))
+
+    def sides(s: Column) -> Column:
+        low = F.greatest(s["start"] - WINDOW_CHARS, F.lit(0))
+        return F.struct(
+            F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"),
+            F.array(
+                F.struct(low.alias("at"), _part(low, s["start"] - low).alias("part"), (low > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
+                F.struct(
+                    s["end"].alias("at"),
+                    _part(s["end"], F.lit(WINDOW_CHARS)).alias("part"),
+                    F.lit(False).alias("cut_left"),
+                    (F.col("n_chars") > s["end"] + WINDOW_CHARS).alias("cut_right"),
+                ),
+            ).alias("sides"),
+        )
+
+    keys = ["row_id", "doc_id", "text_key"]
+    entity = rows.select(*keys, F.explode(F.transform("spans", sides)).alias("e"))
+    side = entity.select(*keys, F.col("e.entity").alias("entity"), F.explode("e.sides").alias("side"))
+    found = side.select(*keys, "entity", "side", F.explode(_matches(F.col("side.part"), TERM)).alias("t"))
     whole = ~(F.col("side.cut_left") & (F.col("t.start") == 0)) & ~(F.col("side.cut_right") & (F.col("t.end") == F.length("side.part")))
-    placed = found.where(whole).select(
-        "row_id", "doc_id", "text_key", "spans", "entity", F.lower("t.value").alias("term"),
+    term = found.where(whole).select(
+        *keys, "entity", F.lower("t.value").alias("term"),
         (F.col("side.at") + F.col("t.start")).alias("start"), (F.col("side.at") + F.col("t.end")).alias("end"),
     )
-    overlaps = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return placed.where(~overlaps).drop("spans")
+    # An entity overlaps if it starts before the term's end and ends after its start.
+    nothing = F.lit(None)
+    spans = rows.select("row_id", F.explode("spans").alias("s")).select(
+        "row_id", nothing.cast("long").alias("doc_id"), nothing.cast("long").alias("text_key"), nothing.cast("string").alias("entity"),
+        nothing.cast("string").alias("term"), F.col("s.start").alias("start"), F.col("s.end").alias("end"),
+        (2 * F.col("s.start")).alias("place"), F.col("s.end").alias("reach"),
+    )
+    placed = term.withColumns({"place": 2 * F.col("end") - 1, "reach": nothing.cast("int")}).unionByName(spans)
+    up_to = Window.partitionBy("row_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = placed.withColumn("reach", F.max("reach").over(up_to)).where("term is not null")
+    return reached.where(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))).drop("place", "reach")
 
 
 def _surprise(n: Column, df_t: Column, df_e: Column, df_te: Column) -> Column:
@@ -182,27 +225,32 @@ def disclosing_terms(near: DataFrame, texts: DataFrame, entities: DataFrame, cha
     )
 
 
-def _term_spans(keyed: DataFrame, flagged: DataFrame) -> DataFrame:
-    """added_id, added_key and added: the places of every occurrence of a flagged term in every text.
+def _term_spans(keyed: DataFrame, rows: DataFrame, flagged: DataFrame) -> DataFrame:
+    """added_id, added_key and added: the places of flagged terms in every text, outside base spans.
 
-    Up to BROADCAST_TERMS terms are broadcast, and places are found where a text is read. Beyond, the
-    words of all texts are joined with the terms, and the texts that have some are read again.
+    Texts with a flagged term are found by their distinct words; only these are cut into places. Up to
+    BROADCAST_BYTES of terms are broadcast, beyond that words and terms are joined. Terms inside a base span
+    are told by a running maximum over the text's places in order.
     """
     flagged = materialize(flagged.select("term").distinct(), "flagged")
-    words = lambda *more: keyed.select("doc_id", "text_key", *more, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    span = lambda s: F.struct(
-        s["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), s["end"].alias("end"), F.lit("term").alias("kind"), F.lower(s["value"]).alias("value")
-    )
-    if flagged.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        found = words("text").join(F.broadcast(flagged), "term", "left_semi")
-        found = found.withColumn("wanted", F.array("term"))
-    else:
-        has = words().join(flagged, "term", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("wanted"))
-        has = has.withColumnsRenamed({"doc_id": "has_id", "text_key": "has_key"})
-        found = keyed.join(has, F.col("doc_id").eqNullSafe(F.col("has_id")) & (F.col("text_key") == F.col("has_key")))
-    places = F.transform(_matches(F.col("text"), TERM, lambda x: F.array_contains("wanted", F.lower(x))), span)
-    placed = found.select(F.col("doc_id").alias("added_id"), F.col("text_key").alias("added_key"), places.alias("places"))
-    return placed.groupBy("added_id", "added_key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("added"))
+    size = flagged.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    wanted = F.broadcast(flagged) if size <= BROADCAST_BYTES else flagged
+    words = keyed.select("doc_id", "text_key", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    has = words.join(wanted, "term", "left_semi").select(F.col("doc_id").alias("added_id"), F.col("text_key").alias("added_key"))
+    has = materialize(has.distinct(), "texts-with-terms")
+    same = F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("text_key") == F.col("added_key"))
+    texts = keyed.join(has, same).select("added_id", "added_key", F.explode(_matches(F.col("text"), TERM)).alias("t"))
+    places = texts.select("added_id", "added_key", "t.start", "t.end", F.lower("t.value").alias("term"))
+    found = places.join(wanted, "term", "left_semi").distinct()
+    spans = rows.select(F.col("doc_id").alias("added_id"), F.col("text_key").alias("added_key"), F.explode("spans").alias("s"))
+    spans = spans.select("added_id", "added_key", "s.start", "s.end", F.lit(None).cast("string").alias("term"), F.col("s.end").alias("reach"))
+    both = found.withColumn("reach", F.lit(None).cast("int")).unionByName(spans)
+    up_to = Window.partitionBy("added_id", "added_key").orderBy("start", F.col("term").asc_nulls_first())
+    up_to = up_to.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    outside = both.withColumn("reach", F.max("reach").over(up_to)).where("term is not null")
+    outside = outside.where(F.coalesce(F.col("reach") < F.col("end"), F.lit(True)))
+    span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), F.col("term").alias("value"))
+    return outside.groupBy("added_id", "added_key").agg(F.collect_list(span).alias("added"))
 
 
 def personal_data(
@@ -218,20 +266,19 @@ def personal_data(
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
     marked = keyed.withColumn("spans", base_spans(F.col("text")))
-    marked = marked.withColumn("row_id", F.monotonically_increasing_id())
-    rows = materialize(marked.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "entities")
+    marked = marked.withColumns({"row_id": F.monotonically_increasing_id(), "n_chars": F.length("text")})
+    rows = materialize(marked.withColumn("chunks", F.when(F.size("spans") > 0, _chunks(F.col("text")))).drop("text"), "entities")
 
     near = materialize(_near(rows.where("size(spans) > 0")), "near")
     names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
     held = rows.where("size(spans) > 0").select(F.explode(names).alias("entity"))
     entities = held.groupBy("entity").agg(F.count("*").alias("df_e"))
     flagged = disclosing_terms(near, texts, entities, chance, disclosure)
-    added = _term_spans(keyed, flagged)
+    added = _term_spans(keyed, rows.where("size(spans) > 0"), flagged)
     same = F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("text_key") == F.col("added_key"))
     counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), lambda x: x == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    out = rows.drop("text").join(added, same, "left")
-    outside = F.filter("added", lambda t: ~F.exists("spans", lambda s: (s["start"] <= t["start"]) & (s["end"] >= t["end"])))
-    out = out.withColumn("every", F.array_sort(F.concat("spans", F.coalesce(outside, F.array().cast(_NO_SPANS)))))
+    out = rows.drop("chunks").join(added, same, "left")
+    out = out.withColumn("every", F.array_sort(F.concat("spans", F.coalesce("added", F.array().cast(_NO_SPANS)))))
     return out.select(
         "doc_id", *counts, F.sha2(written(F.col("spans")), 256).alias("base_sha256"), written(F.col("every")).alias("spans"), F.col("every").alias("span_list")
     )
