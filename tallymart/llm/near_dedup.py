@@ -1,12 +1,13 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
 Texts with the same shingle set are one class from the start, so copies never meet each other. Classes
-that share a band key are candidates. A bucket with few classes offers all its pairs. A larger one offers
-only the pairs with its centre, the class that shares large buckets with others most often. After each
-grouping round, only buckets that still hold several components offer pairs of up to ``CENTRES`` classes
-outside the bucket's main component, until none is left. Jaccard distance is a metric, so two classes
-whose distances to the centre differ by more than the allowed distance cannot be linked and are not
-compared. So every pair of a bucket is compared, already in one component, or excluded by proof.
+that share a band key are candidates. A bucket with few classes offers all its pairs. A larger one first
+offers only the pairs with its centre, the class that shares large buckets with others most often, and most
+classes are grouped by that. What is left are buckets that still hold several components: their classes
+are dealt to blocks, blocks that share a bucket meet once, and a product of matrices gives the sizes of all
+intersections between two blocks. Only links that join components leave a task, so a large group of near
+copies costs products of small blocks and no row per pair. Every pair of a bucket is thus compared or
+already in one component.
 
 With 40 bands of 5 slots, a pair at similarity 0.8 misses all buckets with probability below 2e-7.
 Linked are the pairs whose full shingle sets pass the threshold; shingles are compared as 64-bit hashes.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.llm import textbatch as tb
@@ -29,7 +30,8 @@ from tallymart.session import materialize
 
 SLOTS, BANDS = 200, 40
 SMALL_BUCKET = 8
-CENTRES = 512
+BLOCK_SETS, BLOCK_SHINGLES = 400, 1 << 16
+COLUMNS_AT_ONCE = 4096
 
 
 def shingle_sets(texts: tb.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,42 +80,156 @@ def _packed(texts: tb.Texts, size: int) -> dict[str, pa.Array]:
     return {"shingles": binary_column([grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])])}
 
 
-def _compared(percent: int):
+def _linked(percent: int):
+    """Tasks over pairs with both shingle sets: the pairs that the threshold links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("shingles_a", "shingles_b"))
-            linked, distance = [], []
+            linked = []
             for i in range(len(batch)):
                 a, b = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
                 if len(a) > len(b):
                     a, b = b, a
                 at = np.searchsorted(b, a)
                 common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                either = len(a) + len(b) - common
-                linked.append(100 * common >= percent * either)
-                distance.append(1 - common / either)
-            columns = [*(batch.column(batch.schema.get_field_index(c)) for c in "ab"), pa.array(linked), pa.array(distance)]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "distance"])
+                linked.append(100 * common >= percent * (len(a) + len(b) - common))
+            pairs = batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            yield pairs
 
     return run
 
 
-def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with the distance of their shingle sets, and whether it links them.
+def _sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """doc_id and shingles of every different set that the documents ``ids`` have."""
+    wanted = texts.join(ids.hint("merge"), "doc_id", "left_semi")  # the same plan at every size
+    sets = materialize(map_texts(wanted, lambda t: _packed(t, size), "shingles binary"), "sets")
+    return sets.where("doc_id is not null").dropDuplicates(["doc_id", "shingles"])
+
 
-    Sets are made once per text.
+def linked_pairs(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets pass the threshold.
 
-    Joins go by one side at a time. A text with very many pairs makes one large key in the second
-    join, which adaptive execution splits, since only the other side's row is repeated for it.
+    Sets are made once per text. Joins go by one side at a time. A text with very many pairs makes one large
+    key in the second join, which adaptive execution splits, since only the other side's row is repeated.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = texts.join(ids.hint("merge"), "doc_id", "left_semi")  # the same plan at every size
-    sets = materialize(map_texts(wanted, lambda t: _packed(t, size), "shingles binary"), "sets")
-    sets = sets.where("doc_id is not null").dropDuplicates(["doc_id", "shingles"])
+    sets = _sets(texts, ids, size)
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"shingles_{name}"))
     both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
-    schema = "a long, b long, linked boolean, distance double"
-    return materialize(both.mapInArrow(_compared(percent), schema), "compared")
+    return materialize(both.mapInArrow(_linked(percent), "a long, b long"), "linked")
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks, by products of 0-1 matrices."""
+    keys = np.concatenate([*left, *right])
+    _, column = np.unique(keys, return_inverse=True)
+    row_a = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    row_b = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    column_a, column_b = column[: len(row_a)], column[len(row_a) :]
+    n = int(column.max()) + 1
+    both = (np.bincount(column_a, minlength=n) > 0) & (np.bincount(column_b, minlength=n) > 0)
+    place = np.cumsum(both) - 1
+    total = np.zeros((len(left), len(right)), np.float32)
+    in_a, in_b = both[column_a], both[column_b]
+    row_a, column_a, row_b, column_b = row_a[in_a], place[column_a[in_a]], row_b[in_b], place[column_b[in_b]]
+    for low in range(0, int(both.sum()), COLUMNS_AT_ONCE):
+        matrices = []
+        for rows, columns, height in ((row_a, column_a, len(left)), (row_b, column_b, len(right))):
+            some = (columns >= low) & (columns < low + COLUMNS_AT_ONCE)
+            matrix = np.zeros((height, COLUMNS_AT_ONCE), np.float32)
+            matrix[rows[some], columns[some] - low] = 1
+            matrices.append(matrix)
+        total += matrices[0] @ matrices[1].T
+    return total.astype(np.int64)
+
+
+def _joined_components(parts_a: np.ndarray, parts_b: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links between components that join all that linked sets join, without a circle."""
+    at_a, at_b = np.nonzero(linked)
+    pairs = np.unique(np.stack([parts_a[at_a], parts_b[at_b]], axis=1), axis=0).tolist()
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
+
+
+def _between_blocks(percent: int):
+    """Tasks over pairs of blocks: links between components, at most one per component of the two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for i in range(len(batch)):
+                sides = []
+                for name in ("members_a", "members_b"):
+                    members = batch.column(batch.schema.get_field_index(name))[i].values
+                    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.field("shingles")]
+                    sides.append((members.field("component").to_numpy(), sets))
+                (parts_a, sets_a), (parts_b, sets_b) = sides
+                common = _shared(sets_a, sets_b)
+                either = np.array([len(x) for x in sets_a])[:, None] + np.array([len(x) for x in sets_b])[None, :] - common
+                linked = (100 * common >= percent * either) & (parts_a[:, None] != parts_b[None, :])
+                found += _joined_components(parts_a, parts_b, linked)
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def links_between_components(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components with linked classes in one bucket.
+
+    ``rows`` are the members (bucket, class, n_shingles, component) of buckets with several components. Each
+    class goes into one block, with others of its largest bucket; classes of that bucket's main component
+    are in blocks of their own. Two blocks meet if any bucket has classes in both, unless both are of one
+    component, and all their sets are compared at once. Blocks hold a bounded number of sets and shingles
+    on average, and every pair of classes in a bucket is in one component or in blocks that meet.
+    """
+    sizes = rows.groupBy("bucket", "component").count()
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("size"))
+    placed = rows.join(main.hint("merge"), "bucket")
+    homes = placed.groupBy("class").agg(
+        F.max_by(F.struct("bucket", "main"), F.struct("size", "bucket")).alias("home"),
+        F.max("n_shingles").alias("n_shingles"),
+        F.max("component").alias("component"),
+    )
+    whole = F.when(F.col("component") == F.col("home.main"), F.col("component"))
+    homes = materialize(homes.select("class", "component", "n_shingles", F.col("home.bucket").alias("home"), whole.alias("whole")), "homes")
+    key = F.concat_ws(":", "home", F.coalesce(F.col("whole").cast("string"), F.lit("rest")))
+    homes = homes.withColumn("key", key)
+    counts = homes.groupBy("key").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks")
+    )
+    number = F.pmod(F.xxhash64("class", F.lit(31)), F.col("blocks"))
+    dealt = homes.join(counts.hint("merge"), "key")
+    dealt = materialize(dealt.select("class", "component", "whole", F.concat_ws(":", "key", number).alias("block")), "dealt")
+
+    sets = _sets(texts, dealt.select(F.col("class").alias("doc_id")).distinct(), size)
+    member = F.struct("component", "shingles")
+    members = sets.withColumnRenamed("doc_id", "class").join(dealt.hint("merge"), "class")
+    blocks = materialize(members.groupBy("block").agg(F.collect_list(member).alias("members")), "blocks")
+
+    held = rows.select("bucket", "class").join(dealt.hint("merge"), "class").select("bucket", "block", "whole").distinct()
+    held = materialize(held, "held")
+    other = held.select("bucket", F.col("block").alias("other"), F.col("whole").alias("whole_b"))
+    meeting = held.join(other.hint("merge"), "bucket").where("block <= other and not coalesce(whole = whole_b, false)")
+    meeting = materialize(meeting.select("block", "other").distinct(), "meeting")
+    first = blocks.select("block", F.col("members").alias("members_a"))
+    second = blocks.select(F.col("block").alias("other"), F.col("members").alias("members_b"))
+    both = meeting.join(first.hint("merge"), "block").join(second.hint("merge"), "other").select("members_a", "members_b")
+    return materialize(both.mapInArrow(_between_blocks(percent), "a long, b long"), "between")
 
 
 def near_duplicates(
@@ -153,46 +269,15 @@ def near_duplicates(
     large = materialize(large.drop("count").join(most.hint("merge"), "bucket"), "large")
     to_centre = large.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b"))
     pairs = materialize(in_small.union(to_centre).distinct(), "pairs")
-    compared = compare(pairs, texts, size, percent)
-    links = compared.where("linked").select("a", "b")
-
-    done = large.select("bucket", F.col("centre").alias("class")).distinct()
-    away = compared.select(F.col("a").alias("centre"), F.col("b").alias("class"), "distance").dropDuplicates(["centre", "class"])
-    large = large.join(away.hint("merge"), ["centre", "class"], "left")
-    large = materialize(large.select("bucket", "class", "n_shingles", F.coalesce("distance", F.lit(0.0)).alias("distance")), "large")
+    links = linked_pairs(pairs, texts, size, percent)
     found = connected_components(links)
-    near = F.abs(F.col("distance") - F.col("d_c")) <= 1 - percent / 100 + 1e-9
-    while True:
-        labelled = large.join(found.withColumnRenamed("node", "class"), "class", "left")
-        labelled = labelled.select("bucket", "class", "n_shingles", "distance", F.coalesce("component", "class").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        open_rows = materialize(labelled.join(mixed.select("bucket").hint("merge"), "bucket"), "open")
-        parts = open_rows.groupBy("bucket", "component").count()
-        main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        first = Window.partitionBy("bucket").orderBy(F.xxhash64("class"))
-        centres = materialize(
-            open_rows.join(main.hint("merge"), "bucket")
-            .where("component <> main")
-            .join(done, ["bucket", "class"], "left_anti")
-            .withColumn("rank", F.row_number().over(first))
-            .where(f"rank <= {CENTRES}")
-            .select("bucket", F.col("class").alias("c"), F.col("n_shingles").alias("n_c"), F.col("distance").alias("d_c"), F.col("component").alias("part")),
-            "centres",
-        )
-        if not centres.limit(1).count():
-            break
-        more = (
-            open_rows.join(centres.hint("merge"), "bucket")
-            .where((F.col("component") != F.col("part")) & close(F.col("n_shingles"), F.col("n_c")) & near)
-            .select(F.least("c", "class").alias("a"), F.greatest("c", "class").alias("b"))
-            .distinct()
-        )
-        pairs, tried = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs"), pairs
-        done = materialize(done.union(centres.select("bucket", F.col("c").alias("class"))), "done")
-        more = compare(pairs, texts, size, percent).where("linked").select("a", "b")
-        links = materialize(links.union(more), "links")
-        pairs = materialize(tried.union(pairs), "pairs")
-        found = connected_components(links)
+
+    labelled = large.join(found.withColumnRenamed("node", "class"), "class", "left")
+    labelled = labelled.select("bucket", "class", "n_shingles", F.coalesce("component", "class").alias("component"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    open_rows = materialize(labelled.join(mixed.select("bucket").hint("merge"), "bucket"), "open")
+    if open_rows.limit(1).count():
+        found = connected_components(links.union(links_between_components(open_rows, texts, size, percent)))
 
     named = classes.select(*key, "class").join(found.withColumnRenamed("node", "class"), "class", "left")
     named = named.select(*key, F.coalesce("component", "class").alias("component_id"))

@@ -57,19 +57,54 @@ def test_documents_match_brute_force(spark, small, size):
     check(spark, rows, size)
 
 
-def test_large_bucket_with_outliers_needs_rounds(spark, monkeypatch):
-    """Near copies of two parents that share most words, in buckets larger than the limits."""
+def near_copies(rng, n, words, changes, vocabulary=400):
+    base = [f"w{rng.randrange(vocabulary)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.choice(changes)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("block", [400, 7])
+def test_large_bucket_with_outliers(spark, monkeypatch, block):
+    """Near copies around the threshold, of several parents, in buckets and blocks larger than the limits."""
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(near_dedup, "CENTRES", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", block)
     rng = random.Random(5)
-    base = [f"w{rng.randrange(400)}" for _ in range(120)]
-    rows = []
-    for i in range(60):
-        words = list(base)
-        for _ in range(rng.choice([0, 1, 2, 4, 8])):
-            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
-        rows.append((i * 3 + 1, " ".join(words)))
-    check(spark, rows, 4)
+    texts = near_copies(rng, 60, 120, [0, 1, 2, 4, 8]) + near_copies(rng, 50, 60, [1, 2, 3]) + near_copies(rng, 80, 200, [5, 8, 11])
+    rng.shuffle(texts)
+    check(spark, [(i * 3 + 1, t) for i, t in enumerate(texts)], 4)
+
+
+def test_a_group_around_the_threshold_makes_no_row_per_pair(spark, monkeypatch):
+    """Pairs at 0.75 to 0.85: all links found, and rows stay far below the number of pairs."""
+    rng = random.Random(9)
+    texts = near_copies(rng, 400, 150, [2, 3, 4])
+    seen = []
+    materialize = near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: seen.append((name, materialize(df, name))) or seen[-1][1])
+    check(spark, [(i, t) for i, t in enumerate(texts)], 4)
+    rows = {}
+    for name, df in seen:
+        rows[name] = rows.get(name, 0) + df.count()
+    assert "between" in rows and max(rows[n] for n in ("pairs", "linked", "meeting", "between")) < 400 * 40
+    assert rows["between"] < 800
+
+
+@pytest.mark.parametrize("columns", [3, 4096])
+def test_intersections_of_blocks(monkeypatch, columns):
+    monkeypatch.setattr(near_dedup, "COLUMNS_AT_ONCE", columns)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30), dtype=np.uint64)) for _ in range(15)]
+    found = near_dedup._shared(sets[:6], sets[6:])
+    assert found.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[6:]] for a in sets[:6]]
+    parts = np.array([1, 1, 5, 7]), np.array([5, 9, 7])
+    linked = np.array([[1, 1, 0], [1, 0, 0], [0, 1, 1], [0, 0, 1]], bool)
+    kept = near_dedup._joined_components(*parts, linked & (parts[0][:, None] != parts[1][None, :]))
+    assert len(kept) == 3 and {x for pair in kept for x in pair} == {1, 5, 7, 9}
 
 
 def test_odd_rows(spark, odd, nothing):
