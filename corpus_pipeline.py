@@ -39,13 +39,15 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark; n_chars follows the text."""
+    """All documents, secrets replaced by a mark; n_chars, if there, follows the text."""
     redacted = secrets.redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return redacted
     return redacted.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, and whether these decode to the text."""
+    """The documents with their token ids, and whether these decode to the text, in place of columns so named."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_column(docs, ranks, public_tokenizers.PATTERN)
 
