@@ -221,7 +221,11 @@ def token_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
 
 
 def encode_column(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` and, from decoding them, ``decodes`` (the text comes back) appended."""
+    """``docs`` with ``token_ids`` and, from decoding them, ``decodes`` (the text comes back) appended.
+
+    Columns of these names that ``docs`` has are replaced.
+    """
+    docs = docs.drop("token_ids", "decodes")
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
