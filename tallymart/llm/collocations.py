@@ -77,7 +77,7 @@ def count_phrases(texts: tb.Texts) -> tuple[pa.Array, np.ndarray, np.ndarray] |
     ones = np.bincount(ids, minlength=size)
     at = np.flatnonzero(joined)
     pairs, pair_of, twos = np.unique(ids[at] * size + ids[at + 1], return_inverse=True, return_counts=True)
-    ahead = np.flatnonzero(joined[at] & np.append(joined, False)[at + 1]) if len(at) else at
+    ahead = np.flatnonzero(np.append(joined, False)[at + 1])
     triples, threes = np.unique(pair_of[ahead] * size + ids[at[ahead] + 2], return_counts=True)
 
     last = pc.binary_join_element_wise(vocabulary, b"", b"\n")

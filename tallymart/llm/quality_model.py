@@ -148,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TR
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(SHARDS)).cast("int"))
     )
     rows = docs.where("text is not null").join(F.broadcast(picked), "doc_id")
-    taught = rows.repartition(SHARDS, "shard").groupBy("shard", "doc_id", "label").agg(F.min("text").alias("text"))
-    shards = taught.mapInArrow(_trainer, "shard int, weights binary").collect()
+    taught = rows.groupBy("shard", "doc_id", "label").agg(F.min("text").alias("text"))
+    shards = taught.repartitionById(SHARDS, F.col("shard")).mapInArrow(_trainer, "shard int, weights binary").collect()
     found = [np.frombuffer(row.weights, np.float32) for row in sorted(shards)]
     return np.mean(found, axis=0) if found else np.zeros((1 << BITS) + 1, np.float32)
 
