@@ -5,9 +5,9 @@ decimal places. The units are summed in two parts, the low bits and the rest, bo
 generated code, and put together as one decimal per group. A mean divides once, at the end. So every
 partitioning, and every engine that adds decimals, gives the same bits.
 
-Under ANSI mode, Spark 4's default, what does not fit is an error and never another number: NaN, infinite
-values, single amounts from 9.2e11 on, and sums whose parts pass 64 bits (from about 1e18 on, or more than
-8e12 rows). Integers and decimals are summed as they are.
+Amounts that cannot be counted so (NaN, infinite, or of 9e11 and more) are added in floating point, as Spark
+does it, and make the sum what that gives. Under ANSI mode, Spark 4's default, sums whose parts pass 64 bits
+(from about 1e18 on, or more than 8e12 rows) are an error. Integers and decimals are summed as they are.
 """
 
 from __future__ import annotations
@@ -22,18 +22,20 @@ from tallymart.functions.columns import exact
 
 SCALE = 7
 LOW_BITS = 20
+MOST = 9e11
 
+# Metadata of a decimal column that holds exact sums of floating-point amounts.
+FLOATING = {"floating": True}
 
-def _units(value: Column) -> Column:
-    return F.rint(value.cast("double") * F.lit(10.0**SCALE)).cast("bigint")
+_PARTS = ("high", "low", "rest")
 
 
-def _high(value: Column) -> Column:
-    return F.shiftright(_units(value), LOW_BITS)
-
-
-def _low(value: Column) -> Column:
-    return _units(value).bitwiseAND(F.lit((1 << LOW_BITS) - 1))
+def _parts(value: Column) -> tuple[Column, Column, Column]:
+    """High and low part of the units, and the amount where it has none."""
+    value = value.cast("double")
+    fits = F.abs(value) < F.lit(MOST)  # NaN is larger than any number
+    units = F.rint(F.when(fits, value) * F.lit(10.0**SCALE)).cast("bigint")
+    return F.shiftright(units, LOW_BITS), units.bitwiseAND(F.lit((1 << LOW_BITS) - 1)), F.when(~fits, value)
 
 
 def _joined(high: Column, low: Column) -> Column:
@@ -42,59 +44,85 @@ def _joined(high: Column, low: Column) -> Column:
     return units.cast("decimal(30,0)") * F.lit(Decimal(1).scaleb(-SCALE))
 
 
+def _with_rest(total: Column, rest: Column) -> Column:
+    """An exact total as double, with the floating-point sum of what it leaves out."""
+    total = total.cast("double")
+    return F.when(rest.isNull(), total).otherwise(F.coalesce(total, F.lit(0.0)) + rest)
+
+
 def is_floating(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (DoubleType, FloatType))
+    """Whether a column is floating-point, or holds exact sums of one."""
+    field = df.schema[name]
+    return isinstance(field.dataType, (DoubleType, FloatType)) or bool(field.metadata.get("floating"))
 
 
 class Total:
     """The exact sum of one column, in one aggregation or in two.
 
-    ``value`` sums the column. ``partial`` gives the aggregates of a first aggregation, under names that
-    begin with ``name``, and ``again`` the aggregate that sums those. A sum of nothing is 0.
+    ``exact`` and ``amount`` sum the column. ``partial`` gives the aggregates of a first aggregation, under names
+    that begin with ``name``, and ``amount_again`` the sum of those. A sum of nothing is 0. An amount is a double
+    where the column is floating-point, or sums of one; else it has the type of Spark's sum.
     """
 
     def __init__(self, df: DataFrame, column: str, name: str | None = None):
+        self.in_parts = isinstance(df.schema[column].dataType, (DoubleType, FloatType))
         self.floating = is_floating(df, column)
         self.column = exact(column)
         self.name = name or column
 
-    def value(self) -> Column:
-        if self.floating:
-            return F.coalesce(_joined(F.sum(_high(self.column)), F.sum(_low(self.column))), F.lit(0))
-        return F.coalesce(F.sum(self.column), F.lit(0))
+    def _sums(self, over: WindowSpec | None = None) -> list[Column]:
+        sums = [F.sum(part) for part in (_parts(self.column) if self.in_parts else (self.column,))]
+        return sums if over is None else [s.over(over) for s in sums]
+
+    def _amount(self, sums: list[Column]) -> Column:
+        if self.in_parts:
+            high, low, rest = sums
+            return _with_rest(_joined(high, low), rest)
+        return sums[0].cast("double") if self.floating else sums[0]
+
+    def exact(self) -> Column:
+        """Decimal, for a further sum; an amount that has no place in it fails the query."""
+        sums = self._sums()
+        if not self.in_parts:
+            return F.coalesce(sums[0], F.lit(0))
+        high, low, rest = sums
+        none = F.raise_error(F.lit(f"{self.name} is NaN, infinite, or {MOST:g} or more in some rows")).cast("decimal(38,7)")
+        return F.when(rest.isNotNull(), none).otherwise(F.coalesce(_joined(high, low), F.lit(0)))
+
+    def amount(self) -> Column:
+        return F.coalesce(self._amount(self._sums()), F.lit(0))
 
     def partial(self) -> dict[str, Column]:
-        if self.floating:
-            return {f"{self.name}_high": F.sum(_high(self.column)), f"{self.name}_low": F.sum(_low(self.column))}
-        return {f"{self.name}_sum": F.sum(self.column)}
+        return {f"{self.name}_{part}": value for part, value in zip(_PARTS, self._sums())}
 
-    def again(self) -> Column:
-        if self.floating:
-            return F.coalesce(_joined(F.sum(f"{self.name}_high"), F.sum(f"{self.name}_low")), F.lit(0))
-        return F.coalesce(F.sum(f"{self.name}_sum"), F.lit(0))
+    def amount_again(self) -> Column:
+        names = _PARTS if self.in_parts else _PARTS[:1]
+        return F.coalesce(self._amount([F.sum(f"{self.name}_{part}") for part in names]), F.lit(0))
 
-    def as_read(self, total: Column) -> Column:
-        """``total`` as double where the column is floating-point, else as summed."""
-        return total.cast("double") if self.floating else total
+    def over(self, frame: WindowSpec, more: Column | None = None) -> Column:
+        """The amount of a window frame, NULL if it has none; ``more`` is added exactly."""
+        sums = self._sums(frame)
+        if more is not None:
+            if self.in_parts:
+                high, low, rest = sums
+                return _with_rest(F.coalesce(_joined(high, low), F.lit(0)) + F.coalesce(more, F.lit(0)), rest)
+            sums[0] = F.coalesce(sums[0], F.lit(0)) + F.coalesce(more, F.lit(0))
+        return self._amount(sums)
 
 
 def exact_total(df: DataFrame, column: str) -> Column:
     """The sum of a column as decimal (floating-point and decimal columns) or integer, 0 for nothing."""
-    return Total(df, column).value()
+    return Total(df, column).exact()
 
 
 def amount_total(df: DataFrame, column: str) -> Column:
-    """:func:`exact_total`, as double for a floating-point column."""
-    total = Total(df, column)
-    return total.as_read(total.value())
+    """The sum of a column, as double for a floating-point column, 0 for nothing."""
+    return Total(df, column).amount()
 
 
 def sum_over(df: DataFrame, column: str, frame: WindowSpec) -> Column:
     """Exact sum of a window frame, NULL where it has no non-NULL value; double for a floating-point column."""
-    value = exact(column)
-    if is_floating(df, column):
-        return _joined(F.sum(_high(value)).over(frame), F.sum(_low(value)).over(frame)).cast("double")
-    return F.sum(value).over(frame)
+    return Total(df, column).over(frame)
 
 
 def mean_over(
@@ -102,15 +130,9 @@ def mean_over(
 ) -> Column:
     """Mean of the non-NULL values of a window frame, one division of an exact sum.
 
-    ``more_sum`` and ``more_count`` are sum and count of values outside the window that belong to the mean.
+    ``more_sum`` and ``more_count`` are exact sum and count of values outside the window that belong to the mean.
     """
-    value = exact(column)
-    if is_floating(df, column):
-        total = _joined(F.sum(_high(value)).over(frame), F.sum(_low(value)).over(frame))
-    else:
-        total = F.sum(value).over(frame)
-    count = F.count(value).over(frame)
-    if more_sum is not None:
-        zero = F.lit(0)
-        total, count = F.coalesce(total, zero) + F.coalesce(more_sum, zero), count + F.coalesce(more_count, zero)
-    return F.try_divide(total.cast("double"), count.cast("double"))
+    count = F.count(exact(column)).over(frame)
+    if more_count is not None:
+        count = count + F.coalesce(more_count, F.lit(0))
+    return F.try_divide(Total(df, column).over(frame, more_sum).cast("double"), count.cast("double"))

@@ -46,8 +46,8 @@ def store_month_panel(
     per_item = df.groupBy(*keys, *([item] if item is not None else []))
     per_item = per_item.agg(*[value.alias(name) for name, value in partial.items()])
     rows = per_item.groupBy(*keys).agg(
-        *[total.as_read(total.again()).alias(name) for name, total in totals.items()],
-        ratio(totals["monthly_revenue"].again(), F.sum("_n_revenue")).alias("avg_transaction_value"),
+        *[total.amount_again().alias(name) for name, total in totals.items()],
+        ratio(totals["monthly_revenue"].amount_again(), F.sum("_n_revenue")).alias("avg_transaction_value"),
         F.sum("_n_rows").alias("num_transactions"),
         n_rows().alias("unique_skus"),
     )

@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.functions.exact_sums import exact_total
+from tallymart.functions.exact_sums import FLOATING, exact_total
 from tallymart.sources.readers import read_parquet
 from tallymart.sources.schema import COLUMN_NAMES
 
@@ -182,7 +182,7 @@ def sales_by(spark: SparkSession, root: str, keys: Iterable[str], measures: Iter
         rows = rows.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return rows.select(
         *[F.expr(_COLUMNS[name][1]).alias(name) for name in keys],
-        *[F.expr(_SUMS[name][1]).alias(name) for name in measures],
+        *[F.expr(_SUMS[name][1]).alias(name, metadata={} if name == "bottles_sold" else FLOATING) for name in measures],
         "n_rows",
     )
 
