@@ -135,3 +135,19 @@ def test_report_without_positive_predictions_is_zero(spark):
     top = evaluate.classification_report(df).filter("position = 2").first()
     assert (top.precision, top.recall, top.f1_score, top.support) == (0.0, 0.0, 0.0, 1)
     assert [tuple(r) for r in evaluate.confusion_matrix(df).collect()] == [(0, 3, 0), (1, 1, 0)]
+
+
+def test_a_forest_keeps_one_number_per_row_and_tree_and_few_rows_a_task(data, monkeypatch):
+    _, _, df = data
+    dealt = []
+    training_set = model._training_set
+
+    def spy(*args):
+        dealt.append(training_set(*args))
+        return dealt[-1]
+
+    monkeypatch.setattr(model, "_training_set", spy)
+    monkeypatch.setattr(model, "FOREST_ROWS_PER_TASK", 20, raising=False)
+    fit = model.fit_forest(df, ["a", "b", "c"], "y", KEYS, trees=3, max_depth=3)
+    assert dealt[0].rdd.getNumPartitions() == 20
+    assert not fit.model.getCacheNodeIds()
