@@ -64,3 +64,20 @@ def test_unknown_value_fails_and_empty_is_empty(spark, lines):
         ds.distinct_sets(lines, MONTH, ["item"], ids).collect()
     nothing = lines.where("false")
     assert ds.distinct_sets(nothing, MONTH, ["item"], ds.dense_ids(nothing, ["item"])).collect() == []
+
+
+def test_a_small_set_is_small_and_all_bits_of_a_word_count(spark):
+    df = spark.range(1, 4001).select(F.floor((F.col("id") - 1) / 8).alias("k"), F.col("id").alias("v"))
+    sets = ds.distinct_sets(df, ["k"], ["v"], ds.dense_ids(df, ["v"], near=["k"]))
+    widths = sets.agg(F.count("*"), F.max(F.octet_length(F.col(ds.BITS).cast("string")))).first()
+    assert widths[0] <= 1000 and widths[1] <= 20  # eight values, at most two words
+    assert ds.set_sizes(sets, []).first().n_distinct == 4000
+    assert {r.n_distinct for r in ds.set_sizes(sets, ["k"]).collect()} == {8}
+
+
+def test_least_number_is_found_without_a_sort(spark, monkeypatch):
+    df = spark.range(100).select((F.col("id") % 7).alias("v"), F.col("id").alias("place"))
+    plans = []
+    monkeypatch.setattr(ds, "numbered", lambda values, order, out: plans.append(values) or values.withColumn(out, F.lit(1)))
+    ds.dense_ids(df, ["v"], near=["place"])
+    assert "SortAggregate" not in plans[0]._jdf.queryExecution().executedPlan().toString()
