@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions.exact_sums import exact_total
 from tallymart.operators.features import TIME_ORDER, month_number, store_features
-from tallymart.operators.panel import store_month_panel
+from tallymart.operators.panel import panel_of_places, store_month_panel
 from tallymart.session import materialize
 
 Month = tuple[int, int]
@@ -49,9 +49,16 @@ def _replace(df: DataFrame, path: str, months: Iterable[Month]) -> None:
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def write_panel(lines: DataFrame, path: str, **options) -> None:
-    """The panel of all lines (with calendar columns), stored by month. Options are those of the panel."""
-    months = store_month_panel(lines, **options)
+def _panel(lines: DataFrame, places: DataFrame | None, **options) -> DataFrame:
+    return store_month_panel(lines, **options) if places is None else panel_of_places(lines, places, **options)
+
+
+def write_panel(lines: DataFrame, path: str, places: DataFrame | None = None, **options) -> None:
+    """The panel of all lines (with calendar columns), stored by month. Options are those of the panel.
+
+    With ``places``, lines have the column ``place`` for their store's name, city and county.
+    """
+    months = _panel(lines, places, **options)
     months.hint("rebalance", "year", "month").write.partitionBy("year", "month").parquet(path)
 
 
@@ -60,11 +67,13 @@ def changed_months(new_lines: DataFrame) -> set[Month]:
     return _months_of(new_lines)
 
 
-def refresh_panel(lines: DataFrame, path: str, months: Iterable[Month], **options) -> None:
+def refresh_panel(
+    lines: DataFrame, path: str, months: Iterable[Month], places: DataFrame | None = None, **options
+) -> None:
     """Make the stored panel's ``months`` again from all ``lines``, of which only these months are read."""
     months = set(months)
     if months:
-        _replace(store_month_panel(lines.where(_in_months(months)), **options), path, months)
+        _replace(_panel(lines.where(_in_months(months)), places, **options), path, months)
 
 
 def write_features(spark: SparkSession, panel_path: str, path: str, **options) -> None:
