@@ -101,14 +101,18 @@ def refresh_features(
     place = month_number()
     start = first[0] * 12 + first[1] - 1
     later = panel.where(place >= start)
-    newest_first = Window.partitionBy(store).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    earlier = panel.where(place < start).withColumn("_age", F.row_number().over(newest_first))
-    context = materialize(earlier.where(F.col("_age") <= _LOOK_BACK).drop("_age"), "feature-context")
-    old = earlier.where(F.col("_age") > _LOOK_BACK)
-    sums = old.groupBy(store).agg(exact_total(old, revenue).alias("_old_sum"), F.count(revenue).alias("_old_count"))
-    sums = sums.withColumnRenamed(store, "_old_store")
-    rows = context.unionByName(later).join(sums, F.col(store).eqNullSafe(F.col("_old_store")), "left")
+    window = Window.partitionBy(store).orderBy(*order)
+    older = window.rowsBetween(Window.unboundedPreceding, -1)
+    n_rows = F.count(F.lit(1)).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    earlier = panel.where(place < start)
+    # The oldest row kept carries what lies before it.
+    oldest = F.col("_age") == _LOOK_BACK
+    aged = earlier.withColumns({"_age": n_rows - F.row_number().over(window) + 1, "_old_count": F.count(revenue).over(older)})
+    aged = aged.withColumn("_old_sum", F.when(oldest, exact_total(earlier, revenue, older)))
+    aged = aged.withColumn("_old_count", F.when(oldest, F.col("_old_count")))
+    context = materialize(aged.where(F.col("_age") <= _LOOK_BACK).drop("_age"), "feature-context")
+    rows = context.unionByName(later, allowMissingColumns=True)
     made = store_features(rows, store=store, order=order, revenue=revenue, carried=("_old_sum", "_old_count"), **options)
-    made = made.where(place >= start).drop("_old_store", "_old_sum", "_old_count")
+    made = made.where(place >= start).drop("_old_sum", "_old_count")
     stored = {m for m in _months_of(_stored(spark, path)) if m >= tuple(first)}
     _replace(made, path, stored | _months_of(later))

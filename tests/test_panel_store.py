@@ -100,3 +100,18 @@ def test_only_changed_months_are_scanned(spark, tmp_path):
     assert chosen._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [") == 1
     assert {f.split("year=")[1][:4] for f in chosen.inputFiles()} <= {"2020", "2021"}
     assert chosen.select("year", "month").distinct().count() == 1
+
+
+def test_old_rows_are_carried_without_a_join(spark, tmp_path, monkeypatch):
+    """Stores with 0 to 6 rows before the first changed month; what is older than three rows comes with the third."""
+    base = spark.createDataFrame(
+        [(f"s{n}", "x", "k", *MONTHS[m], "i", f"{n}-{m}", 1, 0.1 * m + n, 1.0) for n in range(7) for m in range(6 - n, 10)], NAMES
+    )
+    folder = [str(tmp_path / name) for name in ("panel", "features")]
+    ps.write_panel(base, folder[0])
+    ps.write_features(spark, *folder)
+    made, replace = [], ps._replace
+    monkeypatch.setattr(ps, "_replace", lambda df, *more: made.append(df) or replace(df, *more))
+    ps.refresh_features(spark, *folder, MONTHS[6])
+    same(stored(spark, folder[1]), features.store_features(panel.store_month_panel(base)))
+    assert "Join" not in made[0]._jdf.queryExecution().executedPlan().toString()
