@@ -53,12 +53,14 @@ def leaves(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Seque
     from the trees and their depth, not from the data; Spark broadcasts them by their size.
     """
     trees = nodes.agg(F.max("tree")).first()[0] + 1
-    values = F.create_map(*[part for f in features for part in (F.lit(f), exact(f).cast("double"))])
+    # By number: a look-up by name would compare texts for every row, tree and level.
+    values = F.array(*[exact(f).cast("double") for f in features])
+    number = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")).cast("int") - 1
     at = df.select(*keys, values.alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     at = at.withColumn("node", F.lit(0))
-    steps = nodes.select("tree", "node", "is_leaf", "feature", "threshold", "left", "right")
+    steps = nodes.select("tree", "node", "is_leaf", number.alias("number"), "threshold", "left", "right")
     for _ in range(depth):
-        below = F.when(F.col("_x")[F.col("feature")] <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        below = F.when(F.get("_x", F.col("number")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
         stepped = at.join(steps, ["tree", "node"])
         at = stepped.select(*keys, "_x", "tree", F.when(F.col("is_leaf"), F.col("node")).otherwise(below).alias("node"))
     ended = at.join(nodes.select("tree", "node", "is_leaf", "share"), ["tree", "node"])

@@ -55,6 +55,13 @@ def test_nodes_form_trees(spark, fitted):
             assert sum(c.weight for c in children) == pytest.approx(r.weight)
 
 
+def test_walking_looks_features_up_by_number(spark, fitted):
+    df, fit = fitted
+    nodes = trees.forest_nodes(spark, fit)
+    plan = trees.leaves(df, nodes, fit.features, ["id"], depth=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" in plan and "map(" not in plan
+
+
 def test_too_few_levels_fail(spark, fitted):
     df, fit = fitted
     with pytest.raises(Exception, match="deeper"):
